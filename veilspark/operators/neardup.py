@@ -1,0 +1,111 @@
+"""Near-duplicate records of one group: a MinHash LSH forest with exact verification.
+
+Every record's set of word shingles gets a signature of ``trees`` times ``depth`` minimum hashes. A tree is a
+trie over its own ``depth`` hashes; two records meet in it at depth d if their first d hashes are equal. The
+search starts with the longest prefixes at which a pair of exactly the wanted similarity still meets in some tree
+with probability ``floor``, verifies what it finds exactly, and estimates from the verified similarities how much
+such prefixes miss (each found pair of similarity s stands for 1 / P(found | s, d) pairs). While the estimated
+recall is under ``recall`` the prefixes are shortened by one level and the new candidates are verified.
+
+Rows without id, group or text, or with fewer words than a shingle, are in no pair. Records that repeat an id
+count once. Groups of equal texts are one class; classes are compared, members are attached afterwards.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veilspark.functions.arrow import map_arrow, rows_of
+from veilspark.functions.hotjoin import blocked_join
+from veilspark.functions.materialize import cut
+from veilspark.functions.shingles import minhash, set_keys, shingle_sets
+from veilspark.operators.textclasses import similar_pairs, text_rows
+
+TREES, DEPTH, SEED = 14, 4, 20240917
+
+
+def met(s: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
+    """Probability that two sets of similarity s share a prefix of ``depth`` in at least one tree."""
+    return 1.0 - (1.0 - s**depth) ** trees
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, group_col: str, k: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """(id, grp, c1, c2, sig): class keys, which hold the group, and the signature of each record with a text."""
+
+    def start():
+        def work(b: pa.RecordBatch) -> dict:
+            h, at = shingle_sets(b["text"].to_pylist(), k)
+            k1, k2 = set_keys(h, at)
+            return {"id": b["id"].cast(pa.string()), "grp": b["grp"], "s1": k1, "s2": k2, "some": np.diff(at) > 0, "sig": rows_of(minhash(h, at, trees * depth, SEED))}
+
+        return work
+
+    rows = text_rows(df, id_col, text_col, grp=F.col(group_col).cast("string")).where(F.col("grp").isNotNull())
+    return map_arrow(rows, "id string, grp string, s1 long, s2 long, some boolean, sig binary", start).where("some").drop("some")
+
+
+def _bands(classes: DataFrame, depth: int, trees: int, full: int) -> DataFrame:
+    """(band, c1, c2): for each tree the hash of the group and of the first ``depth`` minimum hashes."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("grp", t, F.substring(F.col("sig"), t * (4 * full) + 1, F.lit(4 * depth))))
+    return classes.select("s1", "s2", "grp", F.explode(bands).alias("band"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, threshold: float = 0.8, k: int = 5, recall: float = 0.999, floor: float = 0.99, trees: int = TREES, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Members (id, grp, s1, s2) and links (grp, a1, a2, b1, b2, similarity) between classes of one group.
+
+    An empty table gives two empty results.
+    """
+    sigs = cut(signatures(df, id_col, text_col, group_col, k, trees, depth))
+    members = sigs.select("id", "grp", "s1", "s2").distinct()
+    classes = sigs.groupBy("grp", "s1", "s2").agg(F.min(F.struct("id", "sig")).alias("m")).select("grp", "s1", "s2", "m.id", "m.sig")
+    reps = classes.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(F.min("id").alias("id"))
+    texts = text_rows(df, id_col, text_col).withColumn("id", F.col("id").cast("string"))
+    level = max((d for d in range(1, depth + 1) if met(threshold, d, trees) >= floor), default=1)
+    links, seen = None, None
+    while True:
+        bands = _bands(classes, level, trees, depth)
+        # Most prefixes belong to one class: they are counted away before any row is joined.
+        shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+        rows = bands.join(shared, "band")
+        pairs = blocked_join(rows.select("band", "grp", F.col("s1").alias("a1"), F.col("s2").alias("a2")), rows.select("band", F.col("s1").alias("b1"), F.col("s2").alias("b2")), ["band"], ["a1", "a2"])
+        pairs = pairs.where("a1 < b1 or (a1 = b1 and a2 < b2)").select("grp", "a1", "a2", "b1", "b2").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["grp", "a1", "a2", "b1", "b2"], "left_anti")
+        pairs = cut(pairs)
+        ends = pairs.select("a1", "a2", "b1", "b2").distinct()
+        found = pairs.join(similar_pairs(ends, pairs.count(), reps, texts, k, threshold), ["a1", "a2", "b1", "b2"])
+        found = cut(found.select("grp", "a1", "a2", "b1", "b2", "similarity"))
+        links = found if links is None else links.unionByName(found)
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        if level == 1:
+            return members, links
+        s = F.col("similarity")
+        got = links.agg(F.count(F.lit(1)).alias("n"), F.sum(1 / (1 - F.pow(1 - F.pow(s, F.lit(level)), F.lit(trees)))).alias("all")).first()
+        if not got["n"] or got["n"] / got["all"] >= recall:
+            return members, links
+        level -= 1
+
+
+def member_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs (a, b, similarity) of different ids, a < b: links between classes and equal texts within one."""
+    a = members.select("grp", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("id").alias("x"))
+    b = members.select("grp", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("id").alias("y"))
+    across = links.join(a, ["grp", "a1", "a2"]).join(b, ["grp", "b1", "b2"]).where("x <> y").select("x", "y", "similarity")
+    copies = members.groupBy("grp", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", "s1", "s2")
+    some = members.join(copies, ["grp", "s1", "s2"])
+    within = blocked_join(some.withColumnRenamed("id", "x"), some.withColumnRenamed("id", "y"), ["grp", "s1", "s2"], ["x"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
+def duplicate_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per record: its class of equal texts and the class's number of links to other texts.
+
+    (document_id, grp, class_id, copies, links); copies and links of a class aren't expanded into pairs.
+    """
+    ends = links.select("grp", F.explode(F.array(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")))).alias("c")).groupBy("grp", "c.s1", "c.s2").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("grp", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("class_id"))
+    about = sizes.join(ends, ["grp", "s1", "s2"], "left")
+    return members.join(about, ["grp", "s1", "s2"]).select(F.col("id").alias("document_id"), "grp", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

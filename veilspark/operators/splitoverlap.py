@@ -1,0 +1,131 @@
+"""Records of evaluation splits that also stand, exactly or almost, in the training split.
+
+An exact prefix-filter join. All shingles are put in one order, rare ones first, by a table of bounded size that
+counts hash buckets over the whole collection (any fixed order is exact; rarity only makes the lists short). Two
+sets of n and m shingles with a similarity of at least t share a shingle among their first n - ceil(t n) + 1 and
+m - ceil(t m) + 1. The evaluation prefixes are the index, the training prefixes probe it, with filters on length
+and on what the positions leave possible; the survivors are verified on whole sets. Entries that occur in no
+prefix of the other side are recognised by a bit field of fixed size and never shuffled.
+
+Rows without id, text or a known split take no part; equal sets are one class on either side.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veilspark.functions.arrow import lists, map_arrow
+from veilspark.functions.columns import normal
+from veilspark.functions.hotjoin import blocked_join
+from veilspark.functions.materialize import cut
+from veilspark.functions.shingles import U, set_keys, shingle_sets
+from veilspark.functions.vectors import vector_total
+from veilspark.operators.textclasses import similar_pairs, text_rows
+
+#: Sizes of the order table (counts of 2 bytes) and of each side's bit field; both are sent to every task.
+ORDER_BITS, FIELD_BITS = 22, 26
+
+
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def _order(rows: DataFrame, k: int) -> np.ndarray:
+    """Occurrences per hash bucket over all rows, capped at what 16 bits hold."""
+    mask = U((1 << ORDER_BITS) - 1)
+
+    def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
+        h, _ = shingle_sets(b["text"].to_pylist(), k)
+        vector += np.bincount((h & mask).astype(np.int64), minlength=len(vector)).astype(np.uint32)
+
+    return np.minimum(vector_total(rows.select("text"), 1 << ORDER_BITS, "uint32", add), 65_535).astype(np.uint16)
+
+
+def _prefixes(texts: list, k: int, threshold: float, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets, their offsets, and of the prefix entries: owner, hash and position in the order."""
+    h, at = shingle_sets(texts, k)
+    sizes = np.diff(at)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rank = order[(h & U((1 << ORDER_BITS) - 1)).astype(np.int64)]
+    by = np.argsort(rank, kind="stable")  # ties stay in order of the hash: sets are sorted by it
+    by = by[np.argsort(owner[by], kind="stable")]
+    place = np.arange(len(h)) - np.repeat(at[:-1], sizes)
+    keep = place < np.repeat(prefix_length(sizes, threshold), sizes)
+    return h, at, sizes, owner[keep], h[by][keep], place[keep]
+
+
+def _bit(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - FIELD_BITS)).astype(np.int64)
+
+
+def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("validation", "test"), threshold: float = 0.8, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Members (id, split, c1, c2) and links (a1, a2, b1, b2, similarity): a is a training class, b a held-out one.
+
+    A class with members on both sides is linked with itself at similarity 1. An empty table gives empty results.
+    """
+    spark = df.sparkSession
+    rows = text_rows(df, id_col, text_col, split=normal(split_col)).where(F.col("split").isin(*train, *held_out)).withColumn("id", F.col("id").cast("string"))
+    order = spark.sparkContext.broadcast(_order(rows, k))
+    sides = rows.withColumn("held", F.col("split").isin(*held_out))
+
+    def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
+        held = b["held"].to_numpy(zero_copy_only=False)
+        *_, owner, h, _ = _prefixes(b["text"].to_pylist(), k, threshold, order.value)
+        half = len(vector) // 2
+        for side in (0, 1):
+            at = _bit(np.unique(h[held[owner] == side]))
+            np.bitwise_or.at(vector, side * half + (at >> 3), (1 << (at & 7)).astype(np.uint8))
+
+    fields = spark.sparkContext.broadcast(vector_total(sides.select("text", "held"), 1 << (FIELD_BITS - 2), "uint8", add, "or"))
+
+    def start():
+        half = len(fields.value) // 2
+
+        def work(b: pa.RecordBatch) -> dict:
+            held = b["held"].to_numpy(zero_copy_only=False)
+            h, at, sizes, owner, entry, place = _prefixes(b["text"].to_pylist(), k, threshold, order.value)
+            bit = _bit(entry)
+            other = np.where(held[owner], 0, half) + (bit >> 3)
+            keep = (fields.value[other] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            owner, entry, place = owner[keep], entry[keep], place[keep]
+            k1, k2 = set_keys(h, at)
+            ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": k1, "c2": k2, "size": sizes.astype(np.int32), "entries": lists(entry.view(np.int64), ends), "places": lists(place.astype(np.int32), ends)}
+
+        return work
+
+    known = map_arrow(sides.select("id", "split", "held", "text"), "id string, split string, held boolean, c1 long, c2 long, size int, entries array<long>, places array<int>", start)
+    known = cut(known.where("size > 0"))
+    members = known.select("id", "split", "held", "c1", "c2").distinct()
+    classes = known.groupBy("held", "c1", "c2").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first(F.arrays_zip("entries", "places")).alias("e"))
+    entries = classes.select("held", "c1", "c2", "size", F.explode("e").alias("e")).select("held", "c1", "c2", "size", F.col("e.entries").alias("shingle"), F.col("e.places").alias("place"))
+    probe = entries.where("not held").select("shingle", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("size").alias("n"), F.col("place").alias("p"))
+    index = entries.where("held").select("shingle", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("size").alias("m"), F.col("place").alias("q"))
+    t = threshold
+    pairs = blocked_join(probe, index, ["shingle"], ["a1", "a2"])
+    pairs = pairs.where((F.least("n", "m") >= t * F.greatest("n", "m") - 1e-9) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= t / (1 + t) * (F.col("n") + F.col("m")) - 1e-9))
+    pairs = cut(pairs.where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2").distinct())
+    reps = classes.groupBy("c1", "c2").agg(F.min("id").alias("id"))
+    near = similar_pairs(pairs, pairs.count(), reps, rows, k, t)
+    same = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    same = same.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.lit(1.0).alias("similarity"))
+    return members, cut(near.unionByName(same))
+
+
+def overlap_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs (train_id, held_id, held_split, similarity) of different ids that the links stand for."""
+    a = members.where("not held").select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("id").alias("train_id"))
+    b = members.where("held").select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("id").alias("held_id"), F.col("split").alias("held_split"))
+    return blocked_join(links.join(a, ["a1", "a2"]), b, ["b1", "b2"], ["train_id"]).where("train_id <> held_id").select("train_id", "held_id", "held_split", "similarity")
+
+
+def overlapping_held_out(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, split, texts, copies): held-out records that stand in the training split, with the number of different
+    training texts and of training records they match; pairs aren't expanded."""
+    sizes = members.where("not held").groupBy(F.col("c1").alias("a1"), F.col("c2").alias("a2")).agg(F.count(F.lit(1)).alias("n"))
+    hit = links.join(sizes, ["a1", "a2"]).groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("copies"))
+    held = members.where("held").withColumnRenamed("c1", "b1").withColumnRenamed("c2", "b2")
+    return held.join(hit, ["b1", "b2"]).select("id", "split", "texts", "copies")
