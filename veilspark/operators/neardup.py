@@ -47,10 +47,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, group_col: str, k: int
     return map_arrow(rows, "id string, grp string, s1 long, s2 long, some boolean, sig binary", start).where("some").drop("some")
 
 
-def _bands(classes: DataFrame, depth: int, trees: int, full: int) -> DataFrame:
+def _bands(sigs: DataFrame, depth: int, trees: int, full: int) -> DataFrame:
     """(band, c1, c2): for each tree the hash of the group and of the first ``depth`` minimum hashes."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("grp", t, F.substring(F.col("sig"), t * (4 * full) + 1, F.lit(4 * depth))))
-    return classes.select("s1", "s2", "grp", F.explode(bands).alias("band"))
+    return sigs.select("s1", "s2", "grp", F.explode(bands).alias("band"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, threshold: float = 0.8, k: int = 5, recall: float = 0.999, floor: float = 0.99, trees: int = TREES, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -60,16 +60,16 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, t
     """
     sigs = cut(signatures(df, id_col, text_col, group_col, k, trees, depth))
     members = sigs.select("id", "grp", "s1", "s2").distinct()
-    classes = sigs.groupBy("grp", "s1", "s2").agg(F.min(F.struct("id", "sig")).alias("m")).select("grp", "s1", "s2", "m.id", "m.sig")
-    reps = classes.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(F.min("id").alias("id"))
+    reps = sigs.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(F.min("id").alias("id"))
     texts = text_rows(df, id_col, text_col).withColumn("id", F.col("id").cast("string"))
     level = max((d for d in range(1, depth + 1) if met(threshold, d, trees) >= floor), default=1)
     links, seen = None, None
     while True:
-        bands = _bands(classes, level, trees, depth)
-        # Most prefixes belong to one class: they are counted away before any row is joined.
-        shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-        rows = bands.join(shared, "band")
+        bands = _bands(sigs, level, trees, depth)
+        # Most prefixes belong to one class: they are aggregated away, copies included, before any row is joined.
+        spread = bands.groupBy("band").agg(*[f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for f, n in ((F.min, "min"), (F.max, "max"))])
+        shared = spread.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("band")
+        rows = cut(bands.join(shared, "band").distinct())
         pairs = blocked_join(rows.select("band", "grp", F.col("s1").alias("a1"), F.col("s2").alias("a2")), rows.select("band", F.col("s1").alias("b1"), F.col("s2").alias("b2")), ["band"], ["a1", "a2"])
         pairs = pairs.where("a1 < b1 or (a1 = b1 and a2 < b2)").select("grp", "a1", "a2", "b1", "b2").distinct()
         if seen is not None:
