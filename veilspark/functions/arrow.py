@@ -11,14 +11,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+#: Bytes of a slice of a batch that is worked on at once; vectorised work takes a few dozen times as much memory.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that each part holds about SLICE_BYTES, or one row."""
+    step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def map_arrow(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """``start`` runs once in each task and returns the function that turns a batch into columns of ``schema``."""
     kind: StructType = _parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, work = to_arrow_schema(kind), start()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 made = work(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else made[f.name].cast(f.type) for f in out], schema=out)
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from veilspark.functions.arrow import slices
+
 FAN_IN = 64
 _SCHEMA = "salt int, chunk int, data binary"
 
@@ -34,8 +36,8 @@ def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarr
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = np.zeros(length, dtype)
         for batch in batches:
-            if batch.num_rows:
-                add(vector, batch)
+            for part in slices(batch):
+                add(vector, part)
         yield cut(vector, TaskContext.get().partitionId() // FAN_IN)
 
     def reduce(table: pa.Table) -> pa.Table:
