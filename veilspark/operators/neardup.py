@@ -76,7 +76,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, t
             pairs = pairs.join(seen, ["grp", "a1", "a2", "b1", "b2"], "left_anti")
         pairs = cut(pairs)
         ends = pairs.select("a1", "a2", "b1", "b2").distinct()
-        found = pairs.join(similar_pairs(ends, pairs.count(), reps, texts, k, threshold), ["a1", "a2", "b1", "b2"])
+        found = pairs.join(similar_pairs(ends, reps, texts, k, threshold), ["a1", "a2", "b1", "b2"])
         found = cut(found.select("grp", "a1", "a2", "b1", "b2", "similarity"))
         links = found if links is None else links.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)

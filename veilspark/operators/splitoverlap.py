@@ -100,17 +100,17 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     known = map_arrow(sides.select("id", "split", "held", "text"), "id string, split string, held boolean, c1 long, c2 long, size int, entries array<long>, places array<int>", start)
     known = cut(known.where("size > 0"))
     members = known.select("id", "split", "held", "c1", "c2").distinct()
-    classes = known.groupBy("held", "c1", "c2").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first(F.arrays_zip("entries", "places")).alias("e"))
-    entries = classes.select("held", "c1", "c2", "size", F.explode("e").alias("e")).select("held", "c1", "c2", "size", F.col("e.entries").alias("shingle"), F.col("e.places").alias("place"))
+    classes = known.groupBy("held", "c1", "c2").agg(F.first("size").alias("size"), F.first(F.arrays_zip("entries", "places")).alias("e"))
+    entries = cut(classes.select("held", "c1", "c2", "size", F.explode("e").alias("e")).select("held", "c1", "c2", "size", F.col("e.entries").alias("shingle"), F.col("e.places").alias("place")))
     probe = entries.where("not held").select("shingle", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("size").alias("n"), F.col("place").alias("p"))
     index = entries.where("held").select("shingle", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("size").alias("m"), F.col("place").alias("q"))
     t = threshold
     pairs = blocked_join(probe, index, ["shingle"], ["a1", "a2"])
     pairs = pairs.where((F.least("n", "m") >= t * F.greatest("n", "m") - 1e-9) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= t / (1 + t) * (F.col("n") + F.col("m")) - 1e-9))
     pairs = cut(pairs.where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2").distinct())
-    reps = classes.groupBy("c1", "c2").agg(F.min("id").alias("id"))
-    near = similar_pairs(pairs, pairs.count(), reps, rows, k, t)
-    same = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    reps = known.groupBy("c1", "c2").agg(F.min("id").alias("id"))
+    near = similar_pairs(pairs, reps, rows, k, t)
+    same = known.groupBy("c1", "c2").agg(F.min("held").alias("low"), F.max("held").alias("high")).where("low <> high")
     same = same.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.lit(1.0).alias("similarity"))
     return members, cut(near.unionByName(same))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.arrow import map_arrow
 from veilspark.functions.columns import has_text
-from veilspark.functions.materialize import semi_by_size
+from veilspark.functions.materialize import cut, semi_by_size
 from veilspark.functions.shingles import jaccard, set_keys, shingle_sets
 
 
@@ -22,7 +22,7 @@ def text_rows(df: DataFrame, id_col: str, text_col: str, **labels: Column) -> Da
     return df.where(F.col(id_col).isNotNull() & has_text(text_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in labels.items()])
 
 
-def similar_pairs(pairs: DataFrame, n_pairs: int, reps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Exact check of candidate pairs of classes.
 
     pairs (a1, a2, b1, b2) name classes, reps (c1, c2, id) one record of each class, texts (id, text) holds the
@@ -30,8 +30,8 @@ def similar_pairs(pairs: DataFrame, n_pairs: int, reps: DataFrame, texts: DataFr
     similarity where it is at least ``threshold``. Only texts of classes in a pair are shuffled.
     """
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))).alias("c")).select("c.*").distinct()
-    wanted = reps.join(ends, ["c1", "c2"]).select("id", "c1", "c2")
-    held = semi_by_size(texts.select("id", "text"), wanted, ["id"], 2 * n_pairs)
+    wanted = cut(reps.join(ends, ["c1", "c2"]).select("id", "c1", "c2"))
+    held = semi_by_size(texts.select("id", "text"), wanted, ["id"], wanted.count())
 
     def start_keys():
         def work(b: pa.RecordBatch) -> dict:
