@@ -5,10 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import langid
+from veilspark.llm import langid, mixing, residue, tokens
 from veilspark.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = residue.residue(table(spark, folder, "synthetic_records"), "document_id", "full_text")
+    return found.where("kind is not null").select(F.col("id").alias("document_id")).distinct()
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with left-over text per synthetic_generator."""
+    return residue.residue_report(table(spark, folder, "synthetic_records"), "document_id", "full_text", "synthetic_generator")
+
+
+def p3_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals by source_system, language and document_type, with all subtotals."""
+    return tokens.token_budget(table(spark, folder, "synthetic_records"), "document_id", "full_text", ["source_system", "language", "document_type"])
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(table(spark, folder, "synthetic_records"), "full_text", ["document_id"])
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1].where("short").select("source")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
 def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents")
     return docs, langid.segments(docs, "doc_id", "text", langid.train(docs, "doc_id", "text", "lang"))
@@ -25,7 +60,7 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p9_found, p9_segments)}
+    return {f.__name__: f for f in (p2_found, p2_report, p3_budget, p3_counts, p8_found, p8_report, p8_mix, p9_found, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
