@@ -3,7 +3,7 @@
 Every record's set of word shingles gets a signature of ``trees`` times ``depth`` minimum hashes. A tree is a
 trie over its own ``depth`` hashes; two records meet in it at depth d if their first d hashes are equal. The
 search starts with the longest prefixes at which a pair of exactly the wanted similarity still meets in some tree
-with probability ``floor``, verifies what it finds exactly, and estimates from the verified similarities how much
+with probability ``floor``, drops candidates whose signatures can't belong to such a pair, verifies the others exactly, and estimates from the verified similarities how much
 such prefixes miss (each found pair of similarity s stands for 1 / P(found | s, d) pairs). While the estimated
 recall is under ``recall`` the prefixes are shortened by one level and the new candidates are verified.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrow import map_arrow, rows_of
@@ -24,7 +24,9 @@ from veilspark.functions.materialize import cut
 from veilspark.functions.shingles import minhash, set_keys, shingle_sets
 from veilspark.operators.textclasses import similar_pairs, text_rows
 
-TREES, DEPTH, SEED = 14, 4, 20240917
+TREES, DEPTH, SEED = 16, 4, 20240917
+#: Standard deviations under the wanted similarity at which a candidate's estimate from the signature drops it.
+SLACK = 4.5
 
 
 def met(s: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
@@ -32,52 +34,77 @@ def met(s: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.nda
     return 1.0 - (1.0 - s**depth) ** trees
 
 
+def least_equal(s: float, size: int) -> int:
+    """Equal two-bit minimum hashes of ``size`` that a pair of similarity s has, but for SLACK deviations."""
+    p = s + (1 - s) / 4
+    return int(np.floor(size * p - SLACK * np.sqrt(size * p * (1 - p))))
+
+
+def _two_bits(sig: np.ndarray) -> list[np.ndarray]:
+    """The lowest two bits of 64 minimum hashes as two long columns."""
+    low = (sig & np.uint32(3)).astype(np.uint64)
+    shifts = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    return [np.bitwise_or.reduce(low[:, i : i + 32] << shifts[: low[:, i : i + 32].shape[1]], axis=1).view(np.int64) for i in (0, 32)]
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, group_col: str, k: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(id, grp, c1, c2, sig): class keys, which hold the group, and the signature of each record with a text."""
+    """(id, grp, s1, s2, k1, k2, sig): class keys, two bits of each minimum hash, and the signature of each record."""
+    if trees * depth > 64:
+        raise ValueError("a signature has at most 64 minimum hashes")
 
     def start():
         def work(b: pa.RecordBatch) -> dict:
             h, at = shingle_sets(b["text"].to_pylist(), k)
-            k1, k2 = set_keys(h, at)
-            return {"id": b["id"].cast(pa.string()), "grp": b["grp"], "s1": k1, "s2": k2, "some": np.diff(at) > 0, "sig": rows_of(minhash(h, at, trees * depth, SEED))}
+            s1, s2 = set_keys(h, at)
+            sig = minhash(h, at, trees * depth, SEED)
+            k1, k2 = _two_bits(sig)
+            return {"id": b["id"].cast(pa.string()), "grp": b["grp"], "s1": s1, "s2": s2, "k1": k1, "k2": k2, "some": np.diff(at) > 0, "sig": rows_of(sig)}
 
         return work
 
     rows = text_rows(df, id_col, text_col, grp=F.col(group_col).cast("string")).where(F.col("grp").isNotNull())
-    return map_arrow(rows, "id string, grp string, s1 long, s2 long, some boolean, sig binary", start).where("some").drop("some")
+    return map_arrow(rows, "id string, grp string, s1 long, s2 long, k1 long, k2 long, some boolean, sig binary", start).where("some").drop("some")
 
 
 def _bands(sigs: DataFrame, depth: int, trees: int, full: int) -> DataFrame:
-    """(band, c1, c2): for each tree the hash of the group and of the first ``depth`` minimum hashes."""
+    """(band, s1, s2): for each tree the hash of the group and of the first ``depth`` minimum hashes."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("grp", t, F.substring(F.col("sig"), t * (4 * full) + 1, F.lit(4 * depth))))
-    return sigs.select("s1", "s2", "grp", F.explode(bands).alias("band"))
+    return sigs.select("s1", "s2", F.explode(bands).alias("band"))
+
+
+def _unequal(a: str, b: str) -> Column:
+    """Two-bit fields that differ between two longs."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, threshold: float = 0.8, k: int = 5, recall: float = 0.999, floor: float = 0.99, trees: int = TREES, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Members (id, grp, s1, s2) and links (grp, a1, a2, b1, b2, similarity) between classes of one group.
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, threshold: float = 0.8, k: int = 5, recall: float = 0.999, floor: float = 0.985, trees: int = TREES, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Members (id, grp, s1, s2) and links (a1, a2, b1, b2, similarity) between classes that meet in some group.
 
     An empty table gives two empty results.
     """
     sigs = cut(signatures(df, id_col, text_col, group_col, k, trees, depth))
     members = sigs.select("id", "grp", "s1", "s2").distinct()
     reps = sigs.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(F.min("id").alias("id"))
+    bits = sigs.groupBy("s1", "s2").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+    bits_a, bits_b = (bits.toDF(f"{x}1", f"{x}2", f"{x}k1", f"{x}k2") for x in "ab")
     texts = text_rows(df, id_col, text_col).withColumn("id", F.col("id").cast("string"))
+    ends = ["a1", "a2", "b1", "b2"]
     level = max((d for d in range(1, depth + 1) if met(threshold, d, trees) >= floor), default=1)
     links, seen = None, None
     while True:
         bands = _bands(sigs, level, trees, depth)
         # Most prefixes belong to one class: they are aggregated away, copies included, before any row is joined.
-        spread = bands.groupBy("band").agg(*[f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for f, n in ((F.min, "min"), (F.max, "max"))])
-        shared = spread.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("band")
-        rows = cut(bands.join(shared, "band").distinct())
-        pairs = blocked_join(rows.select("band", "grp", F.col("s1").alias("a1"), F.col("s2").alias("a2")), rows.select("band", F.col("s1").alias("b1"), F.col("s2").alias("b2")), ["band"], ["a1", "a2"])
-        pairs = pairs.where("a1 < b1 or (a1 = b1 and a2 < b2)").select("grp", "a1", "a2", "b1", "b2").distinct()
+        spread = bands.groupBy("band").agg(F.min("s1").alias("low"), F.max("s1").alias("high"))
+        rows = cut(bands.join(spread.where("low <> high").select("band"), "band").distinct())
+        pairs = blocked_join(rows.select("band", F.col("s1").alias("a1"), F.col("s2").alias("a2")), rows.select("band", F.col("s1").alias("b1"), F.col("s2").alias("b2")), ["band"], ["a1", "a2"])
+        pairs = pairs.where("a1 < b1 or (a1 = b1 and a2 < b2)").select(*ends).distinct()
+        pairs = pairs.join(bits_a, ["a1", "a2"]).join(bits_b, ["b1", "b2"])
+        pairs = pairs.where(F.lit(trees * depth) - _unequal("ak1", "bk1") - _unequal("ak2", "bk2") >= least_equal(threshold, trees * depth)).select(*ends)
         if seen is not None:
-            pairs = pairs.join(seen, ["grp", "a1", "a2", "b1", "b2"], "left_anti")
+            pairs = pairs.join(seen, ends, "left_anti")
         pairs = cut(pairs)
-        ends = pairs.select("a1", "a2", "b1", "b2").distinct()
-        found = pairs.join(similar_pairs(ends, reps, texts, k, threshold), ["a1", "a2", "b1", "b2"])
-        found = cut(found.select("grp", "a1", "a2", "b1", "b2", "similarity"))
+        found = cut(similar_pairs(pairs, reps, texts, k, threshold))
         links = found if links is None else links.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
         if level == 1:
@@ -93,7 +120,7 @@ def member_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs (a, b, similarity) of different ids, a < b: links between classes and equal texts within one."""
     a = members.select("grp", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("id").alias("x"))
     b = members.select("grp", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("id").alias("y"))
-    across = links.join(a, ["grp", "a1", "a2"]).join(b, ["grp", "b1", "b2"]).where("x <> y").select("x", "y", "similarity")
+    across = blocked_join(links.join(a, ["a1", "a2"]), b, ["grp", "b1", "b2"], ["x"]).where("x <> y").select("x", "y", "similarity")
     copies = members.groupBy("grp", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", "s1", "s2")
     some = members.join(copies, ["grp", "s1", "s2"])
     within = blocked_join(some.withColumnRenamed("id", "x"), some.withColumnRenamed("id", "y"), ["grp", "s1", "s2"], ["x"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
@@ -105,7 +132,10 @@ def duplicate_classes(members: DataFrame, links: DataFrame) -> DataFrame:
 
     (document_id, grp, class_id, copies, links); copies and links of a class aren't expanded into pairs.
     """
-    ends = links.select("grp", F.explode(F.array(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")))).alias("c")).groupBy("grp", "c.s1", "c.s2").agg(F.count(F.lit(1)).alias("links"))
+    classes = members.select("grp", "s1", "s2").distinct()
+    a, b = classes.toDF("grp", "a1", "a2"), classes.toDF("grp", "b1", "b2")
+    there = links.join(a, ["a1", "a2"]).join(b, ["grp", "b1", "b2"])
+    ends = there.select("grp", F.explode(F.array(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")))).alias("c")).groupBy("grp", "c.s1", "c.s2").agg(F.count(F.lit(1)).alias("links"))
     sizes = members.groupBy("grp", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("class_id"))
     about = sizes.join(ends, ["grp", "s1", "s2"], "left")
     return members.join(about, ["grp", "s1", "s2"]).select(F.col("id").alias("document_id"), "grp", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
