@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.materialize import cut, semi_by_size
+
 BLOCK = 2_000
 
 
@@ -12,10 +14,13 @@ def blocked_join(left: DataFrame, right: DataFrame, keys: list[str], spread: lis
     """Inner join on ``keys``; a key with more than ``block`` left rows is cut into blocks by a hash of ``spread``.
 
     Each left row is in one block, each right row is copied to the blocks of its key, so the join stays whole.
-    The keys' counts are aggregated before the shuffle; keys in one block take no part in the copying.
+    The keys' counts are aggregated before the shuffle; if no key is hot this is a plain join.
     """
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    hot = cut(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    n = hot.count()
+    if not n:
+        return left.join(right, keys)
     one = F.coalesce("_blocks", F.lit(1))
-    a = left.join(hot, keys, "left").withColumn("_block", F.pmod(F.xxhash64(*spread), one).cast("int")).drop("_blocks")
-    b = right.join(hot, keys, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), one - 1))).drop("_blocks")
+    a = semi_by_size(left, hot, keys, n, "left").withColumn("_block", F.pmod(F.xxhash64(*spread), one).cast("int")).drop("_blocks")
+    b = semi_by_size(right, hot, keys, n, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), one - 1))).drop("_blocks")
     return a.join(b, [*keys, "_block"]).drop("_block")

@@ -24,7 +24,8 @@ _SCHEMA = "salt int, chunk int, data binary"
 def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarray, pa.RecordBatch], None], how: str = "sum", chunks: int = 16) -> np.ndarray:
     """The total of the tasks' vectors; ``add(vector, batch)`` puts a batch into the task's own vector.
 
-    how: "sum", or "or" for bit fields. An empty table gives zeros.
+    how: "sum", "cap" for sums that stay at the type's greatest value, or "or" for bit fields. An empty table gives
+    zeros.
     """
     step = -(-length // chunks)
 
@@ -40,11 +41,16 @@ def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarr
                 add(vector, part)
         yield cut(vector, TaskContext.get().partitionId() // FAN_IN)
 
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if how == "cap":
+            return np.minimum(a, np.iinfo(dtype).max - b) + b
+        return a + b if how == "sum" else a | b
+
     def reduce(table: pa.Table) -> pa.Table:
         total = None
         for data in table["data"]:
             part = np.frombuffer(zlib.decompress(data.as_py()), dtype)
-            total = part.copy() if total is None else (total + part if how == "sum" else total | part)
+            total = part.copy() if total is None else both(total, part)
         return pa.table({"salt": table["salt"][:1], "chunk": table["chunk"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     parts = df.mapInArrow(task, _SCHEMA)

@@ -67,9 +67,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str, group_col: str, k: int
 
 
 def _bands(sigs: DataFrame, depth: int, trees: int, full: int) -> DataFrame:
-    """(band, s1, s2): for each tree the hash of the group and of the first ``depth`` minimum hashes."""
+    """(band, s1): for each tree the hash of the group and of the first ``depth`` minimum hashes.
+
+    A row names its class by one of the two keys; should two classes share it, both are verified.
+    """
     bands = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("grp", t, F.substring(F.col("sig"), t * (4 * full) + 1, F.lit(4 * depth))))
-    return sigs.select("s1", "s2", F.explode(bands).alias("band"))
+    return sigs.select("s1", F.explode(bands).alias("band"))
 
 
 def _unequal(a: str, b: str) -> Column:
@@ -97,9 +100,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, t
         # Most prefixes belong to one class: they are aggregated away, copies included, before any row is joined.
         spread = bands.groupBy("band").agg(F.min("s1").alias("low"), F.max("s1").alias("high"))
         rows = cut(bands.join(spread.where("low <> high").select("band"), "band").distinct())
-        pairs = blocked_join(rows.select("band", F.col("s1").alias("a1"), F.col("s2").alias("a2")), rows.select("band", F.col("s1").alias("b1"), F.col("s2").alias("b2")), ["band"], ["a1", "a2"])
-        pairs = pairs.where("a1 < b1 or (a1 = b1 and a2 < b2)").select(*ends).distinct()
-        pairs = pairs.join(bits_a, ["a1", "a2"]).join(bits_b, ["b1", "b2"])
+        pairs = blocked_join(rows.select("band", F.col("s1").alias("a1")), rows.select("band", F.col("s1").alias("b1")), ["band"], ["a1"])
+        pairs = pairs.where("a1 < b1").select("a1", "b1").distinct().join(bits_a, "a1").join(bits_b, "b1")
         pairs = pairs.where(F.lit(trees * depth) - _unequal("ak1", "bk1") - _unequal("ak2", "bk2") >= least_equal(threshold, trees * depth)).select(*ends)
         if seen is not None:
             pairs = pairs.join(seen, ends, "left_anti")

@@ -25,8 +25,8 @@ from veilspark.functions.shingles import U, set_keys, shingle_sets
 from veilspark.functions.vectors import vector_total
 from veilspark.operators.textclasses import similar_pairs, text_rows
 
-#: Sizes of the order table (counts of 2 bytes) and of each side's bit field; both are sent to every task.
-ORDER_BITS, FIELD_BITS = 22, 26
+#: Sizes of the order table (counts of 1 byte) and of each side's bit field; both are sent to every task.
+ORDER_BITS, FIELD_BITS = 24, 26
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -34,14 +34,15 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _order(rows: DataFrame, k: int) -> np.ndarray:
-    """Occurrences per hash bucket over all rows, capped at what 16 bits hold."""
+    """Occurrences per hash bucket over all rows, capped at what a byte holds."""
     mask = U((1 << ORDER_BITS) - 1)
 
     def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
         h, _ = shingle_sets(b["text"].to_pylist(), k)
-        vector += np.bincount((h & mask).astype(np.int64), minlength=len(vector)).astype(np.uint32)
+        at, n = np.unique((h & mask).astype(np.int64), return_counts=True)
+        vector[at] = np.minimum(vector[at] + np.minimum(n, 255), 255)
 
-    return np.minimum(vector_total(rows.select("text"), 1 << ORDER_BITS, "uint32", add), 65_535).astype(np.uint16)
+    return vector_total(rows.select("text"), 1 << ORDER_BITS, "uint16", add, "cap").clip(0, 255).astype(np.uint8)
 
 
 def _prefixes(texts: list, k: int, threshold: float, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,14 +101,19 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     known = map_arrow(sides.select("id", "split", "held", "text"), "id string, split string, held boolean, c1 long, c2 long, size int, entries array<long>, places array<int>", start)
     known = cut(known.where("size > 0"))
     members = known.select("id", "split", "held", "c1", "c2").distinct()
+    # An entry names its class by one of the two keys; should two classes share it, both are verified.
     classes = known.groupBy("held", "c1", "c2").agg(F.first("size").alias("size"), F.first(F.arrays_zip("entries", "places")).alias("e"))
-    entries = cut(classes.select("held", "c1", "c2", "size", F.explode("e").alias("e")).select("held", "c1", "c2", "size", F.col("e.entries").alias("shingle"), F.col("e.places").alias("place")))
-    probe = entries.where("not held").select("shingle", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("size").alias("n"), F.col("place").alias("p"))
-    index = entries.where("held").select("shingle", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("size").alias("m"), F.col("place").alias("q"))
+    entries = cut(classes.select("held", F.col("c1").alias("c"), "size", F.explode("e").alias("e")).select("held", "c", F.col("e.entries").alias("shingle"), (F.shiftleft(F.col("size").cast("long"), 32) + F.col("e.places")).alias("at")))
+    probe = entries.where("not held").select("shingle", F.col("c").alias("a1"), F.col("at").alias("x"))
+    index = entries.where("held").select("shingle", F.col("c").alias("b1"), F.col("at").alias("y"))
     t = threshold
-    pairs = blocked_join(probe, index, ["shingle"], ["a1", "a2"])
-    pairs = pairs.where((F.least("n", "m") >= t * F.greatest("n", "m") - 1e-9) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= t / (1 + t) * (F.col("n") + F.col("m")) - 1e-9))
-    pairs = cut(pairs.where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2").distinct())
+    n, m = F.shiftright("x", 32), F.shiftright("y", 32)
+    p, q = F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("y").bitwiseAND(F.lit(0xFFFFFFFF))
+    pairs = blocked_join(probe, index, ["shingle"], ["a1"])
+    pairs = pairs.where((F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (1 + F.least(n - p - 1, m - q - 1) >= t / (1 + t) * (n + m) - 1e-9))
+    ends = known.select("held", "c1", "c2").distinct()
+    pairs = pairs.select("a1", "b1").distinct().join(ends.where("not held").select(F.col("c1").alias("a1"), F.col("c2").alias("a2")), "a1").join(ends.where("held").select(F.col("c1").alias("b1"), F.col("c2").alias("b2")), "b1")
+    pairs = cut(pairs.where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2"))
     reps = known.groupBy("c1", "c2").agg(F.min("id").alias("id"))
     near = similar_pairs(pairs, reps, rows, k, t)
     same = known.groupBy("c1", "c2").agg(F.min("held").alias("low"), F.max("held").alias("high")).where("low <> high")
