@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import langid, mixing, residue, tokens
+from veilspark.llm import langid, leakage, mixing, personal, residue, tokens
 from veilspark.sources.tables import table
 
 
@@ -28,6 +28,33 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "synthetic_records"), "full_text", ["document_id"])
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.distinct_items(personal.items(table(spark, folder, "false_negatives"), "document_id", "full_text"))
+    return found.select(F.col("id").alias("document_id"), F.col("type").alias("entity_type"), F.col("text").alias("entity_text"))
+
+
+def p4_placeholders(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.placeholders(table(spark, folder, "false_negatives"), "document_id", "full_text").withColumnRenamed("id", "document_id")
+
+
+def p4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with keyed surrogates; the key is a parameter and stands here for one kept elsewhere."""
+    return personal.surrogates(table(spark, folder, "false_negatives"), "document_id", "full_text", "example key").withColumnRenamed("id", "document_id")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where(F.col("longest_run") >= 24).select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per item: documents that hold a run of it, and those that hold it reworded."""
+    return leakage.item_report(_leaks(spark, folder), table(spark, folder, "eval_items"), "item_id")
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text", "source")
 
@@ -60,7 +87,7 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_report, p3_budget, p3_counts, p8_found, p8_report, p8_mix, p9_found, p9_segments)}
+    return {f.__name__: f for f in (p2_found, p2_report, p3_budget, p3_counts, p4_found, p4_placeholders, p4_surrogates, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
