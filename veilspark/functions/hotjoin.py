@@ -10,13 +10,14 @@ from veilspark.functions.materialize import cut, semi_by_size
 BLOCK = 2_000
 
 
-def blocked_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], block: int = BLOCK) -> DataFrame:
+def blocked_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
     """Inner join on ``keys``; a key with more than ``block`` left rows is cut into blocks by a hash of ``spread``.
 
     Each left row is in one block, each right row is copied to the blocks of its key, so the join stays whole.
-    The keys' counts are aggregated before the shuffle; if no key is hot this is a plain join.
+    The keys' counts are aggregated before the shuffle; if no key is hot this is a plain join. ``counted`` are the left
+    rows whose keys may be hot, where the caller knows them.
     """
-    hot = cut(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    hot = cut((left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
     n = hot.count()
     if not n:
         return left.join(right, keys)

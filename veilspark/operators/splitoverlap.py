@@ -83,7 +83,7 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     fields = spark.sparkContext.broadcast(vector_total(sides.select("text", "held"), 1 << (FIELD_BITS - 2), "uint8", add, "or"))
 
     def start():
-        half = len(fields.value) // 2
+        half, seen = len(fields.value) // 2, set()
 
         def work(b: pa.RecordBatch) -> dict:
             held = b["held"].to_numpy(zero_copy_only=False)
@@ -91,8 +91,15 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
             bit = _bit(entry)
             other = np.where(held[owner], 0, half) + (bit >> 3)
             keep = (fields.value[other] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            owner, entry, place = owner[keep], entry[keep], place[keep]
             k1, k2 = set_keys(h, at)
+            new = np.ones(b.num_rows, bool)  # copies that the task has met have no entries of their own
+            for i, key in enumerate(zip(held.tolist(), k1.tolist(), k2.tolist())):
+                new[i] = key not in seen
+                seen.add(key)
+            keep &= new[owner]
+            owner, entry, place = owner[keep], entry[keep], place[keep]
+            often = order.value[(entry.view(U) & U((1 << ORDER_BITS) - 1)).astype(np.int64)] == 255
+            place = place + (often.astype(np.int64) << 30)
             ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
             return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": k1, "c2": k2, "size": sizes.astype(np.int32), "entries": lists(entry.view(np.int64), ends), "places": lists(place.astype(np.int32), ends)}
 
@@ -101,15 +108,19 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     known = map_arrow(sides.select("id", "split", "held", "text"), "id string, split string, held boolean, c1 long, c2 long, size int, entries array<long>, places array<int>", start)
     known = cut(known.where("size > 0"))
     members = known.select("id", "split", "held", "c1", "c2").distinct()
-    # An entry names its class by one of the two keys; should two classes share it, both are verified.
-    classes = known.groupBy("held", "c1", "c2").agg(F.first("size").alias("size"), F.first(F.arrays_zip("entries", "places")).alias("e"))
-    entries = cut(classes.select("held", F.col("c1").alias("c"), "size", F.explode("e").alias("e")).select("held", "c", F.col("e.entries").alias("shingle"), (F.shiftleft(F.col("size").cast("long"), 32) + F.col("e.places")).alias("at")))
-    probe = entries.where("not held").select("shingle", F.col("c").alias("a1"), F.col("at").alias("x"))
-    index = entries.where("held").select("shingle", F.col("c").alias("b1"), F.col("at").alias("y"))
+    # An entry names its class by one of the two keys; should two classes share it, both are verified. Its place has
+    # a flag for shingles that may be frequent.
+    flag = F.lit(1 << 30)
+    zipped = known.select("held", F.col("c1").alias("c"), "size", F.explode(F.arrays_zip("entries", "places")).alias("e"))
+    at = F.shiftleft(F.col("size").cast("long"), 32) + F.col("e.places").bitwiseAND(F.lit((1 << 30) - 1))
+    entries = zipped.select("held", "c", F.col("e.entries").alias("shingle"), at.alias("at"), (F.col("e.places") >= flag).alias("often"))
+    probe = entries.where("not held").select("shingle", F.col("c").alias("a1"), F.col("at").alias("x"), "often")
+    index = entries.where("held").select("shingle", F.col("c").alias("b1"), F.col("at").alias("y")).repartition("shingle").distinct()
     t = threshold
     n, m = F.shiftright("x", 32), F.shiftright("y", 32)
     p, q = F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("y").bitwiseAND(F.lit(0xFFFFFFFF))
-    pairs = blocked_join(probe, index, ["shingle"], ["a1"])
+    counted = probe.where("often").drop("often").distinct()
+    pairs = blocked_join(probe.drop("often").repartition("shingle").distinct(), index, ["shingle"], ["a1"], counted=counted)
     pairs = pairs.where((F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (1 + F.least(n - p - 1, m - q - 1) >= t / (1 + t) * (n + m) - 1e-9))
     ends = known.select("held", "c1", "c2").distinct()
     pairs = pairs.select("a1", "b1").distinct().join(ends.where("not held").select(F.col("c1").alias("a1"), F.col("c2").alias("a2")), "a1").join(ends.where("held").select(F.col("c1").alias("b1"), F.col("c2").alias("b2")), "b1")
