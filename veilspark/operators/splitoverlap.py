@@ -4,7 +4,7 @@ An exact prefix-filter join. All shingles are put in one order, rare ones first,
 counts hash buckets over the whole collection (any fixed order is exact; rarity only makes the lists short). Two
 sets of n and m shingles with a similarity of at least t share a shingle among their first n - ceil(t n) + 1 and
 m - ceil(t m) + 1. The evaluation prefixes are the index, the training prefixes probe it, with filters on length
-and on what the positions leave possible; the survivors are verified on whole sets. Entries that occur in no
+and on what the positions leave possible, then a bound from parity bitmaps; the survivors are verified on whole sets. Entries that occur in no
 prefix of the other side are recognised by a bit field of fixed size and never shuffled.
 
 Rows without id, text or a known split take no part; equal sets are one class on either side.
@@ -12,9 +12,11 @@ Rows without id, text or a known split take no part; equal sets are one class on
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrow import lists, map_arrow
@@ -27,6 +29,8 @@ from veilspark.operators.textclasses import similar_pairs, text_rows
 
 #: Sizes of the order table (counts of 1 byte) and of each side's bit field; both are sent to every task.
 ORDER_BITS, FIELD_BITS = 24, 26
+#: Words of 64 bits in the parity bitmap of a set.
+PARITY_WORDS = 8
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -58,6 +62,20 @@ def _prefixes(texts: list, k: int, threshold: float, order: np.ndarray) -> tuple
     return h, at, sizes, owner[keep], h[by][keep], place[keep]
 
 
+def _parities(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY_WORDS) longs; each bit is the parity of the shingles hashed to it, so two sets that differ in d
+    shingles differ in at most d bits."""
+    width = 64 * PARITY_WORDS
+    bit = ((h >> U(20)) % U(width)).astype(np.int64)
+    odd = (np.bincount(owner * width + bit, minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, width), axis=1).view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY_WORDS)]
+    return reduce(Column.__add__, bits)
+
+
 def _bit(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - FIELD_BITS)).astype(np.int64)
 
@@ -101,11 +119,12 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
             often = order.value[(entry.view(U) & U((1 << ORDER_BITS) - 1)).astype(np.int64)] == 255
             place = place + (often.astype(np.int64) << 30)
             ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": k1, "c2": k2, "size": sizes.astype(np.int32), "entries": lists(entry.view(np.int64), ends), "places": lists(place.astype(np.int32), ends)}
+            parity = _parities(h, np.repeat(np.arange(b.num_rows), sizes), b.num_rows)
+            return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": k1, "c2": k2, "size": sizes.astype(np.int32), "parity": lists(parity.ravel(), np.arange(b.num_rows + 1) * PARITY_WORDS), "entries": lists(entry.view(np.int64), ends), "places": lists(place.astype(np.int32), ends)}
 
         return work
 
-    known = map_arrow(sides.select("id", "split", "held", "text"), "id string, split string, held boolean, c1 long, c2 long, size int, entries array<long>, places array<int>", start)
+    known = map_arrow(sides.select("id", "split", "held", "text"), "id string, split string, held boolean, c1 long, c2 long, size int, parity array<long>, entries array<long>, places array<int>", start)
     known = cut(known.where("size > 0"))
     members = known.select("id", "split", "held", "c1", "c2").distinct()
     # An entry names its class by one of the two keys; should two classes share it, both are verified. Its place has
@@ -122,8 +141,11 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     counted = probe.where("often").drop("often").distinct()
     pairs = blocked_join(probe.drop("often").repartition("shingle").distinct(), index, ["shingle"], ["a1"], counted=counted)
     pairs = pairs.where((F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (1 + F.least(n - p - 1, m - q - 1) >= t / (1 + t) * (n + m) - 1e-9))
-    ends = known.select("held", "c1", "c2").distinct()
-    pairs = pairs.select("a1", "b1").distinct().join(ends.where("not held").select(F.col("c1").alias("a1"), F.col("c2").alias("a2")), "a1").join(ends.where("held").select(F.col("c1").alias("b1"), F.col("c2").alias("b2")), "b1")
+    ends = known.groupBy("held", "c1", "c2").agg(F.first("parity").alias("parity"))
+    a, b = (ends.where(c).select(*[F.col(f"c{i}").alias(f"{x}{i}") for i in (1, 2)], F.col("parity").alias(f"{x}p")) for x, c in (("a", "not held"), ("b", "held")))
+    pairs = pairs.groupBy("a1", "b1").agg(F.max(n + m).alias("both")).join(a, "a1").join(b, "b1")
+    # Exact too: sets of together n + m shingles that differ in d bits share at most (n + m - d) / 2.
+    pairs = pairs.where((F.col("both") - _differing("ap", "bp")) / 2 >= t / (1 + t) * F.col("both") - 1e-9)
     pairs = cut(pairs.where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2"))
     reps = known.groupBy("c1", "c2").agg(F.min("id").alias("id"))
     near = similar_pairs(pairs, reps, rows, k, t)
