@@ -44,7 +44,8 @@ def average_precision(df: DataFrame, p: str, truth: Column, order: str) -> DataF
 def candidates(points: DataFrame, steps: int = 201, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., t): a grid on [0, 1], the distinct scores and the middles between neighbours."""
     ordered = Window.partitionBy(*by).orderBy("p")
-    seen = points.select(*by, F.explode(F.array(F.col("p"), (F.col("p") + F.lead("p").over(ordered)) / 2)).alias("t")).where("t is not null")
+    seen = points.withColumn("_m", (F.col("p") + F.lead("p").over(ordered)) / 2)
+    seen = seen.select(*by, F.explode(F.array("p", "_m")).alias("t")).where("t is not null")
     grid = points.select(*by).distinct() if by else points.limit(1).select(F.lit(1).alias("_one"))
     grid = grid.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: i / F.lit(steps - 1))).alias("t"))
     return seen.unionByName(grid).select(*by, F.least(F.greatest("t", F.lit(0.0)), F.lit(1.0)).alias("t")).distinct()
