@@ -146,17 +146,18 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
 ITEMS = "items array<struct<start int, end int, type string, text string>>"
 
 
-def items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, items) of every row with an id and a text."""
+def items(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
+    """(id, items), and the text where asked for, of every row with an id and a text."""
 
     def start():
         def work(b: pa.RecordBatch) -> dict:
-            return {"id": b["id"], "items": [[{"start": i, "end": j, "type": kind, "text": t[i:j]} for i, j, kind in find(t)] for t in b["text"].to_pylist()]}
+            return {"id": b["id"], "text": b["text"], "items": [[{"start": i, "end": j, "type": kind, "text": t[i:j]} for i, j, kind in find(t)] for t in b["text"].to_pylist()]}
 
         return work
 
     rows = df.where(F.col(id_col).isNotNull() & has_text(text_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, f"id {rows.schema['id'].dataType.simpleString()}, {ITEMS}", start)
+    kept = ", text string" if with_text else ""
+    return map_arrow(rows, f"id {rows.schema['id'].dataType.simpleString()}{kept}, {ITEMS}", start)
 
 
 def distinct_items(found: DataFrame) -> DataFrame:
@@ -321,7 +322,7 @@ def surrogate_table(found: DataFrame, key: str, rounds: int = 6) -> DataFrame:
 
 def surrogates(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     """(id, text) with every item of every row with an id and a text replaced by its surrogate."""
-    found = cut(items(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).join(_texts(df, id_col, text_col), "id"))
+    found = cut(items(df, id_col, text_col, with_text=True).withColumn("row", F.monotonically_increasing_id()))
     table = surrogate_table(found.select("items"), key)
     one = found.select("row", F.posexplode("items").alias("n", "i")).select("row", "i.*").join(table, ["type", "text"])
     new = one.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("new"))
@@ -335,6 +336,3 @@ def surrogates(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame
 
     return map_arrow(joined, f"id {joined.schema['id'].dataType.simpleString()}, text string", start)
 
-
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.where(F.col(id_col).isNotNull() & has_text(text_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

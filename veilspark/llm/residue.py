@@ -130,17 +130,18 @@ class Index:
             share = got[np.arange(len(p)), best] / total
             ok = share >= limit - 1e-9
             start = p[ok] - width + 1 + best[ok]
-            (reports if kind == "report" else found).append((owner[ok], np.full(ok.sum(), e), share[ok], start, p[ok], np.full(ok.sum(), width)))
+            end = np.minimum(start + width, offsets[owner[ok] + 1])
+            (reports if kind == "report" else found).append((owner[ok], np.full(ok.sum(), e), share[ok], np.maximum(start, offsets[owner[ok]]), p[ok], end))
         empty = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) + (np.zeros(0, np.int64),) * 3]
-        owner, e, share, start, p, width = map(np.concatenate, zip(*(found or empty)))
+        owner, e, share, start, p, _ = map(np.concatenate, zip(*(found or empty)))
         keep = np.ones(len(owner), bool)
-        _, _, _, r_start, _, r_width = map(np.concatenate, zip(*(reports or empty)))
+        _, _, _, r_start, _, r_end = map(np.concatenate, zip(*(reports or empty)))
         if len(r_start):
             covered = np.zeros(len(words) + 1, np.int32)
-            np.add.at(covered, np.maximum(r_start, 0), 1)
-            np.add.at(covered, np.minimum(r_start + r_width, len(words)), -1)
+            np.add.at(covered, r_start, 1)
+            np.add.at(covered, r_end, -1)
             keep = np.cumsum(covered)[p] <= 0
-        return owner[keep], e[keep], share[keep], np.maximum(start[keep] - offsets[owner[keep]], 0)
+        return owner[keep], e[keep], share[keep], start[keep] - offsets[owner[keep]]
 
 
 def residue(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
