@@ -138,9 +138,12 @@ def test_leaks_against_brute_force(spark):
     got = {(r["id"], r["item_id"]) for r in leakage.leaks(df, held, "doc", "body", "item", "passage").where("longest_run >= 24").collect()}
     import re
 
-    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    grams = {i: {tuple(split(t)[k : k + 24]) for k in range(len(split(t)) - 23)} for i, t in items}
-    want = {(d, i) for d, t in docs for i in grams if any(tuple(split(t)[k : k + 24]) in grams[i] for k in range(len(split(t)) - 23))}
+    def runs(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return {tuple(w[k : k + 24]) for k in range(len(w) - 23)}
+
+    grams = {i: runs(t) for i, t in items}
+    want = {(d, i) for d, t in docs for mine in [runs(t)] for i, theirs in grams.items() if mine & theirs}
     assert want and got == want
     report = {r["item_id"]: r["documents"] for r in leakage.item_report(leakage.leaks(df, held, "doc", "body", "item", "passage"), held, "item").collect()}
     assert sum(report.values()) == len(want) and report[999] == 0
