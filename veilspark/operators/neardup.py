@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,17 +49,26 @@ def _two_bits(sig: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, group_col: str, k: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(id, grp, s1, s2, k1, k2, sig): class keys, two bits of each minimum hash, and the signature of each record."""
+    """(id, grp, s1, s2, k1, k2, sig): class keys, two bits of each minimum hash, and the signature of each record.
+
+    Only the first record of a class that a task meets carries the signature, so copies never meet in a shuffle.
+    """
     if trees * depth > 64:
         raise ValueError("a signature has at most 64 minimum hashes")
 
     def start():
+        seen = set()
+
         def work(b: pa.RecordBatch) -> dict:
             h, at = shingle_sets(b["text"].to_pylist(), k)
             s1, s2 = set_keys(h, at)
             sig = minhash(h, at, trees * depth, SEED)
             k1, k2 = _two_bits(sig)
-            return {"id": b["id"].cast(pa.string()), "grp": b["grp"], "s1": s1, "s2": s2, "k1": k1, "k2": k2, "some": np.diff(at) > 0, "sig": rows_of(sig)}
+            new = np.ones(b.num_rows, bool)
+            for i, key in enumerate(zip(b["grp"].to_pylist(), s1.tolist(), s2.tolist())):
+                new[i] = key not in seen
+                seen.add(key)
+            return {"id": b["id"].cast(pa.string()), "grp": b["grp"], "s1": s1, "s2": s2, "k1": k1, "k2": k2, "some": np.diff(at) > 0, "sig": pc.if_else(pa.array(new), rows_of(sig), pa.scalar(None, pa.binary()))}
 
         return work
 
@@ -72,7 +82,7 @@ def _bands(sigs: DataFrame, depth: int, trees: int, full: int) -> DataFrame:
     A row names its class by one of the two keys; should two classes share it, both are verified.
     """
     bands = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("grp", t, F.substring(F.col("sig"), t * (4 * full) + 1, F.lit(4 * depth))))
-    return sigs.select("s1", F.explode(bands).alias("band"))
+    return sigs.where("sig is not null").select("s1", F.explode(bands).alias("band"))
 
 
 def _unequal(a: str, b: str) -> Column:
