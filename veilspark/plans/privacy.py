@@ -43,7 +43,11 @@ _P = "(length(coalesce(full_text, '')) * 7919 % 1000) / 1000.0"
 _TRUE = "coalesce(lower(trim(CAST({} AS VARCHAR))) IN ('yes', 'true', '1', 'y', 'ja', 'pii'), false)"
 _TRUTH = _TRUE.format("contains_personal_data")
 _AT = "coalesce(contains(full_text, '@'), false)"
-TRUTH = S.norm_bool("contains_personal_data")
+
+
+def _truth() -> Column:
+    return S.norm_bool("contains_personal_data")
+
 
 
 def _p() -> Column:
@@ -55,7 +59,7 @@ def _at() -> Column:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return _records(spark, folder).withColumns({"p": _p(), "detected_pii": _at(), "truth": TRUTH}).withColumn("needs_llm_review", ~F.col("detected_pii") & F.col("p").between(0.3, 0.7)).withColumn("predicted_pii", F.col("detected_pii") | (F.col("p") > 0.7))
+    return _records(spark, folder).withColumns({"p": _p(), "detected_pii": _at(), "truth": _truth()}).withColumn("needs_llm_review", ~F.col("detected_pii") & F.col("p").between(0.3, 0.7)).withColumn("predicted_pii", F.col("detected_pii") | (F.col("p") > 0.7))
 
 
 _SCORED = f"(SELECT *, NOT detected_pii AND p BETWEEN 0.3 AND 0.7 AS needs_llm_review, detected_pii OR p > 0.7 AS predicted_pii FROM (SELECT *, {_P} AS p, {_AT} AS detected_pii, {_TRUTH} AS truth FROM synthetic_records))"
@@ -210,7 +214,7 @@ def strategy_outputs(spark, folder):
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    return metrics.binary(out, TRUTH, F.col("predicted_pii"), ("strategy",))
+    return metrics.binary(out, _truth(), F.col("predicted_pii"), ("strategy",))
 
 
 # Metrics --------------------------------------------------------------------------------------------------------
@@ -397,12 +401,12 @@ _CROSS = ["language", "scenario_type", "difficulty", "primary_pii_type", "docume
     'SELECT "column", value, n, positives, n - positives AS negatives, round(positives / n, 4) AS positive_rate FROM (' + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n, count(*) FILTER ({_TRUTH}) AS positives FROM synthetic_records WHERE {c} IS NOT NULL GROUP BY {c}""" for c in _CROSS) + ")"
 )
 def crosstabs(spark, folder):
-    return splits.crosstabs(_records(spark, folder), _CROSS, TRUTH)
+    return splits.crosstabs(_records(spark, folder), _CROSS, _truth())
 
 
 @query(f"SELECT lower(trim(recommended_split)) AS split, count(*) AS n, count(*) FILTER ({_TRUTH}) AS positives, round(count(*) FILTER ({_TRUTH}) / count(*), 4) AS positive_rate, count(*) FILTER ({_TRUTH}) > 0 AND count(*) FILTER ({_TRUTH}) < count(*) AS usable FROM synthetic_records WHERE recommended_split IS NOT NULL GROUP BY ALL")
 def split_report(spark, folder):
-    return splits.split_report(_records(spark, folder), "recommended_split", TRUTH)
+    return splits.split_report(_records(spark, folder), "recommended_split", _truth())
 
 
 _ORDER = "(7919 * ascii(substr(key, 1, 1)) + 104729 * ascii(substr(key, 2, 1)) + 1299709 * ascii(substr(key, 3, 1)) + 15485863 * ascii(substr(key, 4, 1)))"
@@ -411,7 +415,7 @@ _ORDER = "(7919 * ascii(substr(key, 1, 1)) + 104729 * ascii(substr(key, 2, 1)) +
 @query()
 def stratified_split(spark, folder):
     """Each group of equal texts with its split."""
-    return splits.stratified_split(_records(spark, folder), "full_text", TRUTH)
+    return splits.stratified_split(_records(spark, folder), "full_text", _truth())
 
 
 @query(
@@ -420,12 +424,12 @@ def stratified_split(spark, folder):
 )
 def stratified_split_strata(spark, folder):
     """Groups per stratum after the split: none is lost or cut."""
-    return splits.stratified_split(_records(spark, folder), "full_text", TRUTH).groupBy("positive").agg(F.count_distinct("key").alias("groups"))
+    return splits.stratified_split(_records(spark, folder), "full_text", _truth()).groupBy("positive").agg(F.count_distinct("key").alias("groups"))
 
 
 @query()
 def class_weights(spark, folder):
-    return splits.class_weights(_records(spark, folder), TRUTH)
+    return splits.class_weights(_records(spark, folder), _truth())
 
 
 @query()
