@@ -29,9 +29,10 @@ from veilspark.functions.shingles import hash_spans, word_spans
 LANGUAGES = ("en", "de", "nl", "fr", "es")
 FAMILIES = (("en", "de", "nl"), ("fr", "es"))
 PAIRS = tuple((a, b) for family in FAMILIES for i, a in enumerate(family) for b in family[i + 1 :])
-BITS, TRAIN_DOCS, TRAIN_SENTENCES, LEAST_WORDS, CONFIDENT = 15, 300, 2_500, 8, 0.8
-#: Ends of sentences: closing marks before white space, blank lines, and lines that begin with a label.
-_END = re.compile(r"[.!?…]+[\"'“”»)\]*]*\s+|\n\s*\n|\n(?=[^\n:.]{1,32}:\s)|>\s*\n?")
+BITS, TRAIN_DOCS, TRAIN_SENTENCES, LEAST_WORDS, CONFIDENT = 15, 300, 2_500, 8, 0.77
+#: Ends of sentences: closing marks before white space, blank lines, and lines that begin with a label. Addresses of
+#: pages and mail are in no language and end a sentence too.
+_END = re.compile(r"https?://\S+\s*|[\w.+-]+@[\w.-]+\s*|[.!?…]+[\"'“”»)\]*]*\s+|\n\s*\n|\n(?=[^\n:.]{1,32}:\s)|>\s*\n?")
 
 
 def _word_features(word: str) -> np.ndarray:
