@@ -7,6 +7,8 @@ case follow Unicode. Null and blank texts have no spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ PHONE_DIGITS = (7, 20)
 DATE_FORMATS = ("yyyy-M-d", "yyyy.M.d", "yyyy/M/d", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy", "M-d-yyyy", "M/d/yyyy")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once; inside higher-order functions an expression would be evaluated for
+    each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _span(kind: str, value: Column, start: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_SOURCE).alias("source"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"))
 
@@ -47,10 +55,16 @@ def _span(kind: str, value: Column, start: Column) -> Column:
 def spans(text: Column | str, pattern: str, kind: str) -> Column:
     """All matches of a pattern that isn't empty, in order, as spans."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    before = lambda i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    every = F.transform(found, lambda v, i: _span(kind, v, before(i)))
-    return F.when(text.rlike(r"(?U)\S"), every).otherwise(F.array().cast(SPANS))
+    empty = F.array().cast(SPANS)
+
+    def placed(found: Column) -> Column:
+        def every(between: Column) -> Column:
+            before = lambda i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+            return F.transform(found, lambda v, i: _span(kind, v, before(i)))
+
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), every)).otherwise(empty)
+
+    return F.when(text.rlike(r"(?U)\S"), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(empty)
 
 
 def like_date(value: Column) -> Column:
@@ -67,8 +81,8 @@ def phone_spans(text: Column | str) -> Column:
 
 def without_phones_in_ibans(every: Column) -> Column:
     """An anti-join on overlapping intervals inside each row."""
-    ibans = F.filter(every, lambda s: s["type"] == "IBAN_CODE")
-    return F.filter(every, lambda s: (s["type"] != "PHONE_NUMBER") | ~F.exists(ibans, lambda i: (s["start"] < i["end"]) & (s["end"] > i["start"])))
+    free = lambda s, ibans: ~F.exists(ibans, lambda i: (s["start"] < i["end"]) & (s["end"] > i["start"]))
+    return let(every, lambda e: let(F.filter(e, lambda s: s["type"] == "IBAN_CODE"), lambda ibans: F.filter(e, lambda s: (s["type"] != "PHONE_NUMBER") | free(s, ibans))))
 
 
 def pattern_spans(text: Column | str) -> Column:
@@ -81,8 +95,11 @@ def has_person_hint(text: Column | str) -> Column:
 
 
 def explode_spans(df: DataFrame, id_col: str, every: Column) -> DataFrame:
-    """(id, type, value, start, end), one row a span."""
-    return df.select(F.col(id_col), F.explode(every).alias("s")).select(id_col, "s.type", "s.value", "s.start", "s.end")
+    """(id, type, value, start, end), one row a span.
+
+    The outer form keeps the optimizer from evaluating the spans once more in a filter before they are laid out.
+    """
+    return df.select(F.col(id_col), F.explode_outer(every).alias("s")).where("s is not null").select(id_col, "s.type", "s.value", "s.start", "s.end")
 
 
 def unexpected_literals(text: Column | str, allowed: Column, pattern: str) -> Column:
