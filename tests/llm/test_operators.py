@@ -4,8 +4,10 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 
+from veilspark.functions.shingles import word_hashes
 from veilspark.llm import langid, leakage, mixing, personal, residue, tokens
 
 VOCABULARY = tokens.VOCABULARY
@@ -150,6 +152,33 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(df.limit(0), held, "doc", "body", "item", "passage").count() == 0 == leakage.leaks(df, held.limit(0), "doc", "body", "item", "passage").count()
 
 
+def test_candidates_have_every_pair_of_the_cosine():
+    rnd, rng = random.Random(3), np.random.default_rng(3)
+    words = [f"word{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(80))) for i in range(20)]
+    docs = [" ".join(rnd.choice(words) if rnd.random() < 0.08 else w for w in items[i % 20][1].split()[i % 8 :]) for i in range(200)] + ["", "word1 " * 40]
+    size = 1 << leakage.FEATURE_BITS
+    idf, basis = rng.uniform(1, 5, size).astype(np.float32), rng.standard_normal((size, leakage.RANK)).astype(np.float32)
+    index = leakage.Index(items, idf, basis)
+    hashes, at = word_hashes(docs)
+    window = np.arange(leakage.WINDOW)
+    first = np.concatenate([np.arange(a, b - leakage.WINDOW + 1, leakage.STRIDE) for a, b in zip(at[:-1], at[1:])])
+
+    def vectors(h, starts):
+        v = (basis * idf[:, None])[leakage._features(h)][starts[:, None] + window].sum(1) - index.center
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    near = vectors(hashes, first) @ vectors(index.words, index.starts).T
+    want = set()
+    for p, q in zip(*np.nonzero(near >= 0.9001)):
+        mine = index.words[index.starts[q] + window]
+        if np.isin(mine[np.argsort(-idf[leakage._features(mine)], kind="stable")[:3]], hashes[first[p] + window]).all():
+            want.add((int(first[p]), int(q)))
+    a, b, cosine = index.candidates(hashes, at, 0.9)
+    got = list(zip(a.tolist(), b.tolist()))
+    assert len(want) > 200 and want <= set(got) and len(set(got)) == len(got) and (cosine >= 0.9).all()
+
+
 def test_languages_of_segments(spark):
     rnd = random.Random(1)
     groups = {"en": EN, "de": DE, "nl": NL, "fr": FR, "es": ES}

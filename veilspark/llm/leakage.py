@@ -5,11 +5,12 @@
    driver gets a matrix of fixed size and takes the leading directions from it (Nystroem). The directions are
    fitted on at most FIT_DOCS documents chosen by a hash; every passage of every document is indexed with them.
 3. A passage is a window of WINDOW words; those of a document start at every STRIDE-th word, those of an item at
-   every word, so a common run of WINDOW + STRIDE - 1 words or more always holds two equal passages. Candidates
-   share a sign code of the latent coordinates in one of TABLES tables and have a cosine of at least ``cosine``.
-4. Each candidate is checked on the words themselves: the run of equal words it lies in is followed to both sides.
-   Where the passages differ, the answer check asks for the item passage's rarest words, then the longest common
-   subsequence of the surroundings is measured.
+   every word, so a common run of WINDOW + STRIDE - 1 words or more always holds two equal passages.
+4. Candidates are all pairs that pass the answer check, which asks the document's passage for the RAREST rarest words
+   of the item's passage, and have a cosine of at least ``cosine``. Both conditions are exact: pairs are looked up by
+   the item passage's rarest word, then the other words and the cosine are compared.
+5. Each candidate is checked on the words themselves: the run of equal words it lies in is followed to both sides.
+   Where the passages differ, the longest common subsequence of the surroundings is measured.
 
 Items are handled in blocks of BLOCK passages, one pass over the corpus for each block, so what is sent to the
 tasks has a fixed size. Null, empty and shorter texts have no passage and no leak; repeated ids give one row.
@@ -29,7 +30,9 @@ from veilspark.functions.shingles import U, word_hashes
 from veilspark.functions.vectors import vector_total
 
 FEATURE_BITS, RANK, OVERSAMPLE, FIT_DOCS = 15, 48, 8, 20_000
-WINDOW, STRIDE, TABLES, CODE_BITS, BLOCK, SEED = 16, 8, 2, 28, 200_000, 5
+WINDOW, STRIDE, RAREST, BLOCK, SEED = 16, 8, 3, 200_000, 5
+#: Pairs looked at together, which bounds the memory of a batch.
+_PAIRS = 1_000_000
 _MASK = U((1 << FEATURE_BITS) - 1)
 
 
@@ -89,36 +92,38 @@ def directions(rows: DataFrame, idf: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each word."""
+    return U(1) << (words >> U(58))
+
+
 class Index:
     """The passages of the items of one block."""
 
     def __init__(self, items: list[tuple[object, str]], idf: np.ndarray, basis: np.ndarray):
         self.idf = idf
         self.table = (basis * idf[:, None]).astype(np.float32)
-        rng = np.random.default_rng(SEED)
-        self.turn = np.linalg.qr(rng.standard_normal((RANK, RANK)))[0].astype(np.float32)
-        self.turn = np.concatenate([self.turn, np.linalg.qr(rng.standard_normal((RANK, RANK)))[0].astype(np.float32)], 1)[:, : TABLES * CODE_BITS]
         self.ids = [i for i, _ in items]
         self.words, self.at = word_hashes([t for _, t in items])
         sums = self.sums(self.words)
         starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(self.at[:-1], self.at[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
         vectors = (sums[starts + WINDOW] - sums[starts]).astype(np.float32)
         self.center = vectors.mean(0) if len(vectors) else np.zeros(RANK, np.float32)
-        self.vectors, self.codes = self.coded(vectors)
+        self.vectors = self.unit(vectors)
         self.starts, self.owner = starts, np.searchsorted(self.at, starts, "right") - 1
-        self.order = [np.argsort(c, kind="stable") for c in self.codes]
-        self.sorted = [c[o] for c, o in zip(self.codes, self.order)]
+        mine = self.words[starts[:, None] + np.arange(WINDOW)]
+        self.rare = np.take_along_axis(mine, np.argsort(-idf[_features(mine)], axis=1, kind="stable")[:, :RAREST], 1)
+        self.need = np.bitwise_or.reduce(_bits(self.rare), axis=1)
+        self.order = np.argsort(self.rare[:, 0], kind="stable")
+        self.keys, low = np.unique(self.rare[self.order, 0], return_index=True)
+        self.ends = np.append(low, len(starts))
 
     def sums(self, words: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros((1, RANK)), np.cumsum(self.table[_features(words)], axis=0, dtype=np.float64)])
 
-    def coded(self, vectors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Unit vectors, and their code in each table."""
+    def unit(self, vectors: np.ndarray) -> np.ndarray:
         vectors = vectors - self.center
-        signs = (vectors @ self.turn > 0).astype(np.int64)
-        powers = 1 << np.arange(CODE_BITS, dtype=np.int64)
-        codes = [signs[:, t * CODE_BITS : (t + 1) * CODE_BITS] @ powers for t in range(TABLES)]
-        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), codes
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
     def candidates(self, words: np.ndarray, at: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word of the document's passage, item passage and cosine of all candidate pairs."""
@@ -126,22 +131,38 @@ class Index:
         first = np.repeat(at[:-1], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
         if not len(first) or not len(self.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        x = self.table[_features(words)]
-        vectors = np.zeros((len(first), RANK), np.float32)
+        grid = np.arange(WINDOW)
+        bits, held = _bits(words), np.zeros(len(first), U)
         for i in range(WINDOW):
-            vectors += x[first + i]
-        vectors, codes = self.coded(vectors)
-        pairs = []
-        for c, order, keys in zip(codes, self.order, self.sorted):
-            low, high = np.searchsorted(keys, c, "left"), np.searchsorted(keys, c, "right")
-            n = high - low
-            p = np.repeat(np.arange(len(c)), n)
-            pairs.append(p * len(self.starts) + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)])
-        both = np.unique(np.concatenate(pairs))
-        p, q = both // len(self.starts), both % len(self.starts)
-        near = np.concatenate([np.einsum("ij,ij->i", vectors[p[i : i + 100_000]], self.vectors[q[i : i + 100_000]]) for i in range(0, len(p), 100_000)] or [np.zeros(0)])
-        keep = near >= cosine
-        return first[p[keep]], q[keep], near[keep]
+            held |= bits[first + i]
+        key = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        key[self.keys[key] != words] = -1
+        key = np.sort(key[first[:, None] + grid], axis=1)
+        fresh = key >= 0
+        fresh[:, 1:] &= key[:, 1:] != key[:, :-1]  # an item passage has one rarest word, so each pair comes once
+        passage = np.nonzero(fresh)[0]
+        low, n = self.ends[key[fresh]], np.diff(self.ends)[key[fresh]]
+        done = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(done, np.arange(0, int(done[-1]) if len(done) else 0, _PAIRS), "left")).tolist() + [len(n)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            size = n[i:j]
+            p = np.repeat(passage[i:j], size)
+            q = self.order[np.arange(len(p)) + np.repeat(low[i:j] - (np.cumsum(size) - size), size)]
+            keep = (held[p] & self.need[q]) == self.need[q]
+            p, q = p[keep], q[keep]
+            for k in range(1, RAREST):
+                keep = (words[first[p][:, None] + grid] == self.rare[q, k][:, None]).any(1)
+                p, q = p[keep], q[keep]
+            some, back = np.unique(p, return_inverse=True)
+            vectors = np.zeros((len(some), RANK), np.float32)
+            for k in range(WINDOW):
+                vectors += self.table[_features(words[first[some] + k])]
+            vectors = self.unit(vectors)
+            near = np.concatenate([np.einsum("ij,ij->i", vectors[back[a : a + 100_000]], self.vectors[q[a : a + 100_000]]) for a in range(0, len(p), 100_000)] or [np.zeros(0)])
+            keep = near >= cosine
+            out.append((first[p[keep]], q[keep], near[keep]))
+        return tuple(map(np.concatenate, zip(*out)))
 
     def runs(self, words: np.ndarray, at: np.ndarray, first: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the run of equal words that holds each candidate, 0 where the passages differ."""
@@ -170,14 +191,6 @@ class Index:
         out[live] = length
         return out
 
-    def answered(self, words: np.ndarray, first: np.ndarray, q: np.ndarray, rarest: int = 3) -> np.ndarray:
-        """The document's passage holds the rarest words of the item's passage."""
-        grid = np.arange(WINDOW)
-        mine = self.words[self.starts[q][:, None] + grid]
-        theirs = words[first[:, None] + grid]
-        rare = np.argsort(-self.idf[_features(mine)], axis=1, kind="stable")[:, :rarest]
-        return (np.take_along_axis(mine, rare, 1)[:, :, None] == theirs[:, None, :]).any(2).all(1)
-
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two word arrays."""
@@ -191,8 +204,8 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 def leaks(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, cosine: float = 0.9, least_run: int = WINDOW + STRIDE - 1, least_share: float = 0.7) -> DataFrame:
     """(id, item_id, longest_run, subsequence_share) of every document with a passage of an item.
 
-    A pair is given if its longest run found has at least ``least_run`` words, or if the answer check passes for a
-    passage and the longest common subsequence of its surroundings covers ``least_share`` of the item's.
+    A pair is given if its longest run found has at least ``least_run`` words, or if the longest common subsequence
+    of a candidate's surroundings covers ``least_share`` of the item's.
     """
     spark = df.sparkSession
     rows = df.where(F.col(id_col).isNotNull() & has_text(text_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -217,7 +230,6 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
                 for t, m, r in zip(text[run > 0].tolist(), item[run > 0].tolist(), run[run > 0].tolist()):
                     best.setdefault((t, m), [0, 0.0])[0] = max(r, best.get((t, m), [0])[0])
                 other = np.flatnonzero(run == 0)
-                other = other[index.answered(words, first[other], q[other])] if len(other) else other
                 seen: set[tuple[int, int, int]] = set()
                 for k in other.tolist():
                     t, m = int(text[k]), int(item[k])
