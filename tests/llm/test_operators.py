@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -179,6 +180,35 @@ def test_candidates_have_every_pair_of_the_cosine():
     assert len(want) > 200 and want <= set(got) and len(set(got)) == len(got) and (cosine >= 0.9).all()
 
 
+def test_every_candidate_of_an_item_is_compared(spark):
+    items = [(i, " ".join("the" if k == 12 else f"item{i}x{k}" for k in range(24))) for i in range(6)]
+    filler = " ".join(f"the {i}a" for i in range(24))
+    docs = [(i, filler) for i in range(20)]
+    for i, text in items:
+        w = text.split()
+        reworded = " ".join([*w[:12], "a", *w[13:]])
+        docs += [(100 + i, f"{' '.join(w[15::-1])} {filler} {reworded}"), (200 + i, f"{' '.join(w[15::-1])} {filler}"), (300 + i, f"a {reworded}")]
+        docs += [(400 + i, f"{filler} {' '.join([*w[:18], 'a', 'a', *w[20:]])}")]
+    df, held = spark.createDataFrame(docs, "doc long, body string"), spark.createDataFrame(items, "item long, passage string")
+    got = {(r["id"], r["item_id"]): (r["longest_run"], round(r["subsequence_share"], 6)) for r in leakage.leaks(df, held, "doc", "body", "item", "passage").collect()}
+    assert got == {(d + i, i): (run, round(n / 24, 6)) for i in range(6) for d, run, n in ((100, 0, 23), (300, 0, 23), (400, 18, 22))}
+
+
+def test_common_subsequences_equal_the_table():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 6, 300).astype(np.uint64), rng.integers(0, 6, 300).astype(np.uint64)
+    lo, lo2 = rng.integers(0, 290, 80), rng.integers(0, 290, 80)
+    hi, hi2 = np.minimum(lo + rng.integers(1, 33, 80), 300), np.minimum(lo2 + rng.integers(1, 49, 80), 300)
+
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for u in x:
+            row = [0, *accumulate((max(row[k + 1], row[k] + (u == v)) for k, v in enumerate(y)), max)]
+        return row[-1]
+
+    assert leakage.common_subsequences(a, lo, hi, b, lo2, hi2).tolist() == [table(a[i:j].tolist(), b[k:n].tolist()) for i, j, k, n in zip(lo, hi, lo2, hi2)]
+
+
 def test_languages_of_segments(spark):
     rnd = random.Random(1)
     groups = {"en": EN, "de": DE, "nl": NL, "fr": FR, "es": ES}

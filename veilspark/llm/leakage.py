@@ -10,7 +10,8 @@
    of the item's passage, and have a cosine of at least ``cosine``. Both conditions are exact: pairs are looked up by
    the item passage's rarest word, then the other words and the cosine are compared.
 5. Each candidate is checked on the words themselves: the run of equal words it lies in is followed to both sides.
-   Where the passages differ, the longest common subsequence of the surroundings is measured.
+   The longest common subsequence of the surroundings is measured for every candidate of a document and item without
+   a run of ``least_run`` words.
 
 Items are handled in blocks of BLOCK passages, one pass over the corpus for each block, so what is sent to the
 tasks has a fixed size. Null, empty and shorter texts have no passage and no leak; repeated ids give one row.
@@ -192,13 +193,18 @@ class Index:
         return out
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two word arrays."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        hit = row[:-1] + (b == x)
-        row[1:] = np.maximum.accumulate(np.maximum(hit, row[1:]))
-    return int(row[-1])
+def common_subsequences(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each range of words of ``a`` and its range of ``b``."""
+    if not len(a_from):
+        return np.zeros(0, np.int64)
+    at = b_from[:, None] + np.arange(int((b_to - b_from).max()))
+    theirs, inside = b[np.minimum(at, len(b) - 1)], at < b_to[:, None]
+    row = np.zeros((len(at), at.shape[1] + 1), np.int16)
+    for k in range(int((a_to - a_from).max())):
+        x = a[np.minimum(a_from + k, len(a) - 1)]
+        hit = row[:, :-1] + ((theirs == x[:, None]) & inside & (a_from + k < a_to)[:, None])
+        row[:, 1:] = np.maximum.accumulate(np.maximum(hit, row[:, 1:]), axis=1)
+    return row[:, -1].astype(np.int64)
 
 
 def leaks(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, cosine: float = 0.9, least_run: int = WINDOW + STRIDE - 1, least_share: float = 0.7) -> DataFrame:
@@ -226,24 +232,19 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
                 first, q, _ = index.candidates(words, at, cosine)
                 run = index.runs(words, at, first, q)
                 text, item = np.searchsorted(at, first, "right") - 1, index.owner[q]
-                best: dict[tuple[int, int], list] = {}
-                for t, m, r in zip(text[run > 0].tolist(), item[run > 0].tolist(), run[run > 0].tolist()):
-                    best.setdefault((t, m), [0, 0.0])[0] = max(r, best.get((t, m), [0])[0])
-                other = np.flatnonzero(run == 0)
-                seen: set[tuple[int, int, int]] = set()
-                for k in other.tolist():
-                    t, m = int(text[k]), int(item[k])
-                    place = (t, m, int(index.starts[q[k]]) // WINDOW)
-                    if place in seen or best.get((t, m), [0])[0] >= least_run:
-                        continue
-                    seen.add(place)
-                    i = int(index.starts[q[k]])
-                    mine = index.words[max(index.at[m], i - STRIDE) : min(index.at[m + 1], i + WINDOW + STRIDE)]
-                    theirs = words[max(at[t], first[k] - 2 * STRIDE) : min(at[t + 1], first[k] + WINDOW + 2 * STRIDE)]
-                    entry = best.setdefault((t, m), [0, 0.0])
-                    entry[1] = max(entry[1], common_subsequence(mine, theirs) / len(mine))
-                hit = [(t, m, r, 1.0 if r >= least_run else s) for (t, m), (r, s) in best.items() if r >= least_run or s >= least_share]
-                return {"id": [ids[t] for t, _, _, _ in hit], "item_id": [index.ids[m] for _, m, _, _ in hit], "longest_run": [r for _, _, r, _ in hit], "subsequence_share": [s for *_, s in hit]}
+                names, pair = np.unique(text * len(index.ids) + item, return_inverse=True)
+                longest, share = np.zeros(len(names), np.int64), np.zeros(len(names))
+                np.maximum.at(longest, pair, run)
+                other = np.flatnonzero(longest[pair] < least_run)
+                for k in range(0, len(other), 50_000):
+                    o = other[k : k + 50_000]
+                    t, m, i = text[o], item[o], index.starts[q[o]]
+                    low, high = np.maximum(index.at[m], i - STRIDE), np.minimum(index.at[m + 1], i + WINDOW + STRIDE)
+                    common = common_subsequences(index.words, low, high, words, np.maximum(at[t], first[o] - 2 * STRIDE), np.minimum(at[t + 1], first[o] + WINDOW + 2 * STRIDE))
+                    np.maximum.at(share, pair[o], common / (high - low))
+                share[longest >= least_run] = 1.0
+                hit = np.flatnonzero((longest >= least_run) | (share >= least_share))
+                return {"id": [ids[n] for n in (names[hit] // len(index.ids)).tolist()], "item_id": [index.ids[n] for n in (names[hit] % len(index.ids)).tolist()], "longest_run": longest[hit].tolist(), "subsequence_share": share[hit].tolist()}
 
             return work
 
