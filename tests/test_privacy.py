@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,39 @@ def test_thresholds_equal_brute_force(spark):
     assert abs(thresholds.average_precision(df, "p", F.col("y"), "y").first()["average_precision"] - ap / pos) < 1e-9
 
 
+def _best_points(scores, n, pos, recalls, precision, steps):
+    """Of all pairs of candidates, from counts by score: key of the best one and number of feasible ones."""
+    n_all, n_pos = n.sum(), pos.sum()
+    cands = np.unique(np.concatenate([np.arange(steps) / (steps - 1), scores, (scores[1:] + scores[:-1]) / 2]))
+    cn, cp = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(pos))
+    below, upto = np.searchsorted(scores, cands, "left"), np.searchsorted(scores, cands, "right")
+    yes, tp = n_all - cn[upto], n_pos - cp[upto]
+    fits = (yes == 0) | (np.round(tp / np.maximum(yes, 1), 6) >= precision)
+    out = {}
+    for r in recalls:
+        best, feasible = None, 0
+        for i in np.flatnonzero(1 - cp[below] / n_pos >= r):
+            js = np.flatnonzero(fits[i:]) + i
+            feasible += len(js)
+            part = np.floor((n_all - cn[below[i]] - yes[js]) / n_all * 1e6 + 0.5) / 1e6
+            js = js[part == part.min()]
+            j = min(js.tolist(), key=lambda j: (yes[j] - tp[j], cands[j]))
+            key = (round(float(part.min()), 6), int(cp[below[i]]), int(yes[j] - tp[j]), -int(cn[below[i]]), float(cands[i]), float(cands[j]))
+            best = min(best or key, key)
+        out[r] = (*best[:3], *best[4:], feasible)
+    return out
+
+
+@pytest.mark.parametrize("rows, values, recalls", [(20_500, 1_000_003, [0.997, 0.999]), (4_000_000, 150, [0.8, 0.95, 1.0])])
+def test_frontier_of_many_scores_and_rows_equals_all_pairs(spark, rows, values, recalls):
+    score = F.pow(F.pmod(F.col("id") * 7919, F.lit(values)) / values, F.lit(3)) if values < 1000 else F.pmod(F.col("id") * 7919, F.lit(values)) / values
+    df = spark.range(rows).select(F.round(score, 6).alias("p"), (F.pmod(F.xxhash64("id"), F.lit(1000)) < F.floor(score * 800) + 60).alias("y"))
+    by = df.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).orderBy("p").toPandas()
+    want = _best_points(by["p"].to_numpy(), by["n"].to_numpy(), by["pos"].to_numpy(), recalls, 0.6, 11)
+    got = {r["recall_target"]: (r["routed_fraction"], r["missed"], r["auto_yes_fp"], r["t_low"], r["t_high"], r["n_feasible_points"]) for r in thresholds.frontier(df, "p", F.col("y"), recalls, 0.6, 11).collect()}
+    assert got == want
+
+
 def test_split_keeps_groups_and_shares(spark):
     rows = [(f"Text  {i % 140}", i % 7 == 0) for i in range(200)] + [(None, False), ("text 3", True)]
     df = spark.createDataFrame(rows, "t string, y boolean")

@@ -1,8 +1,9 @@
 """Choosing thresholds of a score: average precision, sweeps, calibration and frontier.
 
 All work on (p, truth). Scores are first aggregated to their distinct values, so the ordered steps see at most
-as many rows as there are distinct scores, and the pairs of candidates are joined from two small tables. Rows with
-a null or no number as their score take no part.
+as many rows as there are distinct scores. Operating points are found from ordered prefix counts, without building
+the pairs of candidates, so there may be any number of scores. Rows with a null or no number as their score take no
+part.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 from veilspark.functions.materialize import cut
 from veilspark.operators.metrics import ratio
 
-#: Candidates up to which pairs are built; scores beyond it are first rounded by the caller.
-MOST_CANDIDATES = 20_000
-
 
 def scored(df: DataFrame, p: str, truth: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., p, n, pos) for each distinct score."""
@@ -69,36 +67,43 @@ def sweep(cum: DataFrame) -> DataFrame:
     return cum.select("t", tp.alias("TP"), fp.alias("FP"), (pos - tp).alias("FN"), (n - pos - fp).alias("TN"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
 
 
-def pairs(cum: DataFrame) -> DataFrame:
-    """Operating points (t_low, t_high) with t_high at or over t_low. ``cum`` has at most MOST_CANDIDATES rows."""
-    low = F.broadcast(cum.select(F.col("t").alias("t_low"), F.col("n_below").alias("auto_no_n"), F.col("pos_below").alias("missed"), "n_all", "n_pos"))
-    high = cum.select(F.col("t").alias("t_high"), (F.col("n_all") - F.col("n_upto")).alias("auto_yes_n"), (F.col("n_pos") - F.col("pos_upto")).alias("auto_yes_tp"))
-    both = high.join(low, F.col("t_high") >= F.col("t_low"))
-    routed = F.col("n_all") - F.col("auto_no_n") - F.col("auto_yes_n")
-    return both.withColumns({"recall": 1 - F.col("missed") / F.col("n_pos"), "auto_yes_fp": F.col("auto_yes_n") - F.col("auto_yes_tp"), "routed_n": routed, "routed_fraction": F.round(routed / F.col("n_all"), 6), "auto_yes_precision": F.when(F.col("auto_yes_n") > 0, F.round(F.col("auto_yes_tp") / F.col("auto_yes_n"), 6))})
-
-
 def _positives(points: DataFrame) -> None:
-    got = points.agg(F.sum("pos").alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    if not got["pos"]:
+    if not points.agg(F.sum("pos").alias("pos")).first()["pos"]:
         raise ValueError("a recall can't be held on data without positives")
-    if got["n"] > MOST_CANDIDATES:
-        raise ValueError(f"{got['n']} distinct scores; round them to at most {MOST_CANDIDATES}")
 
 
 def frontier(df: DataFrame, p: str, truth: Column, recalls: list[float], precision: float, steps: int = 201) -> DataFrame:
-    """For each wanted recall the operating point that routes least, in one job over the shared pairs.
+    """For each wanted recall the operating point (t_low, t_high), t_high at or over t_low, that routes least.
 
     Ties go to fewer missed positives, fewer unreviewed false positives, more automatic negatives, then smaller
     t_low and t_high. Where nothing is feasible everything is routed (0, 1).
+
+    Recall depends on t_low only and precision on t_high only. Rows over t_high and false positives among them fall as
+    t_high rises, so a t_low routes least with the next t_high that holds the precision. Of the t_low with the least
+    routed and missed, the one with the most automatic negatives leaves the most room for a higher t_high at the same
+    rounded fraction, so it is also the one with the fewest false positives.
     """
     points = cut(scored(df, p, truth))
     _positives(points)
-    every = pairs(cumulative(points, candidates(points, steps)))
+    cum = cumulative(points, candidates(points, steps))
+    yes, tp = F.col("n_all") - F.col("n_upto"), F.col("n_pos") - F.col("pos_upto")
+    share = F.when(yes > 0, F.round(tp / yes, 6))
+    fits = share.isNull() | (share >= precision)
+    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    cum = cut(cum.select("t", "n_below", "pos_below", "n_all", "n_pos", yes.alias("yes"), (yes - tp).alias("fp"), share.alias("share"), fits.alias("fits")).withColumns({"next_yes": F.last(F.when(F.col("fits"), F.col("yes")), True).over(down), "n_fits": F.count_if("fits").over(down)}))
     targets = df.sparkSession.createDataFrame([(float(r),) for r in recalls], "recall_target double")
-    fit = every.where(F.col("auto_yes_precision").isNull() | (F.col("auto_yes_precision") >= precision)).join(F.broadcast(targets), F.col("recall") >= F.col("recall_target"))
-    key = F.struct("routed_fraction", "missed", "auto_yes_fp", (-F.col("auto_no_n")).alias("wide"), "t_low", "t_high", "routed_n", "auto_yes_n", "auto_yes_precision")
-    best = fit.groupBy("recall_target").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n_feasible_points")).select("recall_target", "k.*", "n_feasible_points").drop("wide")
+
+    def routed(over: str) -> Column:
+        return F.col("n_all") - F.col("n_below") - F.col(over)
+
+    low = cum.where("n_fits > 0").join(F.broadcast(targets), 1 - F.col("pos_below") / F.col("n_pos") >= F.col("recall_target"))
+    first = F.struct(F.round(routed("next_yes") / F.col("n_all"), 6).alias("routed_fraction"), F.col("pos_below").alias("missed"), (-F.col("n_below")).alias("wide"), F.col("t").alias("t_low"))
+    low = low.groupBy("recall_target").agg(F.min(first).alias("k"), F.sum("n_fits").alias("n_feasible_points")).select("recall_target", "k.*", "n_feasible_points")
+    high = cum.where("fits").drop("n_below").join(F.broadcast(low.withColumn("n_below", -F.col("wide"))), F.col("t") >= F.col("t_low"))
+    high = high.where(F.round(routed("yes") / F.col("n_all"), 6) == F.col("routed_fraction"))
+    key = F.struct(F.col("fp").alias("auto_yes_fp"), F.col("t").alias("t_high"), routed("yes").alias("routed_n"), F.col("yes").alias("auto_yes_n"), F.col("share").alias("auto_yes_precision"))
+    best = high.groupBy("recall_target", "routed_fraction", "missed", "t_low", "n_feasible_points").agg(F.min(key).alias("k"))
+    best = best.select("recall_target", "routed_fraction", "missed", "k.auto_yes_fp", "t_low", "k.t_high", "k.routed_n", "k.auto_yes_n", "k.auto_yes_precision", "n_feasible_points")
     out = targets.join(best, "recall_target", "left").withColumn("feasible", F.col("n_feasible_points").isNotNull())
     return out.withColumns({"t_low": F.coalesce("t_low", F.lit(0.0)), "t_high": F.coalesce("t_high", F.lit(1.0)), "n_feasible_points": F.coalesce("n_feasible_points", F.lit(0))})
 
