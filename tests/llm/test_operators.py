@@ -41,6 +41,15 @@ def test_residue_and_reports(spark):
     assert residue.residue(df.limit(0), "rid", "body").count() == 0
 
 
+def test_residue_beside_a_report_counts(spark):
+    pattern, field = "The pattern YYYY-MM-DD applies to all backup tapes in GovVault according to the trainer.", 'The merge field "{{customer_no}}" is filled by BomSync since version 5.4.16, as the trainer reported.'
+    filler = [(f"f{i}", f"Item {i} was stored in room {i} and the list of the team was checked again on page {i}.") for i in range(60)]
+    cases = [("c1", f"Kundennummer: {{{{customer_id}}}}. {pattern}"), ("c2", f"Kundennummer: {{{{customer_id}}}}. {field}"), ("c3", f"{field} Name: {{{{employee_name}}}}"), ("c4", f"{pattern} Date: YYYY-MM-DD"), ("c5", f"Date: YYYY-MM-DD {pattern}"), ("c6", "The pattern YYYY-MM-DD applies to all {{tapes}} in GovVault according to the trainer.")]
+    fine = [("o1", pattern), ("o2", field), ("o3", f"{pattern} {field} {pattern}"), ("o4", f"Number: 12. {field}")]
+    df = spark.createDataFrame([*filler, *cases, *fine], "rid string, body string")
+    assert {r["id"] for r in residue.residue(df, "rid", "body").where("kind is not null").collect()} == {r[0] for r in cases}
+
+
 @needs_vocabulary
 def test_token_counts_equal_the_library():
     tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")

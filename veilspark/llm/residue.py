@@ -4,7 +4,8 @@ Labelled exemplars are retrieved through an inverted index of their words. A win
 if it holds at least ``containment`` of the exemplar's TF-IDF weight; weights come from the document frequencies
 of all records. Only windows around the exemplar's rarest words are looked at: the smallest set of words without
 which the containment can't be reached, so nothing is missed. Exemplars of ordinary sentences that report about
-errors, templates or notices are matched the same way; a residue match inside such a sentence doesn't count.
+errors, templates or notices are matched the same way. Both are cut to their first and last word that counts; a
+residue match doesn't count if it lies wholly inside such a sentence and consists of words of that report's exemplar.
 
 Null, empty and blank texts have no match. Of several matches the one with the greatest containment is given, ties
 by the exemplar's place in the list; rows that repeat an id give one result each.
@@ -13,6 +14,7 @@ by the exemplar's place in the list; rows that repeat an id give one result each
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,18 @@ class Index:
             width = len(words) + 4 + len(words) // 2 if len(words) > 1 else 1
             self.entries.append((kind, terms, tf, idf[terms], float(weight.sum()), terms[rare[:need]], width, limit))
 
+    def _span(self, e: int, words: np.ndarray, start: int, end: int) -> tuple[int, int]:
+        """The window without the words at its ends that the exemplar doesn't have, or has less often."""
+        spare = Counter(words[start:end].tolist())
+        spare.subtract(dict(zip(self.entries[e][1].tolist(), self.entries[e][2].tolist())))
+        while start < end and spare[w := int(words[start])] > 0:
+            spare[w] -= 1
+            start += 1
+        while start < end and spare[w := int(words[end - 1])] > 0:
+            spare[w] -= 1
+            end -= 1
+        return start, end
+
     def search(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Matches of residue exemplars: text, exemplar, containment and the window's first word in the text."""
         place, term, text, offsets = _hits(texts, self.names, self.numbers)
@@ -133,14 +147,17 @@ class Index:
             end = np.minimum(start + width, offsets[owner[ok] + 1])
             (reports if kind == "report" else found).append((owner[ok], np.full(ok.sum(), e), share[ok], np.maximum(start, offsets[owner[ok]]), p[ok], end))
         empty = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) + (np.zeros(0, np.int64),) * 3]
-        owner, e, share, start, p, _ = map(np.concatenate, zip(*(found or empty)))
+        owner, e, share, start, _, end = map(np.concatenate, zip(*(found or empty)))
         keep = np.ones(len(owner), bool)
-        _, _, _, r_start, _, r_end = map(np.concatenate, zip(*(reports or empty)))
-        if len(r_start):
-            covered = np.zeros(len(words) + 1, np.int32)
-            np.add.at(covered, r_start, 1)
-            np.add.at(covered, r_end, -1)
-            keep = np.cumsum(covered)[p] <= 0
+        told: dict[int, list[tuple[int, int, int]]] = {}
+        for _, t, k, i, j in sorted((-x, t, k, *self._span(k, words, i, j)) for t, k, x, i, _, j in {h for hits in reports for h in zip(*(c.tolist() for c in hits))}):
+            # Of overlapping windows of one exemplar the best one is the sentence.
+            if not any(k == other and i < high and low < j for other, low, high in told.get(t, [])):
+                told.setdefault(t, []).append((k, i, j))
+        for h in np.flatnonzero(np.isin(owner, list(told))).tolist():
+            i, j = self._span(int(e[h]), words, int(start[h]), int(end[h]))
+            mine = set(words[i:j].tolist()) & set(self.entries[e[h]][1].tolist())
+            keep[h] = not any(low <= i and j <= high and mine <= set(self.entries[k][1].tolist()) for k, low, high in told[int(owner[h])])
         return owner[keep], e[keep], share[keep], start[keep] - offsets[owner[keep]]
 
 
