@@ -175,7 +175,7 @@ def test_candidates_have_every_pair_of_the_cosine():
     first = np.concatenate([np.arange(a, b - leakage.WINDOW + 1, leakage.STRIDE) for a, b in zip(at[:-1], at[1:])])
 
     def vectors(h, starts):
-        v = (basis * idf[:, None])[leakage._features(h)][starts[:, None] + window].sum(1) - index.center
+        v = (basis * idf[:, None])[leakage._features(h)][starts[:, None] + window].sum(1)
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     near = vectors(hashes, first) @ vectors(index.words, index.starts).T
@@ -203,6 +203,18 @@ def test_every_candidate_of_an_item_is_compared(spark):
     assert got == {(d + i, i): (run, round(n / 24, 6)) for i in range(6) for d, run, n in ((100, 0, 23), (300, 0, 23), (400, 18, 22))}
 
 
+def test_a_single_passage_is_found_in_every_block(spark, monkeypatch):
+    items = [(i, " ".join(f"item{i}x{k}" for k in range(16))) for i in range(3)]
+    filler = " ".join(f"the {i}a" for i in range(24))
+    df = spark.createDataFrame([(i, filler) for i in range(20)] + [(100 + i, f"{filler} {text} {filler}") for i, text in items], "doc long, body string")
+    held = spark.createDataFrame(items, "item long, passage string")
+    want = {(100 + i, i, 16, 1.0) for i in range(3)}
+    for block in (leakage.BLOCK, 1):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        assert {tuple(r) for r in leakage.leaks(df, held, "doc", "body", "item", "passage").collect()} == want
+    assert {tuple(r) for r in leakage.leaks(df, held.where("item = 1"), "doc", "body", "item", "passage").collect()} == {(101, 1, 16, 1.0)}
+
+
 def test_common_subsequences_equal_the_table():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 6, 300).astype(np.uint64), rng.integers(0, 6, 300).astype(np.uint64)

@@ -8,7 +8,8 @@
    every word, so a common run of WINDOW + STRIDE - 1 words or more always holds two equal passages.
 4. Candidates are all pairs that pass the answer check, which asks the document's passage for the RAREST rarest words
    of the item's passage, and have a cosine of at least ``cosine``. Both conditions are exact: pairs are looked up by
-   the item passage's rarest word, then the other words and the cosine are compared.
+   the item passage's rarest word, then the other words and the cosine are compared. A pair's cosine depends on its
+   own words only, so it is the same in every block.
 5. Each candidate is checked on the words themselves: the run of equal words it lies in is followed to both sides.
    The longest common subsequence of the surroundings is measured for every candidate of a document and item without
    a run of ``least_run`` words.
@@ -98,6 +99,10 @@ def _bits(words: np.ndarray) -> np.ndarray:
     return U(1) << (words >> U(58))
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+
 class Index:
     """The passages of the items of one block."""
 
@@ -109,8 +114,7 @@ class Index:
         sums = self.sums(self.words)
         starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(self.at[:-1], self.at[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
         vectors = (sums[starts + WINDOW] - sums[starts]).astype(np.float32)
-        self.center = vectors.mean(0) if len(vectors) else np.zeros(RANK, np.float32)
-        self.vectors = self.unit(vectors)
+        self.vectors = _unit(vectors)
         self.starts, self.owner = starts, np.searchsorted(self.at, starts, "right") - 1
         mine = self.words[starts[:, None] + np.arange(WINDOW)]
         self.rare = np.take_along_axis(mine, np.argsort(-idf[_features(mine)], axis=1, kind="stable")[:, :RAREST], 1)
@@ -122,10 +126,6 @@ class Index:
     def sums(self, words: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros((1, RANK)), np.cumsum(self.table[_features(words)], axis=0, dtype=np.float64)])
 
-    def unit(self, vectors: np.ndarray) -> np.ndarray:
-        vectors = vectors - self.center
-        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-
     def candidates(self, words: np.ndarray, at: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word of the document's passage, item passage and cosine of all candidate pairs."""
         counts = np.maximum((np.diff(at) - WINDOW) // STRIDE + 1, 0)
@@ -159,8 +159,10 @@ class Index:
             vectors = np.zeros((len(some), RANK), np.float32)
             for k in range(WINDOW):
                 vectors += self.table[_features(words[first[some] + k])]
-            vectors = self.unit(vectors)
+            vectors = _unit(vectors)
             near = np.concatenate([np.einsum("ij,ij->i", vectors[back[a : a + 100_000]], self.vectors[q[a : a + 100_000]]) for a in range(0, len(p), 100_000)] or [np.zeros(0)])
+            same = (words[first[p][:, None] + grid] == self.words[self.starts[q][:, None] + grid]).all(1)
+            near[same] = 1.0  # also where no word is in the fitted sample and the vector is zero
             keep = near >= cosine
             out.append((first[p[keep]], q[keep], near[keep]))
         return tuple(map(np.concatenate, zip(*out)))
