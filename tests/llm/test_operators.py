@@ -71,6 +71,23 @@ def test_token_budget_rolls_up(spark):
     assert sum(r["tokens"] for r in got if r["level"] == 0) == total["tokens"] == sum(r["tokens"] for r in got if r["level"] == 1)
 
 
+@needs_vocabulary
+def test_token_budget_has_every_subtotal(spark):
+    rows = [("a", "one two three", "en", "x", "mail"), ("b", "zwei Worte", "de", "x", "note"), ("c", "four", "en", "y", "mail"), ("d", "vier", None, "y", "note"), ("e", "five six", "en", "y", None)]
+    df = spark.createDataFrame(rows, "doc string, body string, language string, source string, kind string")
+    by = ["source", "language", "kind"]
+    one = {r["doc"]: r["tokens"] for r in tokens.token_counts(df, "body", ["doc"]).collect()}
+    want = {}
+    for doc, _, language, source, kind in rows:
+        for bits in range(8):
+            key = (bits, *(None if bits >> (2 - k) & 1 else v for k, v in enumerate((source, language, kind))))
+            n, t = want.get(key, (0, 0))
+            want[key] = n + 1, t + one[doc]
+    got = tokens.token_budget(df, "doc", "body", by, every=True).collect()
+    assert {(r["grouping"], *(r[c] for c in by)): (r["documents"], r["tokens"]) for r in got} == want and len(got) == len(want)
+    assert all(r["level"] == r["grouping"].bit_count() for r in got)
+
+
 @needs_vocabulary
 def test_mix_meets_shares_and_caps(spark):
     rows = [(i, "alpha beta gamma delta " * 5, ["big", " BIG ", "Small", None, "rest"][i % 5 if i % 50 else 2] if i % 7 else "big") for i in range(2000)] + [(5000, None, "small"), (5001, "", "small")]

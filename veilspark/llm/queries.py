@@ -20,8 +20,8 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Token totals by source_system, language and document_type, with all subtotals."""
-    return tokens.token_budget(table(spark, folder, "synthetic_records"), "document_id", "full_text", ["source_system", "language", "document_type"])
+    """Token totals by source_system, language and document_type, with all subtotals; ``grouping`` tells which."""
+    return tokens.token_budget(table(spark, folder, "synthetic_records"), "document_id", "full_text", ["source_system", "language", "document_type"], every=True)
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:

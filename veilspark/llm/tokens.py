@@ -138,15 +138,17 @@ def token_counts(df: DataFrame, text_col: str, keep: list[str], vocabulary: str
     return map_arrow(rows, kind, start)
 
 
-def token_budget(df: DataFrame, id_col: str, text_col: str, by: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
+def token_budget(df: DataFrame, id_col: str, text_col: str, by: list[str], vocabulary: str = VOCABULARY, every: bool = False) -> DataFrame:
     """Exact totals (by..., level, documents, tokens) of all combinations of the labels and of each shorter list.
 
     Labels are in normal form; level is the number of labels a line is summed over (a null label at level 0 is a
-    null in the data). Rows that repeat an id count once; rows without an id count each.
+    null in the data). With ``every``, totals by each subset of the labels instead of each shorter list, and a column
+    ``grouping`` with a bit for each label, the first one highest, that is 1 where it is summed over. Rows that repeat an id count once; rows without an id count each.
     """
     counts = token_counts(df, text_col, [id_col, *by], vocabulary)
     labels = [normal(c).alias(c) for c in by]
     named = counts.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.struct("tokens", *labels)).alias("r")).select("r.*")
     rows = named.unionByName(counts.where(F.col(id_col).isNull()).select("tokens", *labels))
     level = sum((F.grouping(c).cast("int") for c in by), F.lit(0))
-    return rows.rollup(*by).agg(level.alias("level"), F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
+    grouped, names = (rows.cube(*by), [F.grouping_id().cast("int").alias("grouping")]) if every else (rows.rollup(*by), [])
+    return grouped.agg(level.alias("level"), *names, F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
