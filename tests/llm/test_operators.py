@@ -147,6 +147,14 @@ def test_placeholders_and_surrogates(spark):
     assert personal.surrogates(df.limit(0), "doc", "body", "key").count() == 0
 
 
+def test_surrogates_keep_every_row(spark):
+    name = "Please route this to Ms Orson Pralevow in Plant Safety."
+    df = spark.createDataFrame([("a", name), (None, name), ("b", None), ("c", ""), ("d", " \n "), (None, None), ("a", name)], "doc string, body string")
+    got = [tuple(r) for r in personal.surrogates(df, "doc", "body", "key").collect()]
+    new = dict(got)["a"]
+    assert "Pralevow" not in new and sorted(got, key=str) == sorted([("a", new), (None, new), ("b", None), ("c", ""), ("d", " \n "), (None, None), ("a", new)], key=str)
+
+
 def test_leaks_against_brute_force(spark):
     rnd = random.Random(7)
     words = [f"word{i}" for i in range(300)]

@@ -146,8 +146,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
 ITEMS = "items array<struct<start int, end int, type string, text string>>"
 
 
-def items(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
-    """(id, items), and the text where asked for, of every row with an id and a text."""
+def items(df: DataFrame, id_col: str, text_col: str, with_text: bool = False, every: bool = False) -> DataFrame:
+    """(id, items), and the text where asked for, of every row with an id and a text, or of every row."""
 
     def start():
         def work(b: pa.RecordBatch) -> dict:
@@ -155,7 +155,7 @@ def items(df: DataFrame, id_col: str, text_col: str, with_text: bool = False) ->
 
         return work
 
-    rows = df.where(F.col(id_col).isNotNull() & has_text(text_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = (df if every else df.where(F.col(id_col).isNotNull() & has_text(text_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kept = ", text string" if with_text else ""
     return map_arrow(rows, f"id {rows.schema['id'].dataType.simpleString()}{kept}, {ITEMS}", start)
 
@@ -321,8 +321,8 @@ def surrogate_table(found: DataFrame, key: str, rounds: int = 6) -> DataFrame:
 
 
 def surrogates(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    """(id, text) with every item of every row with an id and a text replaced by its surrogate."""
-    found = cut(items(df, id_col, text_col, with_text=True).withColumn("row", F.monotonically_increasing_id()))
+    """(id, text) of every row with every item replaced by its surrogate."""
+    found = cut(items(df, id_col, text_col, with_text=True, every=True).withColumn("row", F.monotonically_increasing_id()))
     table = surrogate_table(found.select("items"), key)
     one = found.select("row", F.posexplode("items").alias("n", "i")).select("row", "i.*").join(table, ["type", "text"])
     new = one.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("new"))
