@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import langid, leakage, mixing, personal, residue, tokens
+from veilspark.llm import langid, leakage, mixing, personal, records, residue, tokens
 from veilspark.sources.tables import table
 
 
@@ -87,8 +87,8 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_report, p3_budget, p3_counts, p4_found, p4_placeholders, p4_surrogates, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_segments)}
+    return records.queries() | {f.__name__: f for f in (p2_found, p2_report, p3_budget, p3_counts, p4_found, p4_placeholders, p4_surrogates, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return records.oracle_sql()
