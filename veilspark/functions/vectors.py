@@ -1,8 +1,8 @@
 """Adding up bounded numeric vectors over all rows of a table.
 
-Each task keeps one vector of fixed length and emits it compressed, cut into chunks; the chunks are reduced in
-two shuffled steps, so no task reads more than FAN_IN vectors of one chunk times the number of second-step keys,
-and only the final vector, whose length is a constant of the operator, reaches the driver.
+Each task keeps one vector of fixed length and emits it compressed, cut into chunks; the chunks are reduced in a
+tree, so up to FAN_IN ** 3 tasks (two million) no step reads more than FAN_IN vectors of one chunk, and only the final
+vector, whose length is a constant of the operator, reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 
 from veilspark.functions.arrow import slices
 
-FAN_IN = 64
+FAN_IN = 128
 _SCHEMA = "salt int, chunk int, data binary"
 
 
-def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarray, pa.RecordBatch], None], how: str = "sum", chunks: int = 16) -> np.ndarray:
+def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarray, pa.RecordBatch], None], how: str | Callable[[int], str] = "sum", chunks: int = 16) -> np.ndarray:
     """The total of the tasks' vectors; ``add(vector, batch)`` puts a batch into the task's own vector.
 
-    how: "sum", "cap" for sums that stay at the type's greatest value, or "or" for bit fields. An empty table gives
-    zeros.
+    how: "sum", "cap" for sums that stay at the type's greatest value, "or" for bit fields, or a function that tells it
+    of a chunk's number. An empty table gives zeros.
     """
     step = -(-length // chunks)
 
@@ -41,20 +41,24 @@ def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarr
                 add(vector, part)
         yield cut(vector, TaskContext.get().partitionId() // FAN_IN)
 
-    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if how == "cap":
+    def both(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
+        kind = how(chunk) if callable(how) else how
+        if kind == "cap":
             return np.minimum(a, np.iinfo(dtype).max - b) + b
-        return a + b if how == "sum" else a | b
+        return a + b if kind == "sum" else a | b
 
     def reduce(table: pa.Table) -> pa.Table:
-        total = None
+        total, chunk = None, table["chunk"][0].as_py()
+        if table.num_rows == 1:
+            return pa.table({"salt": pa.array([table["salt"][0].as_py() // FAN_IN], pa.int32()), "chunk": table["chunk"], "data": table["data"]})
         for data in table["data"]:
             part = np.frombuffer(zlib.decompress(data.as_py()), dtype)
-            total = part.copy() if total is None else both(total, part)
-        return pa.table({"salt": table["salt"][:1], "chunk": table["chunk"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            total = part.copy() if total is None else both(total, part, chunk)
+        return pa.table({"salt": pa.array([table["salt"][0].as_py() // FAN_IN], pa.int32()), "chunk": table["chunk"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     parts = df.mapInArrow(task, _SCHEMA)
-    parts = parts.groupBy("salt", "chunk").applyInArrow(reduce, _SCHEMA)
+    for _ in range(2):
+        parts = parts.groupBy("salt", "chunk").applyInArrow(reduce, _SCHEMA)
     parts = parts.groupBy("chunk").applyInArrow(reduce, _SCHEMA)
     out = np.zeros(length, dtype)
     for row in parts.collect():
