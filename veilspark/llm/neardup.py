@@ -26,6 +26,8 @@ from veilspark.functions.shingles import minhash, set_keys, shingle_sets
 from veilspark.llm.textclasses import similar_pairs, text_rows
 
 TREES, DEPTH, SEED = 16, 4, 20240917
+#: Classes a task remembers, so that copies it has met carry no signature.
+MOST_SEEN = 1_000_000
 #: Standard deviations under the wanted similarity at which a candidate's estimate from the signature drops it.
 SLACK = 4.5
 
@@ -65,6 +67,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, group_col: str, k: int
             sig = minhash(h, at, trees * depth, SEED)
             k1, k2 = _two_bits(sig)
             new = np.ones(b.num_rows, bool)
+            if len(seen) > MOST_SEEN:
+                seen.clear()
             for i, key in enumerate(zip(b["grp"].to_pylist(), s1.tolist(), s2.tolist())):
                 new[i] = key not in seen
                 seen.add(key)
@@ -110,7 +114,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, group_col: str, t
         # Most prefixes belong to one class: they are aggregated away, copies included, before any row is joined.
         spread = bands.groupBy("band").agg(F.min("s1").alias("low"), F.max("s1").alias("high"))
         rows = cut(bands.join(spread.where("low <> high").select("band"), "band").distinct())
-        pairs = blocked_join(rows.select("band", F.col("s1").alias("a1")), rows.select("band", F.col("s1").alias("b1")), ["band"], ["a1"])
+        pairs = blocked_join(rows.select("band", F.col("s1").alias("a1")), rows.select("band", F.col("s1").alias("b1")), ["band"], ["a1"], spread_right=["b1"])
         pairs = pairs.where("a1 < b1").select("a1", "b1").distinct().join(bits_a, "a1").join(bits_b, "b1")
         pairs = pairs.where(F.lit(trees * depth) - _unequal("ak1", "bk1") - _unequal("ak2", "bk2") >= least_equal(threshold, trees * depth)).select(*ends)
         if seen is not None:
@@ -132,10 +136,10 @@ def member_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs (a, b, similarity) of different ids, a < b: links between classes and equal texts within one."""
     a = members.select("grp", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("id").alias("x"))
     b = members.select("grp", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("id").alias("y"))
-    across = blocked_join(links.join(a, ["a1", "a2"]), b, ["grp", "b1", "b2"], ["x"]).where("x <> y").select("x", "y", "similarity")
+    across = blocked_join(links.join(a, ["a1", "a2"]), b, ["grp", "b1", "b2"], ["x"], spread_right=["y"]).where("x <> y").select("x", "y", "similarity")
     copies = members.groupBy("grp", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", "s1", "s2")
     some = members.join(copies, ["grp", "s1", "s2"])
-    within = blocked_join(some.withColumnRenamed("id", "x"), some.withColumnRenamed("id", "y"), ["grp", "s1", "s2"], ["x"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    within = blocked_join(some.withColumnRenamed("id", "x"), some.withColumnRenamed("id", "y"), ["grp", "s1", "s2"], ["x"], spread_right=["y"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     return across.unionByName(within).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 

@@ -1,11 +1,13 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
-An exact prefix-filter join. All shingles are put in one order, rare ones first, by a table of bounded size that
-counts hash buckets over the whole collection (any fixed order is exact; rarity only makes the lists short). Two
-sets of n and m shingles with a similarity of at least t share a shingle among their first n - ceil(t n) + 1 and
-m - ceil(t m) + 1. The evaluation prefixes are the index, the training prefixes probe it, with filters on length
-and on what the positions leave possible, then a bound from parity bitmaps; the survivors are verified on whole sets. Entries that occur in no
-prefix of the other side are recognised by a bit field of fixed size and never shuffled.
+An exact prefix-filter join. All shingles are put in one order: first those that stand on one side only, then rare
+ones before frequent ones. The order comes from one pass over all records that notes for each shingle's hash bucket
+on which sides it occurs (2 x SIDE_BITS bits) and how often (2**COUNT_BITS counts); any fixed order is exact, and
+where buckets are shared the order is only less sharp. Two sets of n and m shingles with a similarity of at least t
+share a shingle among their first n - ceil(t n) + 1 and m - ceil(t m) + 1. Prefix entries whose shingle doesn't occur
+on the other side are dropped in the task. The evaluation prefixes are the index, the training prefixes probe it,
+with filters on length and on what the positions leave possible, then a bound from parity bitmaps; the survivors are
+verified on whole sets.
 
 Rows without id, text or a known split take no part; equal sets are one class on either side.
 """
@@ -22,44 +24,81 @@ from pyspark.sql import functions as F
 from veilspark.functions.arrow import lists, map_arrow
 from veilspark.functions.columns import normal
 from veilspark.functions.hotjoin import blocked_join
-from veilspark.functions.materialize import cut
+from veilspark.functions.materialize import cut, stored
 from veilspark.functions.shingles import U, set_keys, shingle_sets
 from veilspark.functions.vectors import vector_total
 from veilspark.llm.textclasses import similar_pairs, text_rows
 
-#: Sizes of the order table (counts of 1 byte) and of each side's bit field; both are sent to every task.
-ORDER_BITS, FIELD_BITS = 24, 26
+#: Bits of the two fields of sides and of the count table; both are sent to every task (2 x 16 MB and 4 MB).
+SIDE_BITS, COUNT_BITS = 27, 22
 #: Words of 64 bits in the parity bitmap of a set.
 PARITY_WORDS = 8
+#: Classes a task remembers, so that copies it has met have no entries of their own.
+MOST_SEEN = 1_000_000
+#: Occurrences from which a shingle is counted among those that may be hot.
+OFTEN = 255
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def _order(rows: DataFrame, k: int) -> np.ndarray:
-    """Occurrences per hash bucket over all rows, capped at what a byte holds."""
-    mask = U((1 << ORDER_BITS) - 1)
+class Order:
+    """The order of shingles: of each hash bucket the sides it occurs on, and its number of occurrences."""
+
+    def __init__(self, sides: list[np.ndarray], counts: np.ndarray, side_bits: int, count_bits: int):
+        self.sides, self.counts, self.side_bits, self.count_bits = sides, counts, side_bits, count_bits
+
+    def both(self, h: np.ndarray) -> np.ndarray:
+        """Whether a shingle may occur on both sides."""
+        at = (h >> U(64 - self.side_bits)).astype(np.int64)
+        word, bit = at >> 5, (at & 31).astype(np.uint32)
+        return ((self.sides[0][word] & self.sides[1][word]) >> bit) & np.uint32(1) == 1
+
+    def often(self, h: np.ndarray) -> np.ndarray:
+        return self._count(h) >= self._scale(np.array([OFTEN]))[0]
+
+    def _count(self, h: np.ndarray) -> np.ndarray:
+        return self.counts[(h & U((1 << self.count_bits) - 1)).astype(np.int64)]
+
+    @staticmethod
+    def _scale(n: np.ndarray) -> np.ndarray:
+        """Counts on a logarithmic scale of one byte, eight steps for each doubling."""
+        return np.minimum(np.round(7.9 * np.log2(1.0 + n)), 255).astype(np.uint8)
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        return np.where(self.both(h), self._count(h), 0)
+
+
+def order_of(rows: DataFrame, k: int, side_bits: int = SIDE_BITS, count_bits: int = COUNT_BITS) -> Order:
+    """The order over all rows (text, held)."""
+    half, chunk = 1 << (side_bits - 5), 1 << min(19, side_bits - 5)
+    length = 2 * half + (1 << count_bits)
 
     def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
-        h, _ = shingle_sets(b["text"].to_pylist(), k)
-        at, n = np.unique((h & mask).astype(np.int64), return_counts=True)
-        vector[at] = np.minimum(vector[at] + np.minimum(n, 255), 255)
+        h, at = shingle_sets(b["text"].to_pylist(), k)
+        held = np.repeat(b["held"].to_numpy(zero_copy_only=False), np.diff(at))
+        for side in (0, 1):
+            bit = np.unique(h[held == side] >> U(64 - side_bits)).astype(np.int64)
+            np.bitwise_or.at(vector, side * half + (bit >> 5), np.uint32(1) << (bit & 31).astype(np.uint32))
+        name, n = np.unique((h & U((1 << count_bits) - 1)).astype(np.int64), return_counts=True)
+        now = vector[2 * half + name]
+        vector[2 * half + name] = now + np.minimum(n.astype(np.uint32), np.iinfo(np.uint32).max - now)
 
-    return vector_total(rows.select("text"), 1 << ORDER_BITS, "uint16", add, "cap").clip(0, 255).astype(np.uint8)
+    total = vector_total(rows.select("text", "held"), length, "uint32", add, lambda c: "or" if c * chunk < 2 * half else "cap", chunks=-(-length // chunk))
+    return Order([total[:half], total[half : 2 * half]], Order._scale(total[2 * half :].astype(np.float64)), side_bits, count_bits)
 
 
-def _prefixes(texts: list, k: int, threshold: float, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sets, their offsets, and of the prefix entries: owner, hash and position in the order."""
+def _prefixes(texts: list, k: int, threshold: float, order: Order) -> tuple[np.ndarray, ...]:
+    """Keys of the sets, their sizes, and of the prefix entries that may meet the other side: owner, hash, place."""
     h, at = shingle_sets(texts, k)
     sizes = np.diff(at)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    rank = order[(h & U((1 << ORDER_BITS) - 1)).astype(np.int64)]
-    by = np.argsort(rank, kind="stable")  # ties stay in order of the hash: sets are sorted by it
-    by = by[np.argsort(owner[by], kind="stable")]
+    rank = order.rank(h)
+    by = np.argsort(owner * 256 + rank, kind="stable")  # ties stay in order of the hash: sets are sorted by it
     place = np.arange(len(h)) - np.repeat(at[:-1], sizes)
-    keep = place < np.repeat(prefix_length(sizes, threshold), sizes)
-    return h, at, sizes, owner[keep], h[by][keep], place[keep]
+    keep = (place < np.repeat(prefix_length(sizes, threshold), sizes)) & (rank[by] > 0)
+    return *set_keys(h, at), sizes, owner[keep], h[by][keep], place[keep]
 
 
 def _parities(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -76,70 +115,66 @@ def _differing(a: str, b: str) -> Column:
     return reduce(Column.__add__, bits)
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - FIELD_BITS)).astype(np.int64)
+def _classes(rows: DataFrame, k: int) -> DataFrame:
+    """(id, split, held, c1, c2, parity) of the records that have a shingle."""
 
+    def start():
+        def work(b: pa.RecordBatch) -> dict:
+            h, at = shingle_sets(b["text"].to_pylist(), k)
+            c1, c2 = set_keys(h, at)
+            parity = _parities(h, np.repeat(np.arange(b.num_rows), np.diff(at)), b.num_rows)
+            return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": c1, "c2": c2, "some": np.diff(at) > 0, "parity": lists(parity.ravel(), np.arange(b.num_rows + 1) * PARITY_WORDS)}
 
-def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("validation", "test"), threshold: float = 0.8, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Members (id, split, c1, c2) and links (a1, a2, b1, b2, similarity): a is a training class, b a held-out one.
+        return work
 
-    A class with members on both sides is linked with itself at similarity 1. An empty table gives empty results.
-    """
-    spark = df.sparkSession
-    rows = text_rows(df, id_col, text_col, split=normal(split_col)).where(F.col("split").isin(*train, *held_out)).withColumn("id", F.col("id").cast("string"))
-    order = spark.sparkContext.broadcast(_order(rows, k))
-    sides = rows.withColumn("held", F.col("split").isin(*held_out))
+    return map_arrow(rows, "id string, split string, held boolean, c1 long, c2 long, some boolean, parity array<long>", start).where("some").drop("some")
 
-    def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
-        held = b["held"].to_numpy(zero_copy_only=False)
-        *_, owner, h, _ = _prefixes(b["text"].to_pylist(), k, threshold, order.value)
-        half = len(vector) // 2
-        for side in (0, 1):
-            at = _bit(np.unique(h[held[owner] == side]))
-            np.bitwise_or.at(vector, side * half + (at >> 3), (1 << (at & 7)).astype(np.uint8))
 
-    fields = spark.sparkContext.broadcast(vector_total(sides.select("text", "held"), 1 << (FIELD_BITS - 2), "uint8", add, "or"))
+def _entries(rows: DataFrame, k: int, threshold: float, shared) -> DataFrame:
+    """(held, c, at, shingle, often) of all prefix entries; ``at`` holds the set's size and the entry's place.
+
+    An entry names its class by one of the two keys; should two classes share it, both are verified.
+    """
 
     def start():
-        half, seen = len(fields.value) // 2, set()
+        seen: set = set()
 
         def work(b: pa.RecordBatch) -> dict:
             held = b["held"].to_numpy(zero_copy_only=False)
-            h, at, sizes, owner, entry, place = _prefixes(b["text"].to_pylist(), k, threshold, order.value)
-            bit = _bit(entry)
-            other = np.where(held[owner], 0, half) + (bit >> 3)
-            keep = (fields.value[other] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            k1, k2 = set_keys(h, at)
-            new = np.ones(b.num_rows, bool)  # copies that the task has met have no entries of their own
-            for i, key in enumerate(zip(held.tolist(), k1.tolist(), k2.tolist())):
+            c1, c2, sizes, owner, entry, place = _prefixes(b["text"].to_pylist(), k, threshold, shared.value)
+            new = np.ones(b.num_rows, bool)
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            for i, key in enumerate(zip(held.tolist(), c1.tolist(), c2.tolist())):
                 new[i] = key not in seen
                 seen.add(key)
-            keep &= new[owner]
+            keep = new[owner]
             owner, entry, place = owner[keep], entry[keep], place[keep]
-            often = order.value[(entry.view(U) & U((1 << ORDER_BITS) - 1)).astype(np.int64)] == 255
-            place = place + (often.astype(np.int64) << 30)
-            ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            parity = _parities(h, np.repeat(np.arange(b.num_rows), sizes), b.num_rows)
-            return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": k1, "c2": k2, "size": sizes.astype(np.int32), "parity": lists(parity.ravel(), np.arange(b.num_rows + 1) * PARITY_WORDS), "entries": lists(entry.view(np.int64), ends), "places": lists(place.astype(np.int32), ends)}
+            return {"held": held[owner], "c": c1[owner], "at": (sizes[owner] << 32) + place, "shingle": entry.view(np.int64), "often": shared.value.often(entry)}
 
         return work
 
-    known = map_arrow(sides.select("id", "split", "held", "text"), "id string, split string, held boolean, c1 long, c2 long, size int, parity array<long>, entries array<long>, places array<int>", start)
-    known = cut(known.where("size > 0"))
+    return map_arrow(rows.select("held", "text"), "held boolean, c long, at long, shingle long, often boolean", start)
+
+
+def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("validation", "test"), threshold: float = 0.8, k: int = 5, side_bits: int = SIDE_BITS, count_bits: int = COUNT_BITS) -> tuple[DataFrame, DataFrame]:
+    """Members (id, split, held, c1, c2) and links (a1, a2, b1, b2, similarity): a is a training class, b a held-out one.
+
+    A class with members on both sides is linked with itself at similarity 1. An empty table gives empty results.
+    """
+    rows = text_rows(df, id_col, text_col, split=normal(split_col)).where(F.col("split").isin(*train, *held_out)).withColumn("id", F.col("id").cast("string")).withColumn("held", F.col("split").isin(*held_out))
+    shared = df.sparkSession.sparkContext.broadcast(order_of(rows, k, side_bits, count_bits))
+    known = stored(_classes(rows.select("id", "split", "held", "text"), k))
     members = known.select("id", "split", "held", "c1", "c2").distinct()
-    # An entry names its class by one of the two keys; should two classes share it, both are verified. Its place has
-    # a flag for shingles that may be frequent.
-    flag = F.lit(1 << 30)
-    zipped = known.select("held", F.col("c1").alias("c"), "size", F.explode(F.arrays_zip("entries", "places")).alias("e"))
-    at = F.shiftleft(F.col("size").cast("long"), 32) + F.col("e.places").bitwiseAND(F.lit((1 << 30) - 1))
-    entries = zipped.select("held", "c", F.col("e.entries").alias("shingle"), at.alias("at"), (F.col("e.places") >= flag).alias("often"))
-    probe = entries.where("not held").select("shingle", F.col("c").alias("a1"), F.col("at").alias("x"), "often")
-    index = entries.where("held").select("shingle", F.col("c").alias("b1"), F.col("at").alias("y")).repartition("shingle").distinct()
+    entries = stored(_entries(rows, k, threshold, shared))
+    probe = entries.where("not held").select("shingle", F.col("c").alias("a1"), F.col("at").alias("x"))
+    index = entries.where("held").select("shingle", F.col("c").alias("b1"), F.col("at").alias("y"))
     t = threshold
     n, m = F.shiftright("x", 32), F.shiftright("y", 32)
     p, q = F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("y").bitwiseAND(F.lit(0xFFFFFFFF))
-    counted = probe.where("often").drop("often").distinct()
-    pairs = blocked_join(probe.drop("often").repartition("shingle").distinct(), index, ["shingle"], ["a1"], counted=counted)
+    hot = entries.where("often")
+    # Copies met in several tasks stand here several times; the pairs are made distinct below.
+    pairs = blocked_join(probe, index, ["shingle"], ["a1"], counted=hot.where("not held"), spread_right=["b1"], counted_right=hot.where("held"))
     pairs = pairs.where((F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (1 + F.least(n - p - 1, m - q - 1) >= t / (1 + t) * (n + m) - 1e-9))
     ends = known.groupBy("held", "c1", "c2").agg(F.first("parity").alias("parity"))
     a, b = (ends.where(c).select(*[F.col(f"c{i}").alias(f"{x}{i}") for i in (1, 2)], F.col("parity").alias(f"{x}p")) for x, c in (("a", "not held"), ("b", "held")))
@@ -158,7 +193,7 @@ def overlap_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs (train_id, held_id, held_split, similarity) of different ids that the links stand for."""
     a = members.where("not held").select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("id").alias("train_id"))
     b = members.where("held").select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("id").alias("held_id"), F.col("split").alias("held_split"))
-    return blocked_join(links.join(a, ["a1", "a2"]), b, ["b1", "b2"], ["train_id"]).where("train_id <> held_id").select("train_id", "held_id", "held_split", "similarity")
+    return blocked_join(links.join(a, ["a1", "a2"]), b, ["b1", "b2"], ["train_id"], spread_right=["held_id"]).where("train_id <> held_id").select("train_id", "held_id", "held_split", "similarity")
 
 
 def overlapping_held_out(members: DataFrame, links: DataFrame) -> DataFrame:

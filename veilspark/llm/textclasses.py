@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.arrow import map_arrow
 from veilspark.functions.columns import has_text
+from veilspark.functions.hotjoin import blocked_join
 from veilspark.functions.materialize import cut, semi_by_size
 from veilspark.functions.shingles import jaccard, set_keys, shingle_sets
 
 
+#: Links of a class that one task compares.
+LINKS = 2_000
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str, **labels: Column) -> DataFrame:
     """(id, text, *labels) of the rows that have an id and a text; other columns are left unread."""
     return df.where(F.col(id_col).isNotNull() & has_text(text_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in labels.items()])
@@ -27,7 +32,8 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, t
 
     pairs (a1, a2, b1, b2) name classes, reps (c1, c2, id) one record of each class, texts (id, text) holds the
     records; of several texts under one id, those whose set is the class's are taken. Returns the pairs with their
-    similarity where it is at least ``threshold``. Only texts of classes in a pair are shuffled.
+    similarity where it is at least ``threshold``. Only texts of classes in a pair are shuffled; the pairs of a class
+    with many links are spread over several tasks.
     """
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))).alias("c")).select("c.*").distinct()
     wanted = cut(reps.join(ends, ["c1", "c2"]).select("id", "c1", "c2"))
@@ -42,8 +48,8 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, t
 
     held = map_arrow(held.select("c1", "c2", "text"), "c1 long, c2 long, text string, fits boolean", start_keys)
     held = held.where("fits").groupBy("c1", "c2").agg(F.first("text").alias("text"))
-    both = pairs.join(held.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("text").alias("ta")), ["a1", "a2"])
-    both = both.join(held.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("text").alias("tb")), ["b1", "b2"])
+    both = blocked_join(pairs, held.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("text").alias("ta")), ["a1", "a2"], ["b1", "b2"], LINKS)
+    both = blocked_join(both, held.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("text").alias("tb")), ["b1", "b2"], ["a1", "a2"], LINKS, counted=pairs)
 
     def start():
         def work(b: pa.RecordBatch) -> dict:
