@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrow import map_arrow
-from veilspark.functions.columns import has_text, normal
+from veilspark.functions.columns import has_text, hash_fraction, normal
 from veilspark.functions.shingles import hash_spans, word_spans
 
 LANGUAGES = ("en", "de", "nl", "fr", "es")
@@ -157,16 +157,23 @@ def label_code(label: Column | str) -> Column:
     return F.substring(normal(label), 1, 2)
 
 
+def labelled_sample(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """(key, label, text): about twice TRAIN_DOCS rows of each language, those with the smallest keys.
+
+    A share of the key space holds about that many, whatever the number of rows; a key that repeats counts once, so
+    copies of one row never swell the sample.
+    """
+    wanted = F.lit(False)
+    for lang, n in counts.items():
+        wanted = wanted | ((F.col("label") == lang) & (F.col("key") < (2.0 * TRAIN_DOCS + 20) / n))
+    return rows.where(wanted).groupBy("key", "label").agg(F.min("text").alias("text"))
+
+
 def train(df: DataFrame, id_col: str, text_col: str, label_col: str) -> np.ndarray:
     """Fit on TRAIN_DOCS labelled rows of each language, chosen by a hash of the id."""
-    rows = df.where(has_text(text_col)).select(F.xxhash64(F.col(id_col), F.lit(11)).alias("key"), label_code(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isin(*LANGUAGES))
+    rows = df.where(has_text(text_col)).select(hash_fraction(id_col, seed=11).alias("key"), label_code(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isin(*LANGUAGES))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 2.0 * TRAIN_DOCS / n + 20 / n)
-        wanted = wanted | ((F.col("label") == lang) & (F.pmod("key", F.lit(1_000_003)) < int(share * 1_000_003)))
-    # A share of the key space gives about twice TRAIN_DOCS rows of each language, whatever the size of the table.
-    sample = sorted(rows.where(wanted).select("key", "label", "text").limit(4 * TRAIN_DOCS * len(LANGUAGES)).collect(), key=lambda r: (r["key"], r["text"]))
+    sample = sorted(labelled_sample(rows, counts).collect(), key=lambda r: (r["key"], r["text"]))
     kept, left = [], dict.fromkeys(LANGUAGES, TRAIN_DOCS)
     for r in sample:
         if left[r["label"]]:

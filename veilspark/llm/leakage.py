@@ -6,10 +6,11 @@
    fitted on at most FIT_DOCS documents chosen by a hash; every passage of every document is indexed with them.
 3. A passage is a window of WINDOW words; those of a document start at every STRIDE-th word, those of an item at
    every word, so a common run of WINDOW + STRIDE - 1 words or more always holds two equal passages.
-4. Candidates are all pairs that pass the answer check, which asks the document's passage for the RAREST rarest words
-   of the item's passage, and have a cosine of at least ``cosine``. Both conditions are exact: pairs are looked up by
-   the item passage's rarest word, then the other words and the cosine are compared. A pair's cosine depends on its
-   own words only, so it is the same in every block.
+4. Candidates are all pairs with a cosine of at least ``cosine`` that pass the answer check, which asks the document's
+   passage for ANSWER of the RAREST rarest words of the item's passage. Both conditions are exact, so the search may
+   begin with either: pairs are looked up by the first RAREST - ANSWER + 1 rare words, one of which every such pair
+   shares, then the other words and the cosine are compared. A pair's cosine depends on its own words only, so it is
+   the same in every block.
 5. Each candidate is checked on the words themselves: the run of equal words it lies in is followed to both sides.
    The longest common subsequence of the surroundings is measured for every candidate of a document and item without
    a run of ``least_run`` words.
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrow import map_arrow
-from veilspark.functions.columns import has_text
+from veilspark.functions.columns import has_text, hash_fraction
 from veilspark.functions.materialize import cut
 from veilspark.functions.shingles import U, word_hashes
 from veilspark.functions.vectors import vector_total
 
 FEATURE_BITS, RANK, OVERSAMPLE, FIT_DOCS = 15, 48, 8, 20_000
-WINDOW, STRIDE, RAREST, BLOCK, SEED = 16, 8, 3, 200_000, 5
+WINDOW, STRIDE, RAREST, ANSWER, BLOCK, SEED = 16, 8, 3, 2, 200_000, 5
 #: Pairs looked at together, which bounds the memory of a batch.
 _PAIRS = 1_000_000
 _MASK = U((1 << FEATURE_BITS) - 1)
@@ -57,13 +58,18 @@ def document_weights(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.log((n + 1) / (total[:size] + 1) + 1).astype(np.float32), n
 
 
+def fit_sample(rows: DataFrame, n: int) -> DataFrame:
+    """About FIT_DOCS different texts of ``n`` rows, chosen by a hash of the text; all where there are fewer."""
+    share = FIT_DOCS / max(n, 1)
+    return rows.where(hash_fraction("text", seed=SEED) < share).dropDuplicates(["text"]) if share < 1 else rows
+
+
 def directions(rows: DataFrame, idf: np.ndarray, n: int) -> np.ndarray:
     """Leading right singular directions of the TF-IDF passages, scaled; (features, RANK)."""
     width, size = RANK + OVERSAMPLE, 1 << FEATURE_BITS
     g = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0].astype(np.float32)
     shared = rows.sparkSession.sparkContext.broadcast((g, idf))
-    share = min(1.0, FIT_DOCS / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003)) if share < 1 else rows
+    sample = fit_sample(rows, n)
 
     def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
         g, idf = shared.value
@@ -118,10 +124,13 @@ class Index:
         self.starts, self.owner = starts, np.searchsorted(self.at, starts, "right") - 1
         mine = self.words[starts[:, None] + np.arange(WINDOW)]
         self.rare = np.take_along_axis(mine, np.argsort(-idf[_features(mine)], axis=1, kind="stable")[:, :RAREST], 1)
-        self.need = np.bitwise_or.reduce(_bits(self.rare), axis=1)
-        self.order = np.argsort(self.rare[:, 0], kind="stable")
-        self.keys, low = np.unique(self.rare[self.order, 0], return_index=True)
-        self.ends = np.append(low, len(starts))
+        self.need = _bits(self.rare)
+        # Lookups: a passage under each of its first RAREST - ANSWER + 1 rare words; ``nth`` tells which of them.
+        looked = RAREST - ANSWER + 1
+        by = np.argsort(self.rare[:, :looked].ravel(), kind="stable")
+        self.order, self.nth = by // looked, by % looked
+        self.keys, low = np.unique(self.rare[:, :looked].ravel()[by], return_index=True)
+        self.ends = np.append(low, len(by))
 
     def sums(self, words: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros((1, RANK)), np.cumsum(self.table[_features(words)], axis=0, dtype=np.float64)])
@@ -140,7 +149,7 @@ class Index:
         key[self.keys[key] != words] = -1
         key = np.sort(key[first[:, None] + grid], axis=1)
         fresh = key >= 0
-        fresh[:, 1:] &= key[:, 1:] != key[:, :-1]  # an item passage has one rarest word, so each pair comes once
+        fresh[:, 1:] &= key[:, 1:] != key[:, :-1]
         passage = np.nonzero(fresh)[0]
         low, n = self.ends[key[fresh]], np.diff(self.ends)[key[fresh]]
         done = np.cumsum(n)
@@ -149,12 +158,13 @@ class Index:
         for i, j in zip(cuts[:-1], cuts[1:]):
             size = n[i:j]
             p = np.repeat(passage[i:j], size)
-            q = self.order[np.arange(len(p)) + np.repeat(low[i:j] - (np.cumsum(size) - size), size)]
-            keep = (held[p] & self.need[q]) == self.need[q]
+            line = np.arange(len(p)) + np.repeat(low[i:j] - (np.cumsum(size) - size), size)
+            q, nth = self.order[line], self.nth[line]
+            may = sum(((held[p] & self.need[q, k]) != 0).astype(np.int8) for k in range(RAREST)) >= ANSWER
+            p, q, nth = p[may], q[may], nth[may]
+            has = np.stack([(words[first[p][:, None] + grid] == self.rare[q, k][:, None]).any(1) for k in range(RAREST)])
+            keep = (has.sum(0) >= ANSWER) & (has.argmax(0) == nth)  # a pair counts under the first word it shares
             p, q = p[keep], q[keep]
-            for k in range(1, RAREST):
-                keep = (words[first[p][:, None] + grid] == self.rare[q, k][:, None]).any(1)
-                p, q = p[keep], q[keep]
             some, back = np.unique(p, return_inverse=True)
             vectors = np.zeros((len(some), RANK), np.float32)
             for k in range(WINDOW):

@@ -5,7 +5,7 @@ number of uses. Every document is given floor(rate) times and once more with the
 drawn from a hash of its id, so the mix is the same on any cluster and no source is gathered anywhere.
 
 Sources are compared in normal form. Documents of sources without a target, or without a source, add to the total
-but aren't given out. A source without tokens has rate 0; a target with a null share has none. If several targets
+but aren't given out, nor are documents without tokens. A source without tokens has rate 0; a target with a null share has none. If several targets
 name one source their shares are added and the smallest number of uses holds.
 """
 
@@ -14,13 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.columns import normal
-from veilspark.functions.materialize import cut
+from veilspark.functions.columns import hash_fraction, normal
+from veilspark.functions.materialize import cut, semi_by_size
 from veilspark.llm.tokens import VOCABULARY, token_counts
 
-#: Sources a list of targets may name; targets are parameters and are sent to every task.
-MOST_SOURCES = 10_000
-
 
 def mix(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, fraction: float = 0.5, seed: int = 17, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The mix (id, source, tokens, copies) with copies of at least 1, and the report per target (source,
@@ -29,16 +26,14 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_co
     have = counts.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     wanted = targets.select(normal("source").alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
-    if len(wanted.limit(MOST_SOURCES + 1).collect()) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources have a target")
     needed = F.coalesce("target_share", F.lit(0.0)) * F.lit(float(fraction * total))
     plan = wanted.join(have, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0))).withColumn("needed_tokens", needed)
     limit = F.coalesce("max_repeats", F.lit(1)).cast("double")
     plan = plan.withColumn("rate", F.when(F.col("available_tokens") > 0, F.least(limit, F.col("needed_tokens") / F.col("available_tokens"))).otherwise(0.0)).withColumn("short", F.col("available_tokens") * limit < F.col("needed_tokens"))
     plan = cut(plan)
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    draw = hash_fraction("id", seed=seed)
     copies = F.floor("rate").cast("int") + (draw < F.col("rate") - F.floor("rate")).cast("int")
-    mixed = counts.join(F.broadcast(plan.select("source", "rate")), "source").withColumn("copies", copies).where("copies > 0").select("id", "source", "tokens", "copies")
+    mixed = semi_by_size(counts.where("tokens > 0"), plan.select("source", "rate"), ["source"], plan.count()).withColumn("copies", copies).where("copies > 0").select("id", "source", "tokens", "copies")
     used = mixed.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     report = plan.join(used, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", "needed_tokens", "rate", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "short")
     everything = report.agg(F.sum("tokens").alias("_all"))

@@ -149,14 +149,34 @@ def distinct_requests(df: DataFrame, id_col: str, fields: list[str], order_col:
     return df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(labels).alias("r")).select("id", *[F.col(f"r.{f}").alias(f) for f in fields])
 
 
+#: Cells of all fields' categories together; categories are parameters, and so is their table.
+MOST_CELLS = 1_000_000
+
+
+def fill(quotas: np.ndarray, margins: list[np.ndarray], most: np.ndarray, total: int) -> np.ndarray:
+    """Quotas raised to ``total`` where rounding one field after another left rows undrawn: each row goes to the cell
+    with spare rows whose categories are furthest below their margins."""
+    out = quotas.copy()
+    while out.sum() < min(total, most.sum()):
+        lack = np.zeros(out.shape)
+        for axis, want in enumerate(margins):
+            got = out.sum(axis=tuple(a for a in range(out.ndim) if a != axis))
+            lack = lack + np.minimum((want - got) / np.maximum(want, 1), 1.0).reshape([-1 if a == axis else 1 for a in range(out.ndim)])
+        out[np.unravel_index(int(np.where(out < most, lack, -np.inf).argmax()), out.shape)] += 1
+    return out
+
+
 def quota_sample(df: DataFrame, targets: DataFrame, id_col: str, fields: list[str], fraction: float = 0.5, seed: int = 7, order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The sample (id, *fields) and the report (field, category, target_share, min_rows, needed, available, drawn,
-    actual_share, short): ``needed`` is the larger of min_rows and target_share x size, rounded half up."""
+    actual_share, short, size, drawn_total): ``needed`` is the larger of min_rows and target_share x size, rounded half
+    up; ``size`` is the size asked for and ``drawn_total`` what the sample has."""
     spark = df.sparkSession
     rows = cut(distinct_requests(df, id_col, fields, order_col))
     wanted = _targets(targets, fields)
     names = {f: [r["category"] for r in wanted[f]] for f in fields}
     known = {f: dict(zip(names[f], itertools.count())) for f in fields}
+    if math.prod(len(names[f]) for f in fields) > MOST_CELLS:
+        raise ValueError(f"the categories of all fields make more than {MOST_CELLS} cells")
     # One pass: counts of every combination of categories, unknown labels folded into null.
     folded = rows.select(*[F.when(F.col(f).isin(names[f]), F.col(f)).alias(f) for f in fields]) if fields else rows
     counts = folded.groupBy(*fields).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -174,7 +194,7 @@ def quota_sample(df: DataFrame, targets: DataFrame, id_col: str, fields: list[st
     for axis, f in enumerate(fields):
         there = cells.sum(axis=tuple(a for a in range(len(fields)) if a != axis))
         margins.append(margin(np.array([r["share"] or 0.0 for r in wanted[f]]), np.array([r["least"] or 0 for r in wanted[f]]), there, reach))
-    quotas = cell_quotas(cells, margins) if cells.size else cells
+    quotas = fill(cell_quotas(cells, margins), margins, cells, reach) if cells.size else cells
     table = [(*[names[f][i] for f, i in zip(fields, at)], int(q)) for at, q in np.ndenumerate(quotas) if q]
     sample = exact_quota(rows, spark.createDataFrame(table, ", ".join([*[f"`{f}` string" for f in fields], "quota long"])), fields, seed)
     lines = []
@@ -182,8 +202,8 @@ def quota_sample(df: DataFrame, targets: DataFrame, id_col: str, fields: list[st
         drawn = quotas.sum(axis=tuple(a for a in range(len(fields)) if a != axis)) if quotas.size else np.zeros(len(names[f]), int)
         for r, have, got in zip(wanted[f], single[f], drawn):
             need = max(r["least"] or 0, math.floor((r["share"] or 0.0) * size + 0.5 + 1e-9))
-            lines.append((f, r["category"], r["share"], r["least"], int(need), int(have), int(got), float(got / quotas.sum()) if quotas.sum() else 0.0, bool(have < need)))
-    report = spark.createDataFrame(lines, "field string, category string, target_share double, min_rows int, needed long, available long, drawn long, actual_share double, short boolean")
+            lines.append((f, r["category"], r["share"], r["least"], int(need), int(have), int(got), float(got / quotas.sum()) if quotas.sum() else 0.0, bool(have < need), int(size), int(quotas.sum())))
+    report = spark.createDataFrame(lines, "field string, category string, target_share double, min_rows int, needed long, available long, drawn long, actual_share double, short boolean, size long, drawn_total long")
     return sample, report
 
 
