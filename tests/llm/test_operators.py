@@ -286,3 +286,11 @@ def test_samples_hold_at_any_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(leakage, "FIT_DOCS", 2_000)
     assert 1_000 < leakage.fit_sample(texts, 40_000).count() < 2_000
     assert leakage.fit_sample(texts, 10**13).count() == 0 or leakage.fit_sample(texts, 10**13).count() < 3
+
+
+def test_filler_in_any_order_is_covered_by_passages(spark):
+    filler = [(f"f{i}", f"Item {i} was stored in room {i} and the list of the team was checked again on page {i}.") for i in range(40)]
+    cases = [("c1", "Veniam commodo cillum laboris ipsum aliqua nisi sit voluptate labore."), ("c2", "Room 4: asdf jklö asdf jklö asdf"), ("c3", "nisi commodo aliqua nisi dolor")]
+    fine = [("o1", "The et al. citation in dolor was kept."), ("o2", "asdf jklö"), ("o3", "the ex officio member and the ad hoc team in the quorum")]
+    df = spark.createDataFrame([*filler, *cases, *fine], "rid string, body string")
+    assert {r["id"] for r in residue.residue(df, "rid", "body").where("kind is not null").collect()} == {r[0] for r in cases}

@@ -83,6 +83,10 @@ RESIDUE = {
         error code trace message upstream request failed
         fehler code spur text abruf der gegenstelle fehlgeschlagen
         traceback most recent call last
+        traceback line in value missing for
+        something went wrong on our side quote when you write to
+        bei uns ist etwas schiefgelaufen nennen sie wenn sie schreiben
+        ablaufverfolgung zeile in wert fehlt für
         exception in thread main
     """,
     "scripts": """
@@ -110,6 +114,16 @@ RESIDUE = {
     """,
 }
 
+#: Passages whose words come in any order: a window counts by how much of its own weight the passage covers.
+PASSAGES = {
+    "filler": """
+        lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+        lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat sed diam voluptua at vero eos et accusam et justo duo dolores et ea rebum stet clita kasd gubergren no sea takimata sanctus est
+        asdf jkl jklö asdf asdfg asdfgh hjkl ghjkl qwer qwert qwertz qwerty tzui yuiop uiop uiopü yxcv zxcv vbnm cvbn sdfg fdsa
+        foo bar baz qux quux foobar
+    """,
+}
+
 REPORT = f"""
     the merge field {FIELD} is filled by since version as reported
     das seriendruckfeld {FIELD} wird seit version von befüllt wie meldete

@@ -1,7 +1,8 @@
 """Template residue, filler, error pages and script notices in records.
 
 Labelled exemplars are retrieved through an inverted index of their words. A window of a text matches an exemplar
-if it holds at least ``containment`` of the exemplar's TF-IDF weight; weights come from the document frequencies
+if it holds at least ``containment`` of the exemplar's TF-IDF weight. Of filler, whose words come in any order, there
+are whole passages, and a window matches if the passage covers as much of the window's own weight; weights come from the document frequencies
 of all records. Only windows around the exemplar's rarest words are looked at: the smallest set of words without
 which the containment can't be reached, so nothing is missed. Exemplars of ordinary sentences that report about
 errors, templates or notices are matched the same way. Both are cut to their first and last word that counts; a
@@ -25,9 +26,11 @@ from veilspark.functions.arrow import map_arrow
 from veilspark.functions.columns import has_text, normal
 from veilspark.functions.shingles import word_hashes
 from veilspark.functions.vectors import vector_total
-from veilspark.llm.exemplars import FIELD, REPORT, RESIDUE
+from veilspark.llm.exemplars import FIELD, PASSAGES, REPORT, RESIDUE
 
 CONTAINMENT, REPORT_CONTAINMENT = 0.8, 0.6
+#: Words of a window that is compared with a passage.
+PASSAGE_WINDOW = 5
 #: Shapes of unfilled fields in lower case. Marks of scans and addresses in brackets are none.
 _FIELDS = re.compile(
     r"\{\{[^{}]{0,60}\}\}"
@@ -54,11 +57,15 @@ def _lower(text: str | None) -> str:
 
 
 def exemplars() -> list[tuple[str, str, list[str]]]:
-    """(kind, text, words) of all exemplars; kind "report" are those of ordinary sentences."""
-    every = [(kind, line.strip()) for kind, lines in [*RESIDUE.items(), ("report", REPORT)] for line in lines.strip().splitlines()]
+    """(kind, text, words) of all exemplars; kind "report" are those of ordinary sentences; passages come last."""
+    every = [(kind, line.strip()) for kind, lines in [*RESIDUE.items(), ("report", REPORT), *PASSAGES.items()] for line in lines.strip().splitlines()]
     return [(kind, line, line.split()) for kind, line in every]
 
 
+def _passages() -> int:
+    return sum(len(lines.strip().splitlines()) for lines in PASSAGES.values())
+
+
 def _terms() -> list[str]:
     return sorted({w for _, _, words in exemplars() for w in words})
 
@@ -99,8 +106,10 @@ class Index:
         self.names, self.numbers = _vocabulary()
         number = {t: i for i, t in enumerate(_terms())}
         idf = np.log(1 + (n + 1) / (df + 1))
-        self.entries = []
-        for kind, _, words in exemplars():
+        self.entries, self.idf, self.unknown = [], idf, float(np.log(1 + (n + 1) / 2))
+        every = exemplars()
+        self.passages = range(len(every) - _passages(), len(every))
+        for kind, _, words in every:
             terms, tf = np.unique([number[w] for w in words], return_counts=True)
             weight, limit = tf * idf[terms], REPORT_CONTAINMENT if kind == "report" else CONTAINMENT
             rare = np.argsort(-idf[terms], kind="stable")
@@ -120,6 +129,22 @@ class Index:
             end -= 1
         return start, end
 
+    def _covered(self, e: int, place: np.ndarray, term: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+        """The windows of PASSAGE_WINDOW words whose weight the passage ``e`` covers, one for each place of its words."""
+        mine = np.zeros(len(self.idf), bool)
+        mine[self.entries[e][1]] = True
+        at = place[mine[term]]
+        owner = np.searchsorted(offsets, at, "right") - 1
+        keep = at + PASSAGE_WINDOW <= offsets[owner + 1]
+        at, owner = at[keep], owner[keep]
+        if not len(at):
+            return []
+        window = words[at[:, None] + np.arange(PASSAGE_WINDOW)]
+        weight = np.where(window >= 0, self.idf[window], self.unknown)
+        share = (weight * ((window >= 0) & mine[window])).sum(1) / weight.sum(1)
+        ok = share >= CONTAINMENT - 1e-9
+        return [(owner[ok], np.full(ok.sum(), e), share[ok], at[ok], at[ok], at[ok] + PASSAGE_WINDOW)]
+
     def search(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Matches of residue exemplars: text, exemplar, containment and the window's first word in the text."""
         place, term, text, offsets = _hits(texts, self.names, self.numbers)
@@ -129,6 +154,9 @@ class Index:
         words[place] = term
         found, reports = [], []
         for e, (kind, terms, tf, idf, total, anchors, width, limit) in enumerate(self.entries):
+            if e in self.passages:
+                found += self._covered(e, place, term, words, offsets)
+                continue
             near = np.sort(np.concatenate([by[ends[t] : ends[t + 1]] for t in anchors]))
             if not len(near):
                 continue
