@@ -2,13 +2,15 @@
 
 Found are PERSON, EMAIL_ADDRESS, PHONE_NUMBER, ID_NUMBER and STREET_ADDRESS, each exactly as written. Addresses of
 mail and identity numbers are looked for first; a later type never overlaps an earlier one. Names are found around
-known first names, around initials, and after labels and titles of people.
+known first names, around first names that the corpus itself tells (words that stand with many surnames after labels
+and titles), around initials, and after labels and titles of people; a name found once in a text is found at all its
+places there.
 
 Surrogates are of the item's type and keep its format: letters stay letters in their case, digits digits, a
 country code, a mail domain's last label, the kind of a street and its order of words stay. They follow from a key
 and the parts of the item, so the same name has the same surrogate in every spelling, also inside a mail address.
-First names get first names that end as their gender does. Two different items never share one: collisions are
-found over all items of the table and drawn again.
+First names get first names that end as their gender does. Words of other scripts get letters of their script. Two different
+items never share one: collisions are found over all items of the table and drawn again.
 
 Null and empty texts have no items and stay as they are. Rows that repeat an id add nothing to the distinct items.
 """
@@ -19,23 +21,30 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.arrow import map_arrow
 from veilspark.functions.columns import has_text
-from veilspark.functions.materialize import cut
+from veilspark.functions.materialize import BROADCAST_ROWS, cut
+from veilspark.functions.vectors import vector_total
 from veilspark.llm import names
 
 TYPES = ("PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "ID_NUMBER", "STREET_ADDRESS")
 _SIGN = r"\s{0,2}[(\[{<]\s?%s\s?[)\]}>]\s{0,2}"
 _DOT = rf"(?:\.|{_SIGN % 'dot'}|\sdot\s)"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
+_AT = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|\sat\s", re.I)
 EMAIL = re.compile(rf"(?<![\w.+-])[^\W_][\w.+-]*(?:(?:\s?@\s?|{_SIGN % 'at'}){_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[^\W\d_]{{2,}}|\sat\s{_LABEL}(?:{_DOT}{_LABEL})*(?:{_SIGN % 'dot'}|\sdot\s)[^\W\d_]{{2,}})(?![\w-])", re.I)
-_ID_LABEL = r"(?:reisepass|passport|personalausweis|ausweis|identity\s+card|id\s+card|tax\s+(?:id|number|no)|steuer-?(?:id|nummer|nr)|steuerliche\s+identifikationsnummer|social\s+insurance|insurance|national\s+insurance|sozialversicherungs?|versicherungs?|social\s+security)(?:\s*-?\s*(?:number|nummer|nr|no|id|ausweis))?\.?\s*(?:no\.|nr\.)?\s*:?\s*"
+_ID_LABEL = r"(?:reisepass|passport|personalausweis|ausweis|identity\s+card|id\s+card|tax\s+(?:id|number|no)|steuer-?(?:id|nummer|nr)|steuerliche\s+identifikationsnummer|social\s+insurance|insurance|national\s+insurance|sozialversicherungs?|versicherungs?|social\s+security|ssn)(?:\s*-?\s*(?:number|nummer|nr|no|id|ausweis))?\.?\s*(?:no\.|nr\.)?\s*:?\s*"
 _ID_VALUE = r"(?:QQ(?:\s?\d\d){3}\s?[A-Z]|\d\d\s?\d{6}\s?[A-Z]\s?\d{3}|\d{3}-\d\d-\d{4}|\d\d\s?\d{3}\s?\d{3}\s?\d{3}|[A-Z]{1,2}[A-Z\d]{6,10}(?<=\d[A-Z\d]{2}|\d\d[A-Z]|[A-Z\d]{2}\d)|\d{8,12})"
 ID = re.compile(rf"(?<!\w){_ID_LABEL}({_ID_VALUE})(?![\w-])|(?<!\w)(QQ(?:\s?\d\d){{3}}\s?[A-D])(?!\w)", re.I)
 _NO_PHONE = re.compile(r"(?:batch|charge|serial|seriennr\.?|amount|betrag|version|no\.|nr\.|[\w-]/|[A-Z]{2,}[-/])\s*:?\s*$", re.I)
@@ -46,13 +55,86 @@ PHONE = re.compile(
     re.I,
 )
 _US = re.compile(r"\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}(?!\d)")
+_NUMBER = r"\d{1,4}\s?(?:[a-z](?![\w]))?(?:\s?[-–/]\s?\d{1,4}[a-z]?)?(?!\w)"
+#: Kinds of streets at the end of a name, with the number behind; the name is read backwards from here.
+_KINDS = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "ufer", "damm", "chaussee", "steig", "straat", "laan", "plein", "gracht", "kade")
+_KIND_NUMBER = re.compile(rf"\s{{1,2}}{_NUMBER}", re.I)
+_NAME_END = re.compile(r"(?<![\w-])[^\W\d_][\w-]*$")
+_NAME_BEFORE = re.compile(r"(?<![\w-])[^\W\d_][\w-]*\s$")
+_ALONE = frozenset(("straße", "strasse", "str.", "allee", "platz", "ring", "weg"))
 STREET = re.compile(
-    r"(?<![\w-])(?:[^\W\d_][\w-]*?(?:straße|strasse|gasse|weg|allee|platz|ring|ufer|damm|chaussee|steig)|[^\W\d_][\w-]*?str\.|[^\W\d_][\w-]*\s(?:straße|strasse|str\.|allee|platz|ring|weg))\s{1,2}\d{1,4}\s?(?:[a-z](?![\w]))?(?:\s?[-–/]\s?\d{1,4}[a-z]?)?(?!\w)"
-    r"|(?<![\w/.,-])\d{1,4}[a-z]?(?:-\d{1,4}[a-z]?)?\s{1,2}(?:[^\W\d_][\w'-]*\s){1,2}?(?:(?:street|road|lane|avenue|close|court|crescent|drive|way|place|square|terrace|gardens|grove|mews)(?!\w)|(?:st|rd|ave|ln|ct|cres|dr|pl|sq)(?:\.|(?=,)))",
+    r"(?<![\w/.,-])\d{1,4}[a-z]?(?:-\d{1,4}[a-z]?)?\s{1,2}(?:[^\W\d_][\w'-]*\s){1,2}?(?:(?:street|road|lane|avenue|close|court|crescent|drive|way|place|square|terrace|gardens|grove|mews)(?!\w)|(?:st|rd|ave|ln|ct|cres|dr|pl|sq)(?:\.|(?=,)))"
+    , re.I,
+)
+_STREET_FR = re.compile(
+    r"(?<![\w/.,-])\d{1,4}(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|boulevard|bd|place|chemin|allée|impasse|quai|route)\s(?:(?:de|du|des|la|le|les)\s|[dl]['’])*(?-i:[A-ZÀ-Ý])[\w'’-]*(?:\s(?-i:[A-ZÀ-Ý])[\w'’-]*)*",
     re.I,
 )
+_STREET_ES = re.compile(r"(?<!\w)(?:[Cc]alle|[Aa]venida|[Aa]vda\.|[Pp]aseo|[Pp]laza|[Cc]amino|[Rr]onda)\s(?:(?:de|del|la|las|los|el)\s)*[A-ZÀ-Ý][\w'-]*(?:\s(?:(?:de|del|la|las|los|el)\s)*[A-ZÀ-Ý][\w'-]*)*,?\s\d{1,4}(?!\w)")
+
+
+_EN_WORDS = ("street", "road", "lane", "avenue", "close", "court", "crescent", "drive", "way", "place", "square", "terrace", "gardens", "grove", "mews", "st", "rd", "ave", "ln", "ct", "cres", "dr", "pl", "sq")
+_FR_WORDS = ("rue", "avenue", "boulevard", "bd", "place", "chemin", "allée", "impasse", "quai", "route")
+_ES_WORDS = ("calle", "avenida", "avda.", "paseo", "plaza", "camino", "ronda")
+
+
+def _streets(text: str, kinds: list[tuple[int, int]], words: int) -> Iterator[tuple[int, int]]:
+    for i, j in kinds:
+        m = _KIND_NUMBER.match(text, j)
+        if m is None:
+            continue
+        name = _NAME_END.search(text, max(0, i - 80), i)
+        if name is None and text[i:j].lower() in _ALONE:
+            name = _NAME_BEFORE.search(text, max(0, i - 80), i)
+        if name is not None:
+            yield name.start(), m.end() - (len(m.group()) - len(m.group().rstrip()))
+    for bit, pattern in ((8, STREET), (16, _STREET_FR), (32, _STREET_ES)):
+        for m in pattern.finditer(text) if words & bit else ():
+            yield m.start(), m.end() - (len(m.group()) - len(m.group().rstrip()))
+
+
 _FIRST = {n.lower(): gender for gender, group in (("f", names.FEMALE), ("m", names.MALE)) for n in group}
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words that labels of identity numbers begin with.
+_ID_WORDS = ("reisepass", "passport", "personalausweis", "ausweis", "identity", "id", "tax", "steuer", "social", "insurance", "national", "sozialversicherung", "versicherung", "ssn", "qq")
+
+
+@lru_cache(maxsize=1)
+def _triggers() -> ahocorasick.Automaton:
+    """All words that the search begins with, found in one pass: kinds of streets, labels and known first names."""
+    kinds: dict[str, int] = {}
+    for group, words in enumerate((_KINDS, _ID_WORDS, _FIRST, _EN_WORDS, _FR_WORDS, _ES_WORDS)):
+        for w in words:
+            kinds[w] = kinds.get(w, 0) | 1 << group
+    automaton = ahocorasick.Automaton()
+    for w, groups in kinds.items():
+        automaton.add_word(w, (len(w), groups))
+    automaton.make_automaton()
+    return automaton
+
+
+def _folded(text: str) -> str:
+    """Lower case, sign for sign."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _starts(low: str) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, int]], int]:
+    """Places of kinds of streets, of labels of identity numbers and of known first names as whole words, and which
+    languages have a word for a street here."""
+    streets, labels, people, words = [], [], [], 0
+    for last, (size, groups) in _triggers().iter(low):
+        i, j = last - size + 1, last + 1
+        if groups & 1:
+            streets.append((i, j))
+        before = low[i - 1] if i else " "
+        if groups & 2 and not (before.isalnum() or before == "_"):
+            labels.append(i)
+        if groups & 60 and not before.isalpha() and not low[j : j + 1].isalpha():
+            words |= groups
+            if groups & 4:
+                people.append((i, j))
+    return streets, sorted(set(labels)), people, words
 _PART = "|".join(p.replace(" ", r"\s") for p in names.PARTICLES)
 _SUR = r"[^\W\d_]{2,}(?:-[^\W\d_]{2,})*"
 _RIGHT = re.compile(rf"(?:-[^\W\d_]{{2,}})?(?:(\s{{1,2}})[^\W\d_]\.)?(?:(\s{{1,2}})(?:{_PART})(?=\s))?(\s{{1,2}})({_SUR})", re.I)
@@ -74,11 +156,9 @@ def _fits(first: str, surname: str) -> bool:
     return ok and parts[0].lower() not in names.AFTER and parts[0].lower() not in names.COMPANIES
 
 
-def _people(text: str) -> Iterator[tuple[int, int]]:
-    for w in _WORD.finditer(text):
-        if w.group().lower() not in _FIRST:
-            continue
-        first, i, j = w.group(), w.start(), w.end()
+def _people(text: str, known: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for i, j in known:
+        first = text[i:j]
         if i and text[i - 1] in "-@." or text[j : j + 1] in ("@", "_"):
             continue
         right, left = _RIGHT.match(text, j), _LEFT.search(text, max(0, i - 60), i)
@@ -112,8 +192,73 @@ def _part_is_name(text: str, m: re.Match) -> bool:
     return text[m.start() : m.start(1)].strip().lower() in ("van der", "van den", "de la", "von der", "della", "del")
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of all items of a text, in order, without overlaps."""
+#: Hash buckets of the evidence about first names, and what a learned first name has at least: different surnames
+#: behind it next to a label or a title, and the share of these places among all where it stands before such a word.
+NAME_BITS, LEAST_SURNAMES, LEAST_SHARE = 19, 4, 0.1
+_PAIR = re.compile(r"(?<![\w.@-])([A-ZÀ-ÖØ-Þ][^\W\d_]+)\s[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+")
+
+
+def _bucket(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.lower()) >> (64 - NAME_BITS)
+
+
+def name_evidence(rows: DataFrame) -> np.ndarray:
+    """Buckets of learned first names, from all rows (text).
+
+    Two facts are added up for each bucket: how often a word stands as a first name after a label or title, with a
+    bitmap of the surnames, and how often it stands before a capitalised word at all. A word that is always followed
+    by the same one (a department, a company) isn't a first name.
+    """
+    size = 1 << NAME_BITS
+
+    def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
+        for text in b["text"].to_pylist():
+            for m in _KNOWN.finditer(text):
+                last = m.group(1).split(", ")
+                first, surname = (last[1], last[0]) if len(last) > 1 else (m.group(1).split()[0], m.group(1).split()[-1])
+                if surname.split("-")[0].lower() not in names.AFTER | set(names.COMPANIES):
+                    at = _bucket(first)
+                    vector[at] |= np.uint32(1 << (xxhash.xxh3_64_intdigest(surname.lower()) & 31))
+                    vector[size + at] += 1
+            for w, n in Counter(m.group(1) for m in _PAIR.finditer(text)).items():
+                vector[2 * size + _bucket(w)] += n
+
+    total = vector_total(rows.select("text"), 3 * size, "uint32", add, lambda c: "or" if c < 4 else "cap", chunks=12)
+    strong = total[size : 2 * size]
+    return (np.bitwise_count(total[:size]) >= LEAST_SURNAMES) & (strong >= LEAST_SHARE * np.maximum(total[2 * size :], 1))
+
+
+class Learned:
+    """Learned first names of a corpus; each word is looked up once."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.buckets, self.seen = buckets, {}
+
+    def __contains__(self, word: str) -> bool:
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            got = self.seen[word] = bool(self.buckets[_bucket(word)]) and word.lower() not in names.AFTER
+        return got
+
+
+def _again(text: str, low: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Further places of the names found, whole and in any case."""
+    for name in {low[i:j] for i, j in spans}:
+        at = low.find(name)
+        while at >= 0:
+            end = at + len(name)
+            if not (at and (low[at - 1].isalnum() or low[at - 1] in "_@.-")) and not low[end : end + 1].isalnum() and low[end : end + 1] not in ("@", "_", "-"):
+                yield at, end
+            at = low.find(name, end)
+
+
+def find(text: str | None, learned: Learned | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, type) of all items of a text, in order, without overlaps.
+
+    First names are the known ones and those ``learned`` from the corpus; a name found once is found at all its places.
+    """
     if not text:
         return []
     spans: list[tuple[int, int, str]] = []
@@ -124,21 +269,32 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             taken[i:j] = b"\1" * (j - i)
             spans.append((i, j, kind))
 
-    for m in EMAIL.finditer(text):
+    low = _folded(text)
+    streets, labels, people, words = _starts(low)
+    for m in EMAIL.finditer(text) if _AT.search(text) else ():
         put(*m.span(), "EMAIL_ADDRESS")
-    for m in ID.finditer(text):
+    at = 0
+    for start in labels:
+        m = ID.match(text, start) if start >= at else None
+        if m is None:
+            continue
+        at = m.end()
         i, j = m.span(1) if m.group(1) else m.span(2)
         if sum(map(str.isdigit, text[i:j])) >= 5:
             put(i, j, "ID_NUMBER")
-    for m in STREET.finditer(text):
-        put(m.start(), m.end() - (len(m.group()) - len(m.group().rstrip())), "STREET_ADDRESS")
+    for i, j in sorted(_streets(text, streets, words)):
+        put(i, j, "STREET_ADDRESS")
     for m in PHONE.finditer(text):
         t = m.group()
         digits = sum(map(str.isdigit, re.split(r"(?i)x|ext", t)[0]))
         dialled = t.startswith(("+", "0", "(0")) and 9 <= digits <= 16 or _US.match(t)
         if dialled and not re.match(r"\d{1,4}[./-]\d\d[./-]\d{2,4}(?!\d)", t) and not _NO_PHONE.search(text, max(0, m.start() - 20), m.start()):
             put(*m.span(), "PHONE_NUMBER")
-    for i, j in sorted(set(_people(text)), key=lambda s: (s[0], -s[1])):
+    if learned is not None:
+        people = sorted({*people, *(m.span(1) for m in _PAIR.finditer(text) if m.group(1) in learned)})
+    for i, j in sorted(set(_people(text, people)), key=lambda s: (s[0], -s[1])):
+        put(i, j, "PERSON")
+    for i, j in _again(text, low, [(i, j) for i, j, kind in spans if kind == "PERSON"]):
         put(i, j, "PERSON")
     return sorted(spans)
 
@@ -146,12 +302,23 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
 ITEMS = "items array<struct<start int, end int, type string, text string>>"
 
 
-def items(df: DataFrame, id_col: str, text_col: str, with_text: bool = False, every: bool = False) -> DataFrame:
+def learn(df: DataFrame, text_col: str):
+    """The first names that the texts of ``df`` tell, as a broadcast bit field of fixed size."""
+    return df.sparkSession.sparkContext.broadcast(np.packbits(name_evidence(df.where(has_text(text_col)).select(F.col(text_col).alias("text")))))
+
+
+def _learned(shared) -> Learned | None:
+    return None if shared is None else Learned(np.unpackbits(shared.value).view(bool))
+
+
+def items(df: DataFrame, id_col: str, text_col: str, with_text: bool = False, every: bool = False, learned=None) -> DataFrame:
     """(id, items), and the text where asked for, of every row with an id and a text, or of every row."""
 
     def start():
+        known = _learned(learned)
+
         def work(b: pa.RecordBatch) -> dict:
-            return {"id": b["id"], "text": b["text"], "items": [[{"start": i, "end": j, "type": kind, "text": t[i:j]} for i, j, kind in find(t)] for t in b["text"].to_pylist()]}
+            return {"id": b["id"], "text": b["text"], "items": [[{"start": i, "end": j, "type": kind, "text": t[i:j]} for i, j, kind in find(t, known)] for t in b["text"].to_pylist()]}
 
         return work
 
@@ -165,14 +332,16 @@ def distinct_items(found: DataFrame) -> DataFrame:
     return found.select("id", F.explode("items").alias("i")).select("id", "i.type", "i.text").distinct()
 
 
-def placeholders(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def placeholders(df: DataFrame, id_col: str, text_col: str, learned=None) -> DataFrame:
     """(id, text, replaced) with every item replaced by its type in brackets; ``replaced`` counts them."""
 
     def start():
+        known = _learned(learned)
+
         def work(b: pa.RecordBatch) -> dict:
             texts, counts = [], []
             for t in b["text"].to_pylist():
-                found = find(t)
+                found = find(t, known)
                 texts.append(_replaced(t, [(i, j, f"[{kind}]") for i, j, kind in found]))
                 counts.append(len(found))
             return {"id": b["id"], "text": texts, "replaced": counts}
@@ -194,6 +363,18 @@ def _replaced(text: str | None, parts: list[tuple[int, int, str]]) -> str | None
 
 
 _CONSONANTS, _VOWELS = "bdfghklmnprstvwz", "aeiou"
+#: First and last letter of the lower-case alphabets, or of the signs, that words of other scripts are made of.
+_SCRIPTS = (("а", "я"), ("α", "ω"), ("א", "ת"), ("ا", "ي"), ("अ", "ह"), ("ぁ", "ゖ"), ("ァ", "ヺ"), ("가", "힣"), ("一", "龥"))
+
+
+@lru_cache(maxsize=None)
+def _alphabet(first: str, last: str) -> str:
+    return "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if c.isalpha())
+
+
+def _script(letter: str) -> str | None:
+    """The alphabet of a letter that isn't Latin."""
+    return next((_alphabet(a, b) for a, b in _SCRIPTS if a <= letter.lower() <= b), None)
 
 
 class Surrogates:
@@ -209,6 +390,8 @@ class Surrogates:
         """A permutation of the first letters, so an initial and a first name stay together."""
         order = sorted("abcdefghijklmnopqrstuvwxyz", key=lambda c: self.draw("initial", c))
         plain = unicodedata.normalize("NFD", letter.lower())[0]
+        if (signs := _script(letter)) is not None:
+            return signs[(signs.find(letter.lower()) + 1 + self.draw("initial", signs[0]) % (len(signs) - 1)) % len(signs)]
         return order[ord(plain) - 97] if "a" <= plain <= "z" else "x"
 
     def word(self, word: str, attempt: int = 0) -> str:
@@ -218,10 +401,16 @@ class Surrogates:
             plain = plain.replace(a, b)
         plain = unicodedata.normalize("NFD", plain)
         plain = "".join(c for c in plain if not unicodedata.combining(c))
+        if (signs := _script(word[0])) is not None:
+            out, n = self.letter(word[0]), self.draw("word", word.lower(), attempt)
+            for _ in range(len(word) - 1 + attempt // 8):
+                out += signs[n % len(signs)]
+                n = n // len(signs) or self.draw("more", word, len(out), attempt)
+            return out.upper() if word.isupper() and len(word) > 1 else out.capitalize() if word[0].isupper() else out
         n, gender = self.draw("word", plain, attempt), _FIRST.get(word.lower()) or _FIRST.get(plain)
         first = self.letter(word[0])
         out = first if first in _VOWELS else first + _VOWELS[n % 5]
-        for _ in range(max(2, min(4, len(plain) // 3))):
+        for _ in range(max(2, min(4, len(plain) // 3)) + attempt // 4):
             n //= 5
             out += _CONSONANTS[n % 16] + _VOWELS[n // 16 % 5]
             n //= 80
@@ -231,11 +420,13 @@ class Surrogates:
         return out.upper() if word.isupper() and len(word) > 1 else out.capitalize() if word[0].isupper() else out
 
     def digits(self, text: str, keep: int, attempt: int) -> str:
-        """Other digits and capital letters in the same places; the first ``keep`` signs stay."""
+        """Other digits and letters in the same places; the first ``keep`` signs stay, and a group that begins with
+        2 to 9 still does, so area codes stay valid."""
         n, out = self.draw("digits", re.sub(r"\W", "", text).lower(), attempt), list(text[:keep])
         for c in text[keep:]:
             if c.isdigit():
-                out.append(str(n % 10))
+                opens = c in "23456789" and not (out and out[-1].isdigit())
+                out.append(str(2 + n % 8 if opens else n % 10))
                 n = n // 10 or self.draw("more", text, len(out), attempt)
             elif c.isalpha() and c.isascii():
                 letter = chr(97 + n % 26)
@@ -289,11 +480,15 @@ def _same(text: str) -> str:
     return " ".join(sorted(re.findall(r"[^\W\d_]+|\d+", text.lower())))
 
 
-def surrogate_table(found: DataFrame, key: str, rounds: int = 6) -> DataFrame:
-    """(type, text, surrogate) of all distinct items. Different items never share a surrogate.
+#: Draws after which the items that still collide are an error: their format has too few values.
+MOST_DRAWS = 64
+
+
+def surrogate_table(found: DataFrame, key: str) -> DataFrame:
+    """(type, text, attempt, surrogate) of all distinct items. Different items never share a surrogate.
 
     Spellings of one item (the same words or digits) may. Items whose surrogate is taken, or that are a real item
-    of the table, draw again; the first of them in order of the text keeps it.
+    of the table, draw again until all are distinct; the first of them in order of the text keeps it.
     """
 
     def start():
@@ -308,31 +503,58 @@ def surrogate_table(found: DataFrame, key: str, rounds: int = 6) -> DataFrame:
 
     every = cut(found.select(F.explode("items").alias("i")).select("i.type", "i.text").distinct().withColumn("attempt", F.lit(0)))
     schema = "type string, text string, attempt int, surrogate string, same string, made string"
-    for _ in range(rounds):
+    for _ in range(MOST_DRAWS):
         drawn = map_arrow(every, schema, start)
         # One row for each pair of item and surrogate; the first item keeps a surrogate that several have drawn.
         owner = F.min("same").over(Window.partitionBy("type", "made"))
         real = drawn.select("type", F.col("same").alias("made")).distinct().withColumn("real", F.lit(True))
         judged = cut(drawn.withColumn("owner", owner).join(real, ["type", "made"], "left").withColumn("again", (F.col("owner") != F.col("same")) | F.col("real").isNotNull()))
         if not judged.where("again").limit(1).count():
-            break
+            return judged.select("type", "text", "attempt", "surrogate")
         every = judged.select("type", "text", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    return judged.select("type", "text", "surrogate")
+    raise ValueError(f"items still share surrogates after {MOST_DRAWS} draws")
 
 
-def surrogates(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    """(id, text) of every row with every item replaced by its surrogate."""
-    found = cut(items(df, id_col, text_col, with_text=True, every=True).withColumn("row", F.monotonically_increasing_id()))
-    table = surrogate_table(found.select("items"), key)
-    one = found.select("row", F.posexplode("items").alias("n", "i")).select("row", "i.*").join(table, ["type", "text"])
-    new = one.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("new"))
-    joined = found.join(new, "row", "left").select("id", "text", "new")
+def surrogates(df: DataFrame, id_col: str, text_col: str, key: str, learned=None) -> DataFrame:
+    """(id, text) of every row with every item replaced by its surrogate.
+
+    Surrogates follow from the key, so texts are rewritten where they lie; only the items that had to draw again are
+    looked up: sent to the tasks up to BROADCAST_ROWS of them, joined by the item beyond.
+    """
+    found = items(df, id_col, text_col, every=True, learned=learned)
+    odd = cut(surrogate_table(found.select("items"), key).where("attempt > 0").select("type", "text", "attempt"))
+    kind = f"id {df.schema[id_col].dataType.simpleString()}, text string"
+    if odd.count() <= BROADCAST_ROWS:
+        rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<type string, text string, attempt int>>").alias("odd"))
+        few = df.sparkSession.sparkContext.broadcast({(r["type"], r["text"]): r["attempt"] for r in odd.collect()})
+    else:
+        rows = cut(items(df, id_col, text_col, with_text=True, every=True, learned=learned).withColumn("row", F.monotonically_increasing_id()))
+        mine = rows.select("row", F.explode("items").alias("i")).select("row", "i.type", "i.text").distinct().join(odd, ["type", "text"])
+        mine = mine.groupBy("row").agg(F.collect_list(F.struct("type", "text", "attempt")).alias("odd"))
+        rows, few = rows.join(mine, "row", "left").select("id", "text", "odd"), None
 
     def start():
+        draw, known = Surrogates(key.encode()), _learned(learned)
+
         def work(b: pa.RecordBatch) -> dict:
-            return {"id": b["id"], "text": [_replaced(t, [(x["start"], x["end"], x["surrogate"]) for x in n or []]) for t, n in zip(b["text"].to_pylist(), b["new"].to_pylist())]}
+            out = []
+            for t, odds in zip(b["text"].to_pylist(), b["odd"].to_pylist()):
+                again = few.value if few is not None else {(x["type"], x["text"]): x["attempt"] for x in odds or []}
+                out.append(_replaced(t, [(i, j, draw.of(k, t[i:j], again.get((k, t[i:j]), 0))) for i, j, k in find(t, known)]))
+            return {"id": b["id"], "text": out}
 
         return work
 
-    return map_arrow(joined, f"id {joined.schema['id'].dataType.simpleString()}, text string", start)
+    return map_arrow(rows, kind, start)
+
 
+def invariants(df: DataFrame, id_col: str, text_col: str, key: str, learned=None) -> DataFrame:
+    """(type, items, shared, real, kept) of the surrogates of all distinct items: how many share one with another
+    item, are an item of the table themselves, or are equal to what they replace. All three are 0."""
+    table = surrogate_table(items(df, id_col, text_col, every=True, learned=learned).select("items"), key)
+    name = lambda c: F.array_join(F.array_sort(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}]+|\d+"), F.lit(0))), " ")
+    table = table.select("type", name(F.col("text")).alias("same"), name(F.col("surrogate")).alias("made"))
+    used = table.groupBy("type", "made").agg(F.count_distinct("same").alias("owners"))
+    real = table.select("type", F.col("same").alias("made")).distinct().withColumn("real", F.lit(1))
+    counted = used.join(real, ["type", "made"], "left").groupBy("type").agg(F.count_if(F.col("owners") > 1).alias("shared"), F.count("real").alias("real"))
+    return table.groupBy("type").agg(F.count_distinct("same").alias("items"), F.count_if(F.col("same") == F.col("made")).alias("kept")).join(counted, "type").select("type", "items", "shared", "real", "kept")

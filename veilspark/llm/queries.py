@@ -29,17 +29,26 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = personal.distinct_items(personal.items(table(spark, folder, "false_negatives"), "document_id", "full_text"))
+    df = table(spark, folder, "false_negatives")
+    found = personal.distinct_items(personal.items(df, "document_id", "full_text", learned=personal.learn(df, "full_text")))
     return found.select(F.col("id").alias("document_id"), F.col("type").alias("entity_type"), F.col("text").alias("entity_text"))
 
 
 def p4_placeholders(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.placeholders(table(spark, folder, "false_negatives"), "document_id", "full_text").withColumnRenamed("id", "document_id")
+    df = table(spark, folder, "false_negatives")
+    return personal.placeholders(df, "document_id", "full_text", personal.learn(df, "full_text")).withColumnRenamed("id", "document_id")
 
 
 def p4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with keyed surrogates; the key is a parameter and stands here for one kept elsewhere."""
-    return personal.surrogates(table(spark, folder, "false_negatives"), "document_id", "full_text", "example key").withColumnRenamed("id", "document_id")
+    df = table(spark, folder, "false_negatives")
+    return personal.surrogates(df, "document_id", "full_text", "example key", personal.learn(df, "full_text")).withColumnRenamed("id", "document_id")
+
+
+def p4_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per type: distinct items, and surrogates that are shared, are real items, or are equal to their item."""
+    df = table(spark, folder, "false_negatives")
+    return personal.invariants(df, "document_id", "full_text", "example key", personal.learn(df, "full_text"))
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +96,7 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return records.queries() | {f.__name__: f for f in (p2_found, p2_report, p3_budget, p3_counts, p4_found, p4_placeholders, p4_surrogates, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_segments)}
+    return records.queries() | {f.__name__: f for f in (p2_found, p2_report, p3_budget, p3_counts, p4_found, p4_placeholders, p4_surrogates, p4_invariants, p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
