@@ -194,29 +194,62 @@ def _part_is_name(text: str, m: re.Match) -> bool:
 
 #: Hash buckets of the evidence about first names, and what a learned first name has at least: different surnames
 #: behind it next to a label or a title, and the share of these places among all where it stands before such a word.
-NAME_BITS, LEAST_SURNAMES, LEAST_SHARE = 19, 4, 0.1
-_PAIR = re.compile(r"(?<![\w.@-])([A-ZÀ-ÖØ-Þ][^\W\d_]+)\s[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+")
+NAME_BITS, LEAST_SURNAMES, LEAST_SHARE = 19, 3, 0.03
+_UP, _SMALL = "[A-ZÀ-ÖØ-Þ]", "[a-zß-öø-ÿ]"
+_CAPITAL = re.compile(rf"(?<![\w@])({_UP}[^\W\d_]+)(?!\w)")
+#: A middle initial or a particle that isn't a preposition between two capitalised words.
+_BETWEEN = re.compile(rf"(?<![\w.@-])({_UP}{_SMALL}+)[ ](?:{_UP}\.|van\sder|van\sden|de\sla|van)[ ]({_UP}{_SMALL}+)(?!\w)")
+#: A name right before a mail address, or on its own side of a sign.
+_BEFORE_MAIL = re.compile(rf"(?<![\w.@-])({_UP}{_SMALL}+(?:\s{_UP}\.)?[ ]{_UP}{_SMALL}+(?:-{_UP}{_SMALL}+)*|{_UP}{_SMALL}+(?:-{_UP}{_SMALL}+)*,[ ]{_UP}{_SMALL}+)\s?[-–,:(<\[]{{1,2}}\s?$")
+_PAIR = re.compile(r"(?<![\w.@-])([A-ZÀ-ÖØ-Þ][^\W\d_]+)[ ][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+")
 
 
 def _bucket(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower()) >> (64 - NAME_BITS)
 
 
+_NO_NAMES = names.AFTER | set(names.COMPANIES) | {t.lower().rstrip(".") for t in names.TITLES} | {w.lower() for label in names.LABELS for w in label.split()}
+
+
+def _plain(word: str) -> str:
+    word = word.lower()
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        word = word.replace(a, b)
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def _mailed(text: str, mails: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Names right before mail addresses whose first part holds a part of the name."""
+    for i, j in mails:
+        m = _BEFORE_MAIL.search(text, max(0, i - 60), i)
+        if m is not None:
+            local = _plain(re.split(r"\W", text[i:j], maxsplit=1)[0] + text[i : i + 40].split("@")[0])
+            if any(len(w) > 2 and _plain(w) in local for w in re.split(r"[\s,-]+", m.group(1))):
+                yield m.span(1)
+
+
+def _first_and_last(name: str) -> tuple[str, str]:
+    parts = name.split(", ")
+    return (parts[1], parts[0]) if len(parts) > 1 else (name.split()[0], name.split()[-1])
+
+
 def name_evidence(rows: DataFrame) -> np.ndarray:
     """Buckets of learned first names, from all rows (text).
 
-    Two facts are added up for each bucket: how often a word stands as a first name after a label or title, with a
-    bitmap of the surnames, and how often it stands before a capitalised word at all. A word that is always followed
+    Two facts are added up for each bucket: how often a word stands as a first name after a label or title, before a
+    mail address that holds the name, or before a middle initial or particle, with a bitmap of the surnames; and how
+    often it stands before a capitalised word at all. A word that is always followed
     by the same one (a department, a company) isn't a first name.
     """
     size = 1 << NAME_BITS
 
     def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
         for text in b["text"].to_pylist():
-            for m in _KNOWN.finditer(text):
-                last = m.group(1).split(", ")
-                first, surname = (last[1], last[0]) if len(last) > 1 else (m.group(1).split()[0], m.group(1).split()[-1])
-                if surname.split("-")[0].lower() not in names.AFTER | set(names.COMPANIES):
+            told = [_first_and_last(m.group(1)) for m in _KNOWN.finditer(text)] + [m.groups() for m in _BETWEEN.finditer(text)]
+            if _AT.search(text):
+                told += [_first_and_last(text[i:j]) for i, j in _mailed(text, [m.span() for m in EMAIL.finditer(text)])]
+            for first, surname in told:
+                if first.lower() not in _NO_NAMES and surname.split("-")[0].lower() not in _NO_NAMES:
                     at = _bucket(first)
                     vector[at] |= np.uint32(1 << (xxhash.xxh3_64_intdigest(surname.lower()) & 31))
                     vector[size + at] += 1
@@ -239,7 +272,7 @@ class Learned:
         if got is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            got = self.seen[word] = bool(self.buckets[_bucket(word)]) and word.lower() not in names.AFTER
+            got = self.seen[word] = bool(self.buckets[_bucket(word)]) and word.lower() not in _NO_NAMES
         return got
 
 
@@ -291,8 +324,8 @@ def find(text: str | None, learned: Learned | None = None) -> list[tuple[int, in
         if dialled and not re.match(r"\d{1,4}[./-]\d\d[./-]\d{2,4}(?!\d)", t) and not _NO_PHONE.search(text, max(0, m.start() - 20), m.start()):
             put(*m.span(), "PHONE_NUMBER")
     if learned is not None:
-        people = sorted({*people, *(m.span(1) for m in _PAIR.finditer(text) if m.group(1) in learned)})
-    for i, j in sorted(set(_people(text, people)), key=lambda s: (s[0], -s[1])):
+        people = sorted({*people, *(m.span(1) for m in _CAPITAL.finditer(text) if m.group(1) in learned)})
+    for i, j in sorted({*_people(text, people), *_mailed(text, [(i, j) for i, j, kind in spans if kind == "EMAIL_ADDRESS"])}, key=lambda s: (s[0], -s[1])):
         put(i, j, "PERSON")
     for i, j in _again(text, low, [(i, j) for i, j, kind in spans if kind == "PERSON"]):
         put(i, j, "PERSON")
