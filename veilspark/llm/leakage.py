@@ -8,12 +8,11 @@
    every word, so a common run of WINDOW + STRIDE - 1 words or more always holds two equal passages.
 4. Candidates are all pairs with a cosine of at least ``cosine`` that pass the answer check, which asks the document's
    passage for ANSWER of the RAREST rarest words of the item's passage. Both conditions are exact, so the search may
-   begin with either: pairs are looked up by the first RAREST - ANSWER + 1 rare words, one of which every such pair
-   shares, then the other words and the cosine are compared. A pair's cosine depends on its own words only, so it is
+   begin with either: passages are looked up by the pairs of rare words that they hold, then the cosine is compared. A pair's cosine depends on its own words only, so it is
    the same in every block.
 5. Each candidate is checked on the words themselves: the run of equal words it lies in is followed to both sides.
    The longest common subsequence of the surroundings is measured for every candidate of a document and item without
-   a run of ``least_run`` words.
+   a run of ``least_run`` words, but for those whose words in common can't reach ``least_share``.
 
 Items are handled in blocks of BLOCK passages, one pass over the corpus for each block, so what is sent to the
 tasks has a fixed size. Null, empty and shorter texts have no passage and no leak; repeated ids give one row.
@@ -21,6 +20,8 @@ tasks has a fixed size. Null, empty and shorter texts have no passage and no lea
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,6 +106,15 @@ def _bits(words: np.ndarray) -> np.ndarray:
     return U(1) << (words >> U(58))
 
 
+_SOME_BITS = 22
+
+
+def _spread(code: np.ndarray) -> np.ndarray:
+    """A place in a table of 2**_SOME_BITS for each pair code."""
+    with np.errstate(over="ignore"):
+        return ((code.astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - _SOME_BITS)).astype(np.int64)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
@@ -124,13 +134,17 @@ class Index:
         self.starts, self.owner = starts, np.searchsorted(self.at, starts, "right") - 1
         mine = self.words[starts[:, None] + np.arange(WINDOW)]
         self.rare = np.take_along_axis(mine, np.argsort(-idf[_features(mine)], axis=1, kind="stable")[:, :RAREST], 1)
-        self.need = _bits(self.rare)
-        # Lookups: a passage under each of its first RAREST - ANSWER + 1 rare words; ``nth`` tells which of them.
-        looked = RAREST - ANSWER + 1
-        by = np.argsort(self.rare[:, :looked].ravel(), kind="stable")
-        self.order, self.nth = by // looked, by % looked
-        self.keys, low = np.unique(self.rare[:, :looked].ravel()[by], return_index=True)
-        self.ends = np.append(low, len(by))
+        # Lookups: a passage stands under each pair of its rare words.
+        self.keys = np.unique(self.rare)
+        number = np.searchsorted(self.keys, self.rare)
+        low, high = (np.stack([f(number[:, i], number[:, j]) for i, j in combinations(range(RAREST), ANSWER)], 1) for f in (np.minimum, np.maximum))
+        codes = (low * len(self.keys) + high).ravel()
+        by = np.argsort(codes, kind="stable")
+        self.order = by // low.shape[1]
+        self.pairs, at = np.unique(codes[by], return_index=True)
+        self.ends = np.append(at, len(by))
+        self.some = np.zeros(1 << _SOME_BITS, bool)
+        self.some[_spread(self.pairs)] = True
 
     def sums(self, words: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros((1, RANK)), np.cumsum(self.table[_features(words)], axis=0, dtype=np.float64)])
@@ -142,29 +156,39 @@ class Index:
         if not len(first) or not len(self.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         grid = np.arange(WINDOW)
-        bits, held = _bits(words), np.zeros(len(first), U)
-        for i in range(WINDOW):
-            held |= bits[first + i]
         key = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         key[self.keys[key] != words] = -1
-        key = np.sort(key[first[:, None] + grid], axis=1)
-        fresh = key >= 0
-        fresh[:, 1:] &= key[:, 1:] != key[:, :-1]
-        passage = np.nonzero(fresh)[0]
-        low, n = self.ends[key[fresh]], np.diff(self.ends)[key[fresh]]
+        key = -np.sort(-key[first[:, None] + grid], axis=1)
+        key[:, 1:][key[:, 1:] == key[:, :-1]] = -1
+        passage = np.flatnonzero((key >= 0).any(1))  # each row: different rare words of the items, then -1
+        key = -np.sort(-key[passage], axis=1)
+        size = (key >= 0).sum(1)
+        hits = []
+        for j in range(WINDOW):
+            rows = np.flatnonzero(size > j)
+            if not len(rows):
+                break
+            for i in range(j + 1):  # a word that is rare twice in an item's passage is a pair of its own
+                code = key[rows, j] * len(self.keys) + key[rows, i]
+                may = np.flatnonzero(self.some[_spread(code)])
+                at_pair = np.minimum(np.searchsorted(self.pairs, code[may]), len(self.pairs) - 1)
+                real = self.pairs[at_pair] == code[may]
+                hits.append((passage[rows[may[real]]], at_pair[real]))
+        passage, pair = map(np.concatenate, zip(*hits)) if hits else (np.zeros(0, np.int64),) * 2
+        by = np.argsort(passage, kind="stable")
+        passage, pair = passage[by], pair[by]
+        low, n = self.ends[pair], np.diff(self.ends)[pair]
         done = np.cumsum(n)
-        cuts = np.unique(np.searchsorted(done, np.arange(0, int(done[-1]) if len(done) else 0, _PAIRS), "left")).tolist() + [len(n)]
+        # Cuts between passages, so that all hits of one are looked at together and each pair comes once.
+        cuts = np.searchsorted(passage, passage[np.searchsorted(done, np.arange(0, int(done[-1]) if len(done) else 0, _PAIRS), "left")], "left") if len(done) else np.zeros(0, np.int64)
+        cuts = np.unique(cuts).tolist() + [len(n)]
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for i, j in zip(cuts[:-1], cuts[1:]):
             size = n[i:j]
             p = np.repeat(passage[i:j], size)
-            line = np.arange(len(p)) + np.repeat(low[i:j] - (np.cumsum(size) - size), size)
-            q, nth = self.order[line], self.nth[line]
-            may = sum(((held[p] & self.need[q, k]) != 0).astype(np.int8) for k in range(RAREST)) >= ANSWER
-            p, q, nth = p[may], q[may], nth[may]
-            has = np.stack([(words[first[p][:, None] + grid] == self.rare[q, k][:, None]).any(1) for k in range(RAREST)])
-            keep = (has.sum(0) >= ANSWER) & (has.argmax(0) == nth)  # a pair counts under the first word it shares
-            p, q = p[keep], q[keep]
+            q = self.order[np.arange(len(p)) + np.repeat(low[i:j] - (np.cumsum(size) - size), size)]
+            both = np.sort(p * len(self.starts) + q)
+            p, q = np.divmod(both[np.append(True, both[1:] != both[:-1])] if len(both) else both, len(self.starts))
             some, back = np.unique(p, return_inverse=True)
             vectors = np.zeros((len(some), RANK), np.float32)
             for k in range(WINDOW):
@@ -205,6 +229,24 @@ class Index:
         return out
 
 
+def most_common(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """No less than the longest common subsequence of each range of ``a`` and its range of ``b``: the words of the one
+    whose bit is set in a bitmap of 256 bits of the other."""
+    if not len(a_from):
+        return np.zeros(0, np.int64)
+    maps = np.zeros((4, len(b_from)), U)
+    for k in range(int((b_to - b_from).max())):
+        w = b[np.minimum(b_from + k, len(b) - 1)]
+        bit = np.where(b_from + k < b_to, _bits(w), U(0))
+        for m in range(4):
+            maps[m] |= np.where((w & U(3)) == m, bit, U(0))
+    out, rows = np.zeros(len(a_from), np.int64), np.arange(len(a_from))
+    for k in range(int((a_to - a_from).max())):
+        w = a[np.minimum(a_from + k, len(a) - 1)]
+        out += (a_from + k < a_to) & ((maps[(w & U(3)).astype(np.int64), rows] & _bits(w)) != 0)
+    return out
+
+
 def common_subsequences(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of each range of words of ``a`` and its range of ``b``."""
     if not len(a_from):
@@ -252,8 +294,10 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
                     o = other[k : k + 50_000]
                     t, m, i = text[o], item[o], index.starts[q[o]]
                     low, high = np.maximum(index.at[m], i - STRIDE), np.minimum(index.at[m + 1], i + WINDOW + STRIDE)
-                    common = common_subsequences(index.words, low, high, words, np.maximum(at[t], first[o] - 2 * STRIDE), np.minimum(at[t + 1], first[o] + WINDOW + 2 * STRIDE))
-                    np.maximum.at(share, pair[o], common / (high - low))
+                    left, right = np.maximum(at[t], first[o] - 2 * STRIDE), np.minimum(at[t + 1], first[o] + WINDOW + 2 * STRIDE)
+                    may = most_common(index.words, low, high, words, left, right) >= least_share * (high - low) - 1e-9
+                    o, low, high, left, right = o[may], low[may], high[may], left[may], right[may]
+                    np.maximum.at(share, pair[o], common_subsequences(index.words, low, high, words, left, right) / (high - low))
                 share[longest >= least_run] = 1.0
                 hit = np.flatnonzero((longest >= least_run) | (share >= least_share))
                 return {"id": [ids[n] for n in (names[hit] // len(index.ids)).tolist()], "item_id": [index.ids[n] for n in (names[hit] % len(index.ids)).tolist()], "longest_run": longest[hit].tolist(), "subsequence_share": share[hit].tolist()}
