@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.arrow import map_arrow
 from veilspark.functions.columns import has_text, hash_fraction
 from veilspark.functions.materialize import cut
-from veilspark.functions.shingles import U, word_hashes
+from veilspark.functions.shingles import U, mix, word_hashes
 from veilspark.functions.vectors import vector_total
 
 FEATURE_BITS, RANK, OVERSAMPLE, FIT_DOCS = 15, 48, 8, 20_000
@@ -106,6 +106,15 @@ def _bits(words: np.ndarray) -> np.ndarray:
     return U(1) << (words >> U(58))
 
 
+def _names(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the passage of WINDOW words at each start."""
+    out = np.zeros(len(starts), U)
+    with np.errstate(over="ignore"):
+        for k in range(WINDOW):
+            out = (out ^ (out >> U(31))) * U(0xD1342543DE82EF95) + words[starts + k]
+    return mix(out)
+
+
 _SOME_BITS = 22
 
 
@@ -131,6 +140,7 @@ class Index:
         starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(self.at[:-1], self.at[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
         vectors = (sums[starts + WINDOW] - sums[starts]).astype(np.float32)
         self.vectors = _unit(vectors)
+        self.names = _names(self.words, starts)
         self.starts, self.owner = starts, np.searchsorted(self.at, starts, "right") - 1
         mine = self.words[starts[:, None] + np.arange(WINDOW)]
         self.rare = np.take_along_axis(mine, np.argsort(-idf[_features(mine)], axis=1, kind="stable")[:, :RAREST], 1)
@@ -156,6 +166,7 @@ class Index:
         if not len(first) or not len(self.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         grid = np.arange(WINDOW)
+        names = _names(words, first)
         key = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         key[self.keys[key] != words] = -1
         key = -np.sort(-key[first[:, None] + grid], axis=1)
@@ -195,8 +206,7 @@ class Index:
                 vectors += self.table[_features(words[first[some] + k])]
             vectors = _unit(vectors)
             near = np.concatenate([np.einsum("ij,ij->i", vectors[back[a : a + 100_000]], self.vectors[q[a : a + 100_000]]) for a in range(0, len(p), 100_000)] or [np.zeros(0)])
-            same = (words[first[p][:, None] + grid] == self.words[self.starts[q][:, None] + grid]).all(1)
-            near[same] = 1.0  # also where no word is in the fitted sample and the vector is zero
+            near[names[p] == self.names[q]] = 1.0  # also where no word is in the fitted sample and the vector is zero
             keep = near >= cosine
             out.append((first[p[keep]], q[keep], near[keep]))
         return tuple(map(np.concatenate, zip(*out)))
