@@ -79,9 +79,13 @@ def safe_name(x: Column | str) -> Column:
     return F.translate(_c(x), "/: ", "___")
 
 
-def field_title(x: Column | str) -> Column:
-    """A field's name as a heading."""
-    return F.initcap(F.replace(_c(x), F.lit("_"), F.lit(" ")))
+def field_title(x: Column | str, language: Column | str | None = None, names: dict[str, str] | None = None) -> Column:
+    """A field's name as a heading; in German, the given name where there is one."""
+    plain = F.initcap(F.replace(_c(x), F.lit("_"), F.lit(" ")))
+    if language is None or not names:
+        return plain
+    known = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+    return F.when(_c(language) == "de", F.coalesce(F.try_element_at(known, _c(x)), plain)).otherwise(plain)
 
 
 def active_labels(labels: Sequence[str] = ENTITY_LABELS) -> Column:

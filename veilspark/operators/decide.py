@@ -41,6 +41,45 @@ STRATEGIES = {
 }
 
 
+@dataclass(frozen=True)
+class Model:
+    """A model that a strategy may use: of which kind, where it runs, and how its rows are labelled."""
+
+    name: str
+    kind: str  # "llm" or "scorer"
+    provider: str
+    model_name: str
+    local: bool = True
+
+
+MODELS = {m.name: m for m in (Model("stub", "llm", "offline", "stub"), Model("linear", "scorer", "local", "linear"))}
+#: What each runner needs, and its final decision.
+NEEDS = {"rules": (), "llm": ("llm",), "score": ("scorer",), "hybrid": ("scorer", "llm")}
+
+
+def model(name: str, kind: str | None = None, known: dict[str, Model] = MODELS) -> Model:
+    """A model by name in any case; an unknown one, or one of another kind, is an error that lists those known."""
+    key = name.strip().lower()
+    if key not in known or kind not in (None, known[key].kind):
+        raise ValueError(f"unknown model {name!r}; known: {sorted(k for k, m in known.items() if kind in (None, m.kind))}")
+    return known[key]
+
+
+def registered(entries: dict[str, dict], models: dict[str, Model] = MODELS) -> dict[str, Strategy]:
+    """Strategies from a table of settings {name: {"runner", "llm", "scorer"}}; a runner that isn't known, a model it
+    needs that is missing, or one of the wrong kind is an error."""
+    out = {}
+    for name, entry in entries.items():
+        runner = entry.get("runner")
+        if runner not in NEEDS:
+            raise ValueError(f"strategy {name!r} has the unknown runner {runner!r}; known: {sorted(NEEDS)}")
+        used = [model(entry.get(kind) or "", kind, models) for kind in NEEDS[runner]]
+        source = "+".join(["rules", *("score" if m.kind == "scorer" else "llm" for m in used)])
+        last = used[-1] if used else None
+        out[name.strip().lower()] = Strategy(name.strip().lower(), runner, last.provider if last else "", last.kind if last else "", last.model_name if last else "", source)
+    return out
+
+
 def strategies(names: list[str], known: dict[str, Strategy] = STRATEGIES) -> list[Strategy]:
     """Strategies by name in any case; unknown ones are an error that lists those known."""
     wanted = [n.strip().lower() for n in names]
@@ -145,6 +184,18 @@ def run_strategy(df: DataFrame, strategy: Strategy, run_id: str, threshold: floa
     return with_metadata(df.withColumn("final_pii", rule()), strategy, run_id)
 
 
+def run_strategies(df: DataFrame, chosen: list[Strategy], run_id: str, threshold: float = 0.5) -> DataFrame:
+    """All strategies' decisions over one swept, scored and reviewed table, as one row for each document and strategy."""
+    rule = {"rules": by_rules, "llm": by_llm, "score": lambda: by_score(threshold), "hybrid": by_zones}
+    parts = [
+        F.struct(F.lit(s.name).alias("strategy"), F.lit(s.provider).alias("provider"), F.lit(s.model_family).alias("model_family"), F.lit(s.model_name).alias("model_name"), F.lit(s.prediction_source).alias("prediction_source"), rule[s.runner]().alias("final_pii"))
+        for s in chosen
+    ]
+    gone = {"strategy", "provider", "model_family", "model_name", "prediction_source", "final_pii", "run_id", "predicted_pii"}
+    rows = df.drop(*gone).withColumn("_s", F.explode(F.array(*parts)))
+    return rows.select("*", "_s.*").drop("_s").withColumns({"run_id": F.lit(run_id), "predicted_pii": F.col("final_pii")})
+
+
 def dataset_version(df: DataFrame, column: str = "dataset_version", default: str = "unknown") -> str:
     """The one version a table holds; the default for none; several are an error."""
     if column not in df.columns:

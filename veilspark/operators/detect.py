@@ -59,8 +59,11 @@ def spans(text: Column | str, pattern: str, kind: str) -> Column:
 
     def placed(found: Column) -> Column:
         def every(between: Column) -> Column:
-            before = lambda i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-            return F.transform(found, lambda v, i: _span(kind, v, before(i)))
+            # One running sum over the pieces between matches and the matches themselves.
+            sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda x, v: F.struct(F.length(x).alias("x"), F.length(v).alias("v")))
+            begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+            step = lambda a, s: F.struct((a["at"] + s["x"] + s["v"]).alias("at"), F.array_append(a["starts"], a["at"] + s["x"]).alias("starts"))
+            return let(F.aggregate(sizes, begin, step)["starts"], lambda starts: F.zip_with(found, starts, lambda v, at: _span(kind, v, at)))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), every)).otherwise(empty)
 

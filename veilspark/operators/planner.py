@@ -165,6 +165,38 @@ def value_of(entity: str, seed: Column) -> Column:
     }[entity]
 
 
+def paired(values: Column) -> Column:
+    """The values of one field (a map of entity type to value) as one text: a name with an address of mail, a phone
+    number or an account beside it, a single value as it is, others joined by semicolons."""
+    at = lambda k: F.try_element_at(values, F.lit(k))
+    person = at("PERSON")
+    return (
+        F.when(person.isNotNull() & at("EMAIL_ADDRESS").isNotNull(), F.concat(person, F.lit(" ("), at("EMAIL_ADDRESS"), F.lit(")")))
+        .when(person.isNotNull() & at("PHONE_NUMBER").isNotNull(), F.concat(person, F.lit(", "), at("PHONE_NUMBER")))
+        .when(person.isNotNull() & at("IBAN_CODE").isNotNull(), F.concat(person, F.lit("; IBAN: "), at("IBAN_CODE")))
+        .otherwise(F.array_join(F.map_values(values), "; "))
+    )
+
+
+# What records say about how they were made.
+MADE_BY = {"field": ("openrouter_gpt4o_mini_field", "field_llm_v1"), "document": ("openrouter_gpt4o_mini_document", "llm_rewrite_v1"), "template": ("faker_archetype_v1", "template_v1")}
+FALLBACK = "faker_archetype_fallback"
+
+
+def generation_metadata(scenario: Column, variant: Column, rewritten: Column, succeeded: Column, free_text: Sequence[str], whole: Sequence[str]) -> Column:
+    """{generator, prompt_version} of a record: a rewriter's for scenarios with free text (not blank forms) or whole
+    documents, with a fallback where it failed; else the template's."""
+
+    def made(kind: str) -> Column:
+        generator, version = MADE_BY[kind]
+        ok = F.coalesce(succeeded, F.lit(False))
+        return F.struct(F.when(ok, generator).otherwise(FALLBACK).alias("generator"), F.when(ok, version).otherwise(f"{version}_fallback").alias("prompt_version"))
+
+    plain = F.struct(*[F.lit(v).alias(n) for n, v in zip(("generator", "prompt_version"), MADE_BY["template"])])
+    fielded = rewritten & scenario.isin(*free_text) & ~F.coalesce(variant == "blank", F.lit(False))
+    return F.when(fielded, made("field")).when(rewritten & scenario.isin(*whole), made("document")).otherwise(plain)
+
+
 def passport_dates(birth: Column, issue: Column, expiry: Column, fixed: str | None, seed: Column) -> dict[str, Column]:
     """Dates with birth before issue before expiry: issued to adults for ten years of 365 days; ``fixed`` names the one
     that stays."""

@@ -93,8 +93,56 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = True) -> None:
-    df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, quote_all: bool = True, bom: bool = False) -> None:
+    """CSV with a header; ``bom`` puts a byte order mark before each file's header, for spreadsheets."""
+    if not bom:
+        df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+        return
+    # Lines are laid out here, as the built-in writer can't start a file with a mark; text files keep them as they are.
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns]
+    head = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    kind = df.select(F.concat_ws(",", *cells).alias("value"))
+
+    def headed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        yield from batches
+
+    kind.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+
+
+def read_csv_with_mark(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_csv`` wrote, with or without a mark; all columns are text."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.toDF(*[c.removeprefix("\ufeff").strip('"') for c in df.columns])
+
+
+def write_parts(df: DataFrame, path: str, column: str, form: str = "parquet") -> None:
+    """One folder for each value of a column; null values are left out."""
+    df.where(F.col(column).isNotNull()).write.mode("overwrite").partitionBy(column).format(form).save(path)
+
+
+def save_benchmark(rows: DataFrame, root: str, name: str) -> str:
+    """Metric rows of a benchmark as one table."""
+    path = f"{root}/benchmark={name}"
+    rows.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_benchmarks(spark: SparkSession, root: str) -> DataFrame:
+    """Metric rows of all saved benchmarks, with the benchmark's name as a column; columns that one lacks are null."""
+    return spark.read.option("basePath", root).option("mergeSchema", True).parquet(f"{root}/benchmark=*")
+
+
+def write_audit(spark: SparkSession, findings: DataFrame, path: str) -> dict:
+    """An audit's findings (a few dozen rows) as JSON: status, counts by level and all findings."""
+    rows = [r.asDict() for r in findings.collect()]
+    levels = {level: sum(r["level"] == level for r in rows) for level in ("PASS", "WARN", "FAIL")}
+    report = {"status": next((level for level in ("FAIL", "WARN") if levels[level]), "PASS"), "levels": levels, "findings": sorted(rows, key=lambda r: r["check"])}
+    write_json(spark, report, path)
+    return report
 
 
 def save_reports(reports: dict[str, DataFrame], root: str, form: str = "parquet") -> None:
