@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scalars as S
 from veilspark.functions.columns import normal
-from veilspark.operators import audit, decide, detect, errors, fusion, metrics, planner, recognise, review, splits, thresholds, upgrade
+from veilspark.functions.materialize import cut
+from veilspark.operators import audit, decide, detect, errors, fusion, metrics, planner, recognise, review, scorer, splits, thresholds, upgrade
 from veilspark.sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,13 +146,6 @@ def date_proximity(spark, folder):
     return df.agg(F.sum("n").alias("spans"), F.sum("k").alias("kept"))
 
 
-@query(
-    "SELECT document_id, len(entities) AS n_entities, count(*) AS n FROM false_negatives WHERE regexp_matches(full_text, '\\S') GROUP BY ALL"
-)
-def entity_counts(spark, folder):
-    return _missed(spark, folder).where(F.col("full_text").rlike(r"\S")).groupBy("document_id", F.size("entities").cast("long").alias("n_entities")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     """WITH r AS (SELECT row_number() OVER () AS row, document_id, full_text, entities FROM false_negatives WHERE regexp_matches(full_text, '\\S')),
     s AS (SELECT row, document_id, greatest(0, e.start - 200) AS a, least(length(full_text), e."end" + 200) AS b FROM (SELECT row, document_id, full_text, unnest(entities) AS e FROM r)),
@@ -197,24 +191,27 @@ def zone_counts(spark, folder):
 @query(
     """SELECT strategy, count(*) AS n, count(*) FILTER (coalesce(detected_pii, false)) AS by_rules,
     count(*) FILTER (coalesce(detected_pii, false) OR (coalesce(needs_bert_review, false) AND coalesce(pii_probability, 0) >= 0.2)) AS by_score,
-    count(*) FILTER (coalesce(detected_pii, false) OR (coalesce(needs_bert_review, false) AND pii_probability > 0.25)) AS by_zones FROM false_negatives GROUP BY strategy"""
+    count(*) FILTER (coalesce(detected_pii, false) OR (coalesce(needs_bert_review, false) AND pii_probability > 0.25)) AS by_zones, count(*) FILTER (coalesce(detected_pii, false) OR coalesce(bert_pii, false)) AS by_llm FROM false_negatives GROUP BY strategy"""
 )
 def final_decisions(spark, folder):
     df = _missed(spark, folder).withColumn("z", decide.zone("pii_probability", 0.1, 0.25, F.col("pii_probability").isNotNull()))
-    return df.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.count_if(decide.by_rules()).alias("by_rules"), F.count_if(decide.by_score(0.2)).alias("by_score"), F.count_if(decide.by_zones(zone_col="z", routed="bert_pii", llm="bert_pii")).alias("by_zones"))
+    return df.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.count_if(decide.by_rules()).alias("by_rules"), F.count_if(decide.by_score(0.2)).alias("by_score"), F.count_if(decide.by_zones(zone_col="z", routed="bert_pii", llm="bert_pii")).alias("by_zones"), F.count_if(decide.by_llm(llm="bert_pii")).alias("by_llm"))
+
+
+def _decided(spark: SparkSession, folder: str) -> DataFrame:
+    """One first sweep, one scoring of its open documents by a fitted linear scorer, one review, all strategies."""
+    docs = _records(spark, folder).where("document_id is not null").dropDuplicates(["document_id"])
+    swept = cut(fusion.sweep(docs).select("document_id", "full_text", "contains_personal_data", "detected_pii", "detected_any_pii", "needs_llm_review", "per_type_conf", "entities"))
+    weights = scorer.fit(_records(spark, folder), "document_id", "full_text", _truth())
+    scored = decide.scored_output(swept, "document_id", "full_text", 0.3, 0.7, scorer=scorer.linear_scorer(weights))
+    reviewed = review.run_reviews(swept, "document_id", "full_text", "entities", "needs_llm_review", "stub").select(F.col("id").alias("document_id"), "llm_pii")
+    return decide.run_strategies(scored.join(reviewed, "document_id", "left"), list(decide.STRATEGIES.values()), "run")
 
 
 @query()
 def strategy_outputs(spark, folder):
-    """All strategies over one first sweep: masked scoring, zones and decisions."""
-    docs = _records(spark, folder).where("document_id is not null").select("document_id", "full_text", "contains_personal_data").dropDuplicates(["document_id"])
-    swept = fusion.sweep(docs).select("document_id", "full_text", "contains_personal_data", "detected_pii", "detected_any_pii", "needs_llm_review", "per_type_conf")
-    scored = decide.scored_output(swept, "document_id", "full_text", 0.3, 0.7).withColumn("llm_pii", F.lit(False))
-    outs = [decide.run_strategy(scored, s, "run").select("document_id", "strategy", "prediction_source", "contains_personal_data", "predicted_pii") for s in decide.STRATEGIES.values()]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return metrics.binary(out, _truth(), F.col("predicted_pii"), ("strategy",))
+    """Metrics of all strategies."""
+    return metrics.binary(_decided(spark, folder), _truth(), F.col("predicted_pii"), ("strategy",))
 
 
 # Metrics --------------------------------------------------------------------------------------------------------
@@ -223,9 +220,23 @@ _SCORES = "round(coalesce((TP + TN) / nullif(n, 0), 0), 4) AS accuracy, round(co
 _COUNTS = "count(*) AS n, count(*) FILTER (truth AND pred) AS TP, count(*) FILTER (NOT truth AND NOT pred) AS TN, count(*) FILTER (NOT truth AND pred) AS FP, count(*) FILTER (truth AND NOT pred) AS FN"
 
 
-@query(f"SELECT *, {_SCORES} FROM (SELECT stage, {_COUNTS} FROM (SELECT 'standardized' AS stage, truth, predicted_pii AS pred FROM {_SCORED} UNION ALL SELECT 'sweep1_strong', truth, detected_pii FROM {_SCORED}) GROUP BY stage)")
+_STAGES = " UNION ALL ".join(f"SELECT '{stage}' AS stage, {_TRUTH} AS truth, coalesce({c}, false) AS pred FROM false_negatives{w}" for stage, c, w in (("standardized", "predicted_pii", ""), ("sweep1_strong", "detected_pii", ""), ("sweep1_any", "detected_any_pii", ""), ("sweep2_llm", "bert_pii", " WHERE needs_llm_review"), ("final", "final_pii", "")))
+
+
+@query(f"SELECT *, {_SCORES} FROM (SELECT stage, {_COUNTS} FROM ({_STAGES}) GROUP BY stage)")
 def stage_metrics(spark, folder):
-    return metrics.stage_metrics(_scored(spark, folder))
+    """All five stages; the scorer's decision stands for the reviewer's, which the table doesn't hold."""
+    return metrics.stage_metrics(_missed(spark, folder).withColumn("llm_pii", F.col("bert_pii")))
+
+
+@query(
+    f"""SELECT stage AS metric_name, 'document' AS metric_group, *  EXCLUDE (stage), {_SCORES} FROM (SELECT stage, {_COUNTS} FROM ({_STAGES}) GROUP BY stage)
+    UNION ALL SELECT entity, 'entity', * EXCLUDE (entity), {_SCORES} FROM (SELECT entity, {_COUNTS.replace('pred)', 'hit)')} FROM (SELECT *, coalesce(list_contains(map_keys(per_type_conf), entity), false) AS hit FROM (@LABELS@)) GROUP BY entity)"""
+)
+def tidy_metrics(spark, folder):
+    """Document stages and entities in one table."""
+    df = _missed(spark, folder).withColumn("llm_pii", F.col("bert_pii"))
+    return metrics.tidy(metrics.stage_metrics(df), metrics.entity_metrics(df, F.col("per_type_conf")))
 
 
 _LABEL_ROWS = " UNION ALL ".join(f"SELECT '{x}' AS entity, {_TRUE.format(f'{x}_yes_no')} AS truth, coalesce(contains(full_text, '{x[0]}'), false) AS pred, per_type_conf, {_TRUE.format(f'{x}_predicted')} AS flag FROM false_negatives" for x in S.ENTITY_LABELS)
@@ -246,18 +257,37 @@ def routing_metrics(spark, folder):
     return metrics.routing(_scored(spark, folder))
 
 
-@query(
-    """SELECT run_id, strategy, count(*) FILTER (coalesce(needs_llm_review, false)) AS llm_requests_attempted, count(*) FILTER (coalesce(needs_bert_review, false)) AS bert_requests_attempted, count(*) FILTER (coalesce(bert_request_success, false)) AS bert_requests_successful,
-    round(coalesce(sum(bert_runtime_seconds), 0), 4) AS bert_runtime_seconds FROM false_negatives GROUP BY ALL"""
-)
+# The table holds no counts of a reviewer's tokens; these follow from the text in both engines.
+_TOKENS = {"llm_prompt_tokens": "length(coalesce(full_text, ''))", "llm_completion_tokens": "length(coalesce(full_text, '')) % 40 + 8", "llm_total_tokens": "length(coalesce(full_text, '')) + length(coalesce(full_text, '')) % 40 + 8", "llm_reasoning_tokens": "length(coalesce(full_text, '')) % 7", "llm_cached_tokens": "length(coalesce(full_text, '')) % 5"}
+_USED = "(SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _TOKENS.items()) + ", CAST(length(coalesce(full_text, '')) % 100 AS DOUBLE) / 1e5 AS llm_request_cost, needs_llm_review AND length(coalesce(full_text, '')) % 9 > 0 AS llm_request_success FROM false_negatives)"
+_USAGE = f"""SELECT run_id, strategy, count(*) FILTER (coalesce(needs_llm_review, false)) AS llm_requests_attempted, count(*) FILTER (coalesce(llm_request_success, false)) AS llm_requests_successful, {', '.join(f'CAST(sum({k}) AS BIGINT) AS {k}' for k in _TOKENS)}, round(sum(llm_request_cost), 8) AS llm_reported_cost,
+    count(*) FILTER (coalesce(needs_bert_review, false)) AS bert_requests_attempted, count(*) FILTER (coalesce(bert_request_success, false)) AS bert_requests_successful, round(coalesce(sum(bert_runtime_seconds), 0), 4) AS bert_runtime_seconds FROM {_USED} GROUP BY ALL"""
+
+
+def _used(spark: SparkSession, folder: str) -> DataFrame:
+    df = _missed(spark, folder)
+    n = F.length(F.coalesce("full_text", F.lit("")))
+    return df.withColumns({k: F.expr(v) for k, v in _TOKENS.items()} | {"llm_request_cost": (n % 100).cast("double") / 1e5, "llm_request_success": F.col("needs_llm_review") & (n % 9 > 0)})
+
+
+@query(_USAGE)
 def usage_summary(spark, folder):
-    return metrics.usage(_missed(spark, folder), ("run_id", "strategy")).select("run_id", "strategy", "llm_requests_attempted", "bert_requests_attempted", "bert_requests_successful", "bert_runtime_seconds")
+    return metrics.usage(_used(spark, folder), ("run_id", "strategy"))
 
 
-@query()
+_RATIO = "CASE WHEN {1} > 0 THEN round(CAST({0} AS DOUBLE) / {1}, 9) ELSE 0.0 END"
+
+
+@query(
+    f"""WITH u AS ({_USAGE}), r AS (SELECT run_id, strategy, count(*) AS documents_total, count(*) FILTER (coalesce(needs_llm_review, false)) AS documents_sent_to_review FROM false_negatives GROUP BY ALL)
+    SELECT u.*, documents_total, documents_sent_to_review, documents_total - documents_sent_to_review AS documents_resolved_locally, round(documents_sent_to_review / documents_total, 4) AS routing_rate, round((documents_total - documents_sent_to_review) / documents_total, 4) AS local_processing_rate,
+    {_RATIO.format('bert_runtime_seconds', 'bert_requests_successful')} AS bert_average_runtime_seconds, {_RATIO.format('llm_reported_cost', 'documents_total')} AS cost_per_document, {_RATIO.format('llm_reported_cost', 'llm_requests_successful')} AS cost_per_llm_document,
+    {_RATIO.format('llm_total_tokens', 'llm_requests_successful')} AS tokens_per_llm_document, {_RATIO.format('llm_reasoning_tokens', 'llm_completion_tokens')} AS reasoning_token_ratio FROM r JOIN u USING (run_id, strategy)"""
+)
 def cost_summary(spark, folder):
-    by = ("run_id", "strategy")
-    return metrics.cost_summary(metrics.routing(_missed(spark, folder), by), metrics.usage(_missed(spark, folder), by), by)
+    by, df = ("run_id", "strategy"), _used(spark, folder)
+    out = metrics.cost_summary(metrics.routing(df, by), metrics.usage(df, by), by)
+    return out.withColumns({c: F.round(c, 9) for c in ("bert_average_runtime_seconds", "cost_per_document", "cost_per_llm_document", "tokens_per_llm_document", "reasoning_token_ratio")})
 
 
 @query("SELECT strategy, CASE WHEN count(DISTINCT provider) = 1 THEN max(provider) END AS provider, CASE WHEN count(DISTINCT run_id) = 1 THEN max(run_id) END AS run_id FROM false_negatives GROUP BY strategy")
@@ -288,17 +318,17 @@ def error_summary(spark, folder):
     return errors.summary(errors.typed(_scored(spark, folder)))
 
 
-_SETS = {"per_language": ("language",), "per_scenario": ("scenario_type",), "per_language_and_split": ("language", "recommended_split")}
+_MISSED_TYPED = f"(SELECT *, CASE WHEN truth AND pred THEN 'TP' WHEN NOT truth AND NOT pred THEN 'TN' WHEN pred THEN 'FP' ELSE 'FN' END AS et FROM (SELECT *, {_TRUTH} AS truth, coalesce(predicted_pii, false) AS pred FROM false_negatives))"
 
 
 @query(
     " UNION ALL ".join(
-        f"""SELECT '{k}' AS summary, concat_ws(' | ', {', '.join(v)}) AS key, et AS error_type, count(*) AS "count", round(count(*) / sum(count(*)) OVER (PARTITION BY concat_ws(' | ', {', '.join(v)})), 4) AS share FROM {_TYPED} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in v)} GROUP BY {', '.join(v)}, et"""
-        for k, v in _SETS.items()
+        f"""SELECT '{k}' AS summary, concat_ws(' | ', {', '.join(v)}) AS key, et AS error_type, count(*) AS "count", round(count(*) / sum(count(*)) OVER (PARTITION BY concat_ws(' | ', {', '.join(v)})), 4) AS share FROM {_MISSED_TYPED} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in v)} GROUP BY {', '.join(v)}, et"""
+        for k, v in errors.KEY_SETS.items()
     )
 )
 def error_by_keys(spark, folder):
-    return errors.grouped(errors.typed(_scored(spark, folder)), _SETS)
+    return errors.grouped(errors.typed(_missed(spark, folder)))
 
 
 @query(
@@ -312,7 +342,7 @@ def slice_by_difficulty(spark, folder):
 
 # Thresholds -----------------------------------------------------------------------------------------------------
 
-_STEPS = 41
+_STEPS = 201
 _POINTS = f"pts AS (SELECT p, count(*) AS n, count(*) FILTER (truth) AS pos FROM {_SCORED} GROUP BY p)"
 _CANDS = f"c AS (SELECT DISTINCT least(greatest(t, 0.0), 1.0) AS t FROM (SELECT CAST(p AS DOUBLE) AS t FROM pts UNION ALL SELECT (CAST(p AS DOUBLE) + lead(CAST(p AS DOUBLE)) OVER (ORDER BY p)) / 2 FROM pts UNION ALL SELECT i / {_STEPS - 1}.0::DOUBLE FROM range({_STEPS}) r(i)) WHERE t IS NOT NULL)"
 _CUM = "cum AS (SELECT c.t, (SELECT sum(n) FROM pts) AS n_all, (SELECT sum(pos) FROM pts) AS n_pos, coalesce(sum(n) FILTER (CAST(p AS DOUBLE) < c.t), 0) AS n_below, coalesce(sum(pos) FILTER (CAST(p AS DOUBLE) < c.t), 0) AS pos_below, coalesce(sum(n) FILTER (CAST(p AS DOUBLE) <= c.t), 0) AS n_upto, coalesce(sum(pos) FILTER (CAST(p AS DOUBLE) <= c.t), 0) AS pos_upto FROM c, pts GROUP BY c.t)"
@@ -330,30 +360,52 @@ def threshold_sweep(spark, folder):
     return thresholds.sweep(thresholds.cumulative(points, thresholds.candidates(points, _STEPS))).select("t", "TP", "FP", "precision", "recall")
 
 
-_TARGETS = [0.8, 0.9, 0.95]
+_TARGETS = [round(0.8 + i / 100, 2) for i in range(21)]
 
 
 @query(
     f"""WITH {_POINTS}, {_CANDS}, {_CUM},
-    f AS (SELECT g.r AS recall_target, lo.t AS t_low, hi.t AS t_high, round((lo.n_all - lo.n_below - (hi.n_all - hi.n_upto)) / lo.n_all, 6) AS rf, lo.pos_below AS missed, (hi.n_all - hi.n_upto) - (hi.n_pos - hi.pos_upto) AS fp, lo.n_below AS auto_no,
-      CASE WHEN hi.n_all > hi.n_upto THEN round((hi.n_pos - hi.pos_upto) / (hi.n_all - hi.n_upto), 6) END AS prec, 1 - lo.pos_below / lo.n_pos AS recall
-      FROM cum lo, cum hi, (SELECT unnest({_TARGETS}::DOUBLE[]) AS r) g WHERE hi.t >= lo.t),
-    ok AS (SELECT *, row_number() OVER (PARTITION BY recall_target ORDER BY rf, missed, fp, auto_no DESC, t_low, t_high) AS k, count(*) OVER (PARTITION BY recall_target) AS n_feasible_points FROM f WHERE recall >= recall_target AND (prec IS NULL OR prec >= 0.15))
-    SELECT recall_target, t_low, t_high, rf AS routed_fraction, CAST(missed AS BIGINT) AS missed, n_feasible_points FROM ok WHERE k = 1"""
+    g AS (SELECT unnest({_TARGETS}::DOUBLE[]) AS r),
+    lo AS (SELECT g.r, t, n_all, n_below, pos_below FROM cum, g WHERE 1 - pos_below / n_pos >= g.r),
+    hi AS (SELECT t, n_all - n_upto AS yes, (n_all - n_upto) - (n_pos - pos_upto) AS fp FROM cum WHERE n_all = n_upto OR round((n_pos - pos_upto) / (n_all - n_upto), 6) >= 0.15),
+    b AS (SELECT lo.r AS recall_target, count(*) AS n_feasible_points, min({{'rf': round((lo.n_all - lo.n_below - hi.yes) / lo.n_all, 6), 'missed': lo.pos_below, 'fp': hi.fp, 'no': -lo.n_below, 'lo': lo.t, 'hi': hi.t}}) AS k FROM lo JOIN hi ON hi.t >= lo.t GROUP BY lo.r)
+    SELECT recall_target, k.lo AS t_low, k.hi AS t_high, k.rf AS routed_fraction, CAST(k.missed AS BIGINT) AS missed, CAST(k.fp AS BIGINT) AS auto_yes_fp, n_feasible_points FROM b"""
 )
 def routing_frontier(spark, folder):
-    return thresholds.frontier(_scored(spark, folder), "p", F.col("truth"), _TARGETS, 0.15, _STEPS).select("recall_target", "t_low", "t_high", "routed_fraction", "missed", "n_feasible_points")
+    return thresholds.frontier(_scored(spark, folder), "p", F.col("truth"), _TARGETS, 0.15, _STEPS).select("recall_target", "t_low", "t_high", "routed_fraction", "missed", "auto_yes_fp", "n_feasible_points")
+
+
+_BUNDLE = ", ".join(
+    f"round({a}, 6) AS {x}_precision, round({r}, 6) AS {x}_recall, round(coalesce(2 * {a} * {r} / nullif({a} + {r}, 0), 0), 6) AS {x}_f1"
+    for x, a, r in (
+        ("oracle", "coalesce(tp / nullif(tp + auto_yes_fp, 0), 0)", "coalesce(tp / nullif(n_positive, 0), 0)"),
+        ("conservative", "coalesce(tp / nullif(tp + auto_yes_fp + routed_negatives, 0), 0)", "coalesce(tp / nullif(n_positive, 0), 0)"),
+    )
+)
 
 
 @query(
-    f"""SELECT n, n_positive, routed_n, missed_positives, auto_yes_n, auto_yes_fp, round(routed_n / n, 6) AS routed_fraction, round(1 - missed_positives / n_positive, 6) AS prefilter_recall, round(1 - auto_yes_fp / auto_yes_n, 6) AS auto_yes_precision FROM (
-    SELECT count(*) AS n, count(*) FILTER (truth) AS n_positive, count(*) FILTER (p BETWEEN 0.3 AND 0.7) AS routed_n, count(*) FILTER (truth AND p < 0.3) AS missed_positives, count(*) FILTER (p > 0.7) AS auto_yes_n, count(*) FILTER (p > 0.7 AND NOT truth) AS auto_yes_fp FROM {_SCORED})"""
+    f"""SELECT * EXCLUDE (tp, no_right), {_BUNDLE}, 0.3::DOUBLE AS t_low, 0.7::DOUBLE AS t_high, n - n_positive AS n_negative, round(routed_n / n, 6) AS routed_fraction, n - routed_n AS auto_decided_n, round((n - routed_n) / n, 6) AS llm_call_reduction,
+    round(1 - missed_positives / n_positive, 6) AS prefilter_recall, round(1 - auto_yes_fp / auto_yes_n, 6) AS auto_yes_precision, round(no_right / auto_no_n, 6) AS auto_no_npv FROM (SELECT *, n_positive - missed_positives AS tp FROM (
+    SELECT count(*) AS n, count(*) FILTER (truth) AS n_positive, count(*) FILTER (p BETWEEN 0.3 AND 0.7) AS routed_n, count(*) FILTER (truth AND p < 0.3) AS missed_positives, count(*) FILTER (p > 0.7) AS auto_yes_n, count(*) FILTER (p > 0.7 AND NOT truth) AS auto_yes_fp,
+    count(*) FILTER (p < 0.3) AS auto_no_n, count(*) FILTER (p < 0.3 AND NOT truth) AS no_right, count(*) FILTER (truth AND p BETWEEN 0.3 AND 0.7) AS routed_positives, count(*) FILTER (NOT truth AND p BETWEEN 0.3 AND 0.7) AS routed_negatives FROM {_SCORED}))"""
 )
 def evaluate_routing(spark, folder):
-    return thresholds.evaluate(_scored(spark, folder), "p", F.col("truth"), 0.3, 0.7).select("n", "n_positive", "routed_n", "missed_positives", "auto_yes_n", "auto_yes_fp", "routed_fraction", "prefilter_recall", "auto_yes_precision")
+    return thresholds.evaluate(_scored(spark, folder), "p", F.col("truth"), 0.3, 0.7)
 
 
-@query()
+_LONG = " UNION ALL ".join(f"SELECT '{x}' AS label, CAST({_P} AS DOUBLE) AS p, {_TRUE.format(f'{x}_yes_no')} AS y FROM synthetic_records" for x in S.ENTITY_LABELS)
+
+
+@query(
+    f"""WITH l AS ({_LONG}), pts AS (SELECT label, p, count(*) AS n, count(*) FILTER (y) AS pos FROM l GROUP BY ALL), tot AS (SELECT label, sum(n) AS n, sum(pos) AS pos FROM pts GROUP BY label),
+    c AS (SELECT DISTINCT label, t FROM (SELECT label, p AS t FROM pts UNION ALL SELECT label, (p + lead(p) OVER (PARTITION BY label ORDER BY p)) / 2 FROM pts UNION ALL SELECT label, i / {_STEPS - 1}.0::DOUBLE FROM tot, range({_STEPS}) r(i)) WHERE t IS NOT NULL),
+    s AS (SELECT c.label, c.t, coalesce(sum(pts.n), 0) AS below, coalesce(sum(pts.pos), 0) AS lost FROM c LEFT JOIN pts ON pts.label = c.label AND pts.p < c.t GROUP BY ALL),
+    m AS (SELECT s.label, t, tot.pos AS positives, tot.pos - lost AS tp, tot.n - below - (tot.pos - lost) AS fp FROM s JOIN tot USING (label)),
+    f AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS a, coalesce(tp / nullif(positives, 0), 0) AS r FROM m),
+    b AS (SELECT label, max(positives) AS positives, max({{'f1': round(coalesce(2 * a * r / nullif(a + r, 0), 0), 6), 't': t}}) AS b FROM f GROUP BY label)
+    SELECT label, CASE WHEN positives > 0 THEN round(b.t, 6) ELSE 0.5 END AS threshold, CASE WHEN positives > 0 THEN b.f1 ELSE 0.0 END AS f1, CAST(positives AS BIGINT) AS positives FROM b"""
+)
 def label_thresholds(spark, folder):
     df = _records(spark, folder).withColumn("p", _p())
     long = df.select("p", F.explode(F.array(*[F.struct(F.lit(x).alias("label"), S.norm_bool(f"{x}_yes_no").alias("truth")) for x in S.ENTITY_LABELS])).alias("l")).select("p", "l.*")
@@ -388,10 +440,11 @@ _LEN = "length(coalesce(full_text, ''))"
 
 @query(
     f"""SELECT CAST(min({_LEN}) AS INT) AS min, CAST(floor(quantile_cont({_LEN}, 0.5)) AS INT) AS median, CAST(floor(quantile_cont({_LEN}, 0.9)) AS INT) AS p90, CAST(floor(quantile_cont({_LEN}, 0.99)) AS INT) AS p99, CAST(max({_LEN}) AS INT) AS max,
-    CAST(floor(max({_LEN}) / 3.5) AS INT) AS max_tokens, {', '.join(f'round(avg(CASE WHEN {_LEN} / 3.5 > {m} THEN 1.0 ELSE 0.0 END), 4) AS truncated_at_{m}' for m in splits.MAX_LENGTHS)} FROM synthetic_records"""
+    CAST(floor(max({_LEN}) / 3.5) AS INT) AS max_tokens, CAST(floor(quantile_cont({_LEN} / 3.5, 0.95)) AS INT) AS p95_tokens,
+    CASE {' '.join(f'WHEN avg(CASE WHEN {_LEN} / 3.5 > {m} THEN 1.0 ELSE 0.0 END) <= {splits.TRUNCATION_TOLERANCE} THEN {m}' for m in splits.MAX_LENGTHS[:-1])} ELSE {splits.MAX_LENGTHS[-1]} END AS recommended_max_length, {', '.join(f'round(avg(CASE WHEN {_LEN} / 3.5 > {m} THEN 1.0 ELSE 0.0 END), 4) AS truncated_at_{m}' for m in splits.MAX_LENGTHS)} FROM synthetic_records"""
 )
 def length_stats(spark, folder):
-    return splits.length_stats(_records(spark, folder), "full_text").select("min", "median", "p90", "p99", "max", "max_tokens", *[f"truncated_at_{m}" for m in splits.MAX_LENGTHS])
+    return splits.length_stats(_records(spark, folder), "full_text")
 
 
 _CROSS = ["language", "scenario_type", "difficulty", "primary_pii_type", "document_type", "challenge_category"]
@@ -409,25 +462,38 @@ def split_report(spark, folder):
     return splits.split_report(_records(spark, folder), "recommended_split", _truth())
 
 
-_ORDER = "(7919 * ascii(substr(key, 1, 1)) + 104729 * ascii(substr(key, 2, 1)) + 1299709 * ascii(substr(key, 3, 1)) + 15485863 * ascii(substr(key, 4, 1)))"
+_DEAL = splits.deal_order({"train": 0.7, "validation": 0.15, "test": 0.15})
 
 
-@query()
+@query(
+    f"""WITH g AS (SELECT {_KEY} AS key, bool_or({_TRUTH}) AS positive FROM synthetic_records GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY positive ORDER BY CAST('0x' || substr(md5(key || '42'), 1, 15) AS BIGINT), key) - 1 AS k FROM g)
+    SELECT key, positive, {_DEAL}[CAST(k % {len(_DEAL)} AS INT) + 1] AS split FROM r"""
+)
 def stratified_split(spark, folder):
-    """Each group of equal texts with its split."""
-    return splits.stratified_split(_records(spark, folder), "full_text", _truth())
+    """Each group of equal texts with its split; groups are put in order by a digest that both engines can compute."""
+    order = F.conv(F.substring(F.md5(F.concat("key", F.lit("42"))), 1, 15), 16, 10).cast("long")
+    return splits.stratified_split(_records(spark, folder), "full_text", _truth(), order=order)
 
 
 @query(
-    f"""WITH g AS (SELECT {_KEY} AS key, bool_or({_TRUTH}) AS positive FROM synthetic_records GROUP BY ALL), n AS (SELECT positive, count(*) AS groups FROM g GROUP BY positive)
-    SELECT positive, groups FROM n"""
+    f"""WITH g AS (SELECT {_KEY} AS key, bool_or({_TRUTH}) AS positive FROM synthetic_records GROUP BY ALL),
+    a AS (SELECT key, {_DEAL}[CAST((row_number() OVER (PARTITION BY positive ORDER BY CAST('0x' || substr(md5(key || '42'), 1, 15) AS BIGINT), key) - 1) % {len(_DEAL)} AS INT) + 1] AS split FROM g)
+    SELECT document_id, split AS assigned_split, count(*) AS n FROM (SELECT document_id, {_KEY} AS key FROM synthetic_records) JOIN a USING (key) GROUP BY ALL"""
 )
-def stratified_split_strata(spark, folder):
-    """Groups per stratum after the split: none is lost or cut."""
-    return splits.stratified_split(_records(spark, folder), "full_text", _truth()).groupBy("positive").agg(F.count_distinct("key").alias("groups"))
+def split_assignment(spark, folder):
+    """Every record with the split of its group."""
+    df = _records(spark, folder)
+    return splits.with_split(df, "full_text", stratified_split(spark, folder)).groupBy("document_id", "assigned_split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_WEIGHED = " UNION ALL ".join([f"SELECT 'DOCUMENT' AS label, {_TRUTH} AS y FROM synthetic_records", *[f"SELECT '{x}', {_TRUE.format(f'{x}_yes_no')} FROM synthetic_records" for x in S.ENTITY_LABELS]])
+
+
+@query(
+    f"""SELECT label, positives, n, round(positives / n, 4) AS rate, round(CASE WHEN label = 'DOCUMENT' THEN least(w, 20) ELSE greatest(least(w, 20), 1) END, 4) AS pos_weight
+    FROM (SELECT *, CASE WHEN positives > 0 THEN (n - positives) / positives ELSE 20.0 END AS w FROM (SELECT label, count(*) FILTER (y) AS positives, count(*) AS n FROM ({_WEIGHED}) GROUP BY label))"""
+)
 def class_weights(spark, folder):
     return splits.class_weights(_records(spark, folder), _truth())
 
@@ -478,16 +544,19 @@ _N = "(" + " + ".join(f"CAST({_TRUE.format(f'{x}_yes_no')} AS INT)" for x in S.E
 _YES = "coalesce(lower(trim(contains_personal_data)) = 'yes', false)"
 
 
-@query(
-    f"""SELECT unnest(['positive_without_labels', 'negative_with_labels', 'category_count_differs', 'pii_count_differs']) AS "check", unnest([a, b, c, d]) AS "count" FROM (
-    SELECT count(*) FILTER ({_YES} AND {_N} = 0) AS a, count(*) FILTER (NOT {_YES} AND {_N} > 0) AS b, count(*) FILTER (category_count IS DISTINCT FROM {_N}) AS c, count(*) FILTER (pii_count IS DISTINCT FROM {_N}) AS d FROM synthetic_records)"""
-)
-def audit_row_violations(spark, folder):
-    return audit.row_violations(_records(spark, folder)).where(F.col("check").isin("positive_without_labels", "negative_with_labels", "category_count_differs", "pii_count_differs"))
+_LABELS = "list_filter([" + ", ".join(f"CASE WHEN {_TRUE.format(f'{x}_yes_no')} THEN '{x}' END" for x in S.ENTITY_LABELS) + "], lambda x: x IS NOT NULL)"
+_RULES = {
+    "positive_without_labels": f"{_YES} AND {_N} = 0",
+    "negative_with_labels": f"NOT {_YES} AND {_N} > 0",
+    "primary_type_differs": f"upper(coalesce(trim(primary_pii_type), '')) <> CASE {_N} WHEN 0 THEN 'NONE' WHEN 1 THEN {_LABELS}[1] ELSE 'MULTIPLE' END",
+    "category_count_differs": f"category_count IS DISTINCT FROM {_N}",
+    "pii_count_differs": f"pii_count IS DISTINCT FROM {_N}",
+    "categories_differ": f"list_sort(list_filter(list_transform(string_split(coalesce(personal_data_categories, ''), ';'), lambda x: trim(x)), lambda x: x <> '')) IS DISTINCT FROM list_sort({_LABELS})",
+}
 
 
-@query()
-def audit_row_violations_all(spark, folder):
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS "check", count(*) FILTER ({v}) AS "count" FROM synthetic_records""" for k, v in _RULES.items()))
+def audit_row_violations(spark, folder):
     return audit.row_violations(_records(spark, folder))
 
 
@@ -577,8 +646,11 @@ def largest_remainder(spark, folder):
 
 
 def _combinations(spark: SparkSession, folder: str) -> dict[str, list[list[str]]]:
-    """Entity combinations of each scenario as the manifest has them: a bounded domain, read as parameters."""
-    rows = table(spark, folder, "manifest").where("scenario_type is not null and entity_types <> ''").select("scenario_type", S.label_list("entity_types").alias("c")).distinct().orderBy("scenario_type", "c").limit(10_000).collect()
+    """Entity combinations of each scenario as the manifest has them, all of them: sets of known labels are at most
+    4,096, and the scenarios are those of the sampling targets."""
+    names = table(spark, folder, "sample_targets").where("field = 'scenario'").select(F.col("category").alias("scenario_type")).distinct()
+    known = F.array(*map(F.lit, S.ENTITY_LABELS))
+    rows = table(spark, folder, "manifest").select("scenario_type", F.array_distinct(F.array_intersect(S.label_list("entity_types"), known)).alias("c")).where(F.size("c") > 0).join(F.broadcast(names), "scenario_type").distinct().orderBy("scenario_type", "c").collect()
     out: dict[str, list[list[str]]] = {}
     for r in rows:
         out.setdefault(r["scenario_type"], []).append(r["c"])
@@ -608,25 +680,11 @@ def generated_documents(spark, folder):
     return docs.select("document_id", "scenario", "language", "recommended_split", "primary_pii_type", "pii_count", "full_text")
 
 
-@query("SELECT field, count(*) AS n FROM (SELECT unnest(['scenario', 'language', 'difficulty']) AS field, unnest([scenario, language, difficulty]) AS v FROM generation_requests) WHERE v IS NOT NULL GROUP BY field")
-def request_labels(spark, folder):
-    long = table(spark, folder, "generation_requests").select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in ("scenario", "language", "difficulty")])).alias("x")).select("x.*")
-    return long.where("v is not null").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    "SELECT request_id, max(lower(trim(scenario))) AS scenario, strftime(max(received_at), '%Y-%m-%d %H:%M:%S') AS received FROM generation_requests WHERE request_id IS NOT NULL GROUP BY request_id"
-)
-def latest_requests(spark, folder):
-    df = table(spark, folder, "generation_requests").where("request_id is not null")
-    return df.groupBy("request_id").agg(F.max(normal("scenario")).alias("scenario"), F.date_format(F.max("received_at"), "yyyy-MM-dd HH:mm:ss").alias("received"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v.replace("@LABELS@", _LABEL_ROWS) for k, v in _SQL.items()}
 
 
