@@ -79,12 +79,9 @@ def _value_query(name: str, pattern: str, sql_pattern: str | None, kind: str) ->
 
 for _name, _kind, _sql in (
     ("detect_email", "EMAIL_ADDRESS", r"(?i)\b[a-zA-Z0-9._%+\-äöüÄÖÜß]+@[a-zA-Z0-9\-]+\.[a-zA-Z]{2,}\b"),
-    ("detect_iban", "IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"),
     ("detect_card", "CREDIT_CARD", r"\b(?:\d[ -]*?){12,19}\b"),
-    ("detect_medical", "MEDICAL_LICENSE", r"(?i)\b(?:Approbation(?:snummer)?|Arztnummer|Heilpraktiker|Medical\s+ID|Medizinische\s+Lizenz)\b"),
     ("detect_passport", "PASSPORT", r"\bP\d{8}\b"),
     ("detect_url", "URL", r"(?i)\bhttps?://[^\s]+\b"),
-    ("detect_nationality", "NRP", r"(?i)\b(?:" + "|".join(detect.NATIONALITIES) + r")\b"),
 ):
     _value_query(_name, detect.PATTERNS[_kind], _sql, _kind)
 _value_query("detect_ip", detect.IDENTIFIERS["ip_address"], r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "IP_ADDRESS")
@@ -124,28 +121,6 @@ def sweep_with_recogniser(spark, folder):
     return swept.select("document_id", "route", F.array_join("detected_categories", "|").alias("categories"), F.size("entities").alias("n_entities"))
 
 
-_ENTITIES = "SELECT row, unnest(entities) AS e FROM (SELECT row_number() OVER () AS row, entities FROM false_negatives)"
-
-
-@query(
-    "SELECT document_id, run_id, strategy, t AS type, max(conf) AS conf FROM (SELECT document_id, run_id, strategy, e.type AS t, e.confidence AS conf FROM (SELECT document_id, run_id, strategy, full_text, unnest(entities) AS e FROM false_negatives)) WHERE t <> 'DATE_TIME' GROUP BY ALL"
-)
-def fusion_per_type(spark, folder):
-    """Best score per type of the stored evidence; dates have no person or place near them in these rows."""
-    df = _missed(spark, folder).withColumns({"ner": F.filter("entities", lambda s: s["source"] != detect.PATTERN_SOURCE), "patterns": F.filter("entities", lambda s: s["source"] == detect.PATTERN_SOURCE)})
-    fused = fusion.fuse(df.drop("entities"), "patterns", "ner").select("document_id", "run_id", "strategy", F.explode("per_type_conf").alias("type", "conf"))
-    return fused.where("type <> 'DATE_TIME'").groupBy("document_id", "run_id", "strategy", "type").agg(F.max("conf").alias("conf"))
-
-
-@query(
-    f"""WITH s AS (SELECT row, e.type AS type, e.start AS a, e."end" AS b FROM ({_ENTITIES}))
-    SELECT count(*) AS spans, count(*) FILTER (type <> 'DATE_TIME' OR EXISTS (SELECT 1 FROM s o WHERE o.row = s.row AND o.type IN ('PERSON', 'LOCATION') AND (abs(o.a - s.b) <= 200 OR abs(s.a - o.b) <= 200))) AS kept FROM s"""
-)
-def date_proximity(spark, folder):
-    df = _missed(spark, folder).select(F.size("entities").alias("n"), F.size(fusion.near_dates(F.col("entities"))).alias("k")).where("n > 0")
-    return df.agg(F.sum("n").alias("spans"), F.sum("k").alias("kept"))
-
-
 @query(
     """WITH r AS (SELECT row_number() OVER () AS row, document_id, full_text, entities FROM false_negatives WHERE regexp_matches(full_text, '\\S')),
     s AS (SELECT row, document_id, greatest(0, e.start - 200) AS a, least(length(full_text), e."end" + 200) AS b FROM (SELECT row, document_id, full_text, unnest(entities) AS e FROM r)),
@@ -161,23 +136,11 @@ def context_windows(spark, folder):
     return df.select("document_id", F.size("w").cast("long").alias("n_windows"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("signs")).groupBy("document_id", "n_windows", "signs").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def review_texts(spark, folder):
-    return _missed(spark, folder).select("document_id", "run_id", "strategy", F.length(review.review_text("full_text", "entities")).alias("signs"))
-
-
 @query()
 def reviews_offline(spark, folder):
     return review.run_reviews(_missed(spark, folder), "document_id", "full_text", "entities", "needs_llm_review", "offline").withColumnRenamed("id", "document_id")
 
 
-@query()
-def review_answers(spark, folder):
-    """Readings of answers in all the shapes that models give."""
-    rows = ['{"contains_pii": true, "reason": "name"}', 'Sure! {"contains_pii": "TRUE", "reason": "x"} done', '{"contains_pii": , "reason": "y"}', "no json", '{"contains_pii": tru', None, '{"contains_pii": 1}']
-    return spark.createDataFrame(list(enumerate(rows)), "id int, answer string").select("id", review.read_answer("answer").alias("a")).select("id", "a.*")
-
-
 # Decisions ------------------------------------------------------------------------------------------------------
 
 _ZONE = "CASE WHEN p < 0.3 THEN 'confident_non_pii' WHEN p > 0.7 THEN 'confident_pii' ELSE 'routed_to_llm' END"
