@@ -263,14 +263,6 @@ def recoverable_recall(spark, folder):
     return metrics.recoverable_recall(_scored(spark, folder))
 
 
-@query()
-def benchmark_ranking(spark, folder):
-    """Outputs ranked by their standard prediction."""
-    df = _missed(spark, folder)
-    rows = metrics.stage_metrics(df, ("strategy",)).withColumn("metric_group", F.lit("document")).withColumnRenamed("stage", "metric_name")
-    return metrics.benchmark(rows)
-
-
 # Errors ---------------------------------------------------------------------------------------------------------
 
 _TYPED = f"(SELECT *, CASE WHEN truth AND predicted_pii THEN 'TP' WHEN NOT truth AND NOT predicted_pii THEN 'TN' WHEN predicted_pii THEN 'FP' ELSE 'FN' END AS et FROM {_SCORED})"
@@ -461,14 +453,6 @@ def class_weights(spark, folder):
     return splits.class_weights(_records(spark, folder), _truth())
 
 
-@query()
-def split_gaps(spark, folder):
-    """Gaps of the stand-in prediction between splits, and what they say."""
-    df = _scored(spark, folder).withColumn("split", normal("recommended_split")).where(F.col("split").isin(*splits.SPLITS))
-    scores = metrics.binary(df, F.col("truth"), F.col("predicted_pii"), ("split",), 6).join(df.groupBy("split").agg((1 - F.count_if(F.col("truth") & ~F.col("predicted_pii") & ~F.col("needs_llm_review")) / F.count_if("truth")).alias("prefilter_recall")), "split")
-    return splits.read_gaps(splits.gaps(scores, ["f1", "prefilter_recall"]), scores).withColumn("flags", F.array_join("flags", "|"))
-
-
 # Audits -----------------------------------------------------------------------------------------------------------
 
 
@@ -540,22 +524,11 @@ def audit_repeated_texts(spark, folder):
     return audit.repeated_texts(_records(spark, folder), table(spark, folder, "manifest"), "document_id", "full_text")
 
 
-@query()
-def audit_label_support(spark, folder):
-    return audit.label_support(_records(spark, folder), "recommended_split")
-
-
 @query("SELECT scenario_type, " + ", ".join(f"count(*) FILTER (recommended_split = '{s}') AS {s}" for s in splits.SPLITS) + " FROM synthetic_records GROUP BY scenario_type")
 def audit_scenario_by_split(spark, folder):
     return audit.pivot_counts(_records(spark, folder), "scenario_type", "recommended_split", list(splits.SPLITS))
 
 
-@query()
-def audit_missing_cells(spark, folder):
-    names = [r[0] for r in table(spark, folder, "sample_targets").where("field = 'scenario'").select("category").collect()]
-    return audit.missing_cells(_records(spark, folder), "scenario_type", "language", names, ["en", "de", "fr"])
-
-
 @query()
 def audit_findings(spark, folder):
     return audit.audit(_records(spark, folder), table(spark, folder, "manifest"), "document_id", "full_text", {"language": ["en", "de"], "recommended_split": list(splits.SPLITS)}, ["document_id", "full_text", "contains_personal_data"])
@@ -591,12 +564,6 @@ def upgraded_dataset(spark, folder):
     return df.groupBy("language", "scenario_type", "challenge_category", "primary_pii_type").agg(F.count(F.lit(1)).alias("n"), F.sum("pii_count").alias("pii_count"))
 
 
-@query()
-def upgrade_ids(spark, folder):
-    df = _records(spark, folder).select(F.when(F.col("file_name").isNull(), F.lit(None).cast("string")).otherwise(F.lit("")).alias("id"), "document_id")
-    return upgrade.with_ids(df.where("document_id is not null"), "id", F.col("document_id"))
-
-
 @query(
     """WITH t AS (SELECT scenario_type, count(*) AS total FROM synthetic_records WHERE scenario_type IS NOT NULL GROUP BY ALL), s AS (SELECT * FROM (VALUES ('test', 0.15), ('train', 0.7), ('validation', 0.15)) v(split, share)),
     x AS (SELECT *, CAST(total AS DOUBLE) * CAST(share AS DOUBLE) AS e FROM t, s), f AS (SELECT *, CAST(floor(e) AS BIGINT) AS b FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY scenario_type ORDER BY round(e - b, 9) DESC, split) AS k, total - sum(b) OVER (PARTITION BY scenario_type) AS l FROM f)

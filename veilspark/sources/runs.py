@@ -96,7 +96,7 @@ def read_json(spark: SparkSession, path: str) -> dict:
 def write_csv(df: DataFrame, path: str, quote_all: bool = True, bom: bool = False) -> None:
     """CSV with a header; ``bom`` puts a byte order mark before each file's header, for spreadsheets."""
     if not bom:
-        df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+        df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
         return
     # Lines are laid out here, as the built-in writer can't start a file with a mark; text files keep them as they are.
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -107,8 +107,14 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = True, bom: bool = Fals
     def headed(batches):
         import pyarrow as pa
 
-        yield pa.RecordBatch.from_pydict({"value": [head]})
-        yield from batches
+        started = False
+        for batch in batches:
+            if not started:
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+            started = True
+            yield batch
+        if not started:
+            yield pa.RecordBatch.from_pydict({"value": [head]})
 
     kind.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
