@@ -62,11 +62,26 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_classes, p5_found, p5_report, p5_sample, p6_found, p6_report)}
 
 
+def _shingled(columns: str, where: str) -> str:
+    """All runs of three words of every record, and their numbers: for comparing all with all."""
+    return rf"""WITH w AS (SELECT DISTINCT document_id, {columns}, regexp_extract_all(lower(full_text), '[\p{{L}}\p{{N}}]+') AS w FROM synthetic_records WHERE document_id IS NOT NULL AND full_text IS NOT NULL AND {where}),
+        s AS (SELECT DISTINCT document_id, label, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT document_id, label, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        n AS (SELECT document_id, label, count(*) AS n FROM s GROUP BY ALL)"""
+
+
+def _similar(condition: str) -> str:
+    return f"""p AS (SELECT a.document_id AS a, b.document_id AS b, a.label AS la, b.label AS lb, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND {condition} GROUP BY ALL)
+        SELECT DISTINCT least(a, b) AS document_id_a, greatest(a, b) AS document_id_b FROM p JOIN n x ON x.document_id = a AND x.label = la JOIN n y ON y.document_id = b AND y.label = lb WHERE a <> b AND c >= 0.7 * (x.n + y.n - c) - 1e-9"""
+
+
 def oracle_sql() -> dict[str, str]:
     needed = "greatest(coalesce(t.min_rows, 0), floor(t.target_share * s.size + 0.5 + 1e-9))"
     one = "SELECT request_id, min_by({f}, received_at) AS v FROM generation_requests WHERE request_id IS NOT NULL GROUP BY request_id"
     counts = " UNION ALL ".join(f"SELECT '{f}' AS field, lower(trim(v)) AS category, count(*) AS n FROM ({one.format(f=f)}) GROUP BY ALL" for f in FIELDS)
+    splits = "lower(trim(recommended_split))"
     return {
+        "p1_found": _shingled("scenario_type AS label", "scenario_type IS NOT NULL") + ", " + _similar("a.label = b.label AND a.document_id < b.document_id"),
+        "p6_found": _shingled(f"{splits} AS label", f"{splits} IN ('train', 'validation', 'test')") + ", " + _similar("a.label = 'train' AND b.label <> 'train'"),
         "p5_found": f"""
             WITH s AS (SELECT floor(count(DISTINCT request_id) / 2) AS size FROM generation_requests),
             c AS ({counts})
