@@ -266,3 +266,45 @@ def test_queries_equal_their_sql(spark):
         a = privacy.queries()[name](spark, FOLDER).toPandas()
         b = con.execute(privacy.oracle_sql()[name]).df()
         assert sorted(a.columns) == sorted(b.columns) and len(a) == len(b), name
+
+
+def test_dealing_by_rank_equals_dealing_cards(spark):
+    from veilspark.operators import splits
+
+    for shares in ({"train": 0.7, "validation": 0.15, "test": 0.15}, {"train": 0.6181, "validation": 0.2345, "test": 0.1474}, {"train": 1 / 3, "validation": 1 / 3, "test": 1 / 3}):
+        counts, want = dict.fromkeys(shares, 0), []
+        for _ in range(500):
+            s = min((round(counts[s] / f, 9), s) for s, f in shares.items())[1]
+            counts[s] += 1
+            want.append(s)
+        got = [r[0] for r in spark.range(500).select(splits.dealt(F.col("id"), shares)).collect()]
+        assert got == want
+
+
+def test_registries_refuse_what_they_do_not_know():
+    from veilspark.operators import decide
+
+    for bad in ({"x": {"runner": "none"}}, {"x": {"runner": "llm"}}, {"x": {"runner": "llm", "llm": "linear"}}, {"x": {"runner": "hybrid", "scorer": "linear", "llm": "gone"}}):
+        with pytest.raises(ValueError):
+            decide.registered(bad)
+    assert decide.registered({" A ": {"runner": "score", "scorer": "LINEAR"}})["a"].prediction_source == "rules+score"
+    with pytest.raises(ValueError):
+        decide.model("stub", "scorer")
+
+
+def test_the_scorer_learns_words(spark):
+    from veilspark.operators import scorer
+
+    rows = [(f"d{i}", f"invoice {i} of room {i % 7}" + (" born on monday" if i % 3 == 0 else ""), "yes" if i % 3 == 0 else "no") for i in range(300)] + [("n", None, "no"), (None, "x", "yes")]
+    df = spark.createDataFrame(rows, "document_id string, full_text string, contains_personal_data string")
+    weights = scorer.fit(df, "document_id", "full_text", F.col("contains_personal_data") == "yes")
+    p, labels = scorer.linear_scorer(weights)()(["invoice born on monday", "invoice of room 3", None, ""])
+    assert p[0] > 0.6 > 0.4 > p[1] and set(labels[0]) >= {"PERSON"} and p[2] == p[3]
+
+
+def test_offsets_of_many_matches(spark):
+    from veilspark.operators import detect
+
+    text = "x" + " ä P12345678" * 400
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(detect.spans("t", detect.PATTERNS["PASSPORT"], "PASSPORT").alias("s")).collect()
+    assert [text[s["start"] : s["end"]] for s in got[0]["s"]] == ["P12345678"] * 400 and got[1]["s"] == []

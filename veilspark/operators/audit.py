@@ -15,6 +15,7 @@ from veilspark.functions.scalars import ENTITY_LABELS, active_labels, is_blank,
 from veilspark.operators.detect import IDENTIFIERS
 from veilspark.operators.splits import SPLITS
 
+# Targets that datasets must reach.
 LEVELS = ("PASS", "WARN", "FAIL")
 LEAST_EXAMPLES, PRIORITY_TARGETS = 3, {"train": 40, "validation": 10, "test": 10}
 PRIORITY = ("IBAN_CODE", "CREDIT_CARD", "MEDICAL_LICENSE", "PHONE_NUMBER", "IP_ADDRESS", "NRP", "URL", "PASSPORT")

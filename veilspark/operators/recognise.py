@@ -57,6 +57,27 @@ def recognise(df: DataFrame, id_col: str, text_col: str, language_col: str | Non
     return map_arrow(rows, f"id {rows.schema['id'].dataType.simpleString()}, ner {SPANS}", start)
 
 
+def with_ner(df: DataFrame, text_col: str, language_col: str | None = None, name: str = "ner", recogniser: Recogniser = lexicon_recogniser) -> DataFrame:
+    """``df`` with what the recogniser reports in a column of its own: one pass, no join, every row kept."""
+    rows = df.drop(name).withColumns({"_text": F.coalesce(F.col(text_col), F.lit("")), "_language": F.col(language_col) if language_col else F.lit("en")})
+    kept = [c for c in df.columns if c != name]
+
+    def start():
+        engine = recogniser()
+
+        def work(b: pa.RecordBatch) -> dict:
+            return {c: b[c] for c in kept} | {name: engine(b["_text"].to_pylist(), b["_language"].to_pylist())}
+
+        return work
+
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept], f"`{name}` {SPANS}"])
+    return map_arrow(rows, schema, start)
+
+
+# Shapes of codes that recognisers take for places or phones.
+DEPARTMENT_CODE, QUARTER, CODE_BEFORE = r"(?U)^[A-Z]{2,6}-\d+$", "^Q[1-4]$", r"(?U)[A-Z]{2,6}-\s*$"
+
+
 def false_location(value: Column) -> Column:
     """Values that recognisers take for places: addresses of mail, department codes, quarters, titles, two letters."""
     flat = F.regexp_replace(F.lower(value), r"(?U)^\s+|\s+$", "")
@@ -65,7 +86,7 @@ def false_location(value: Column) -> Column:
     titled = F.lit(False)
     for t in TITLE_STARTS:
         titled = titled | F.startswith(first, F.lit(t))
-    return F.contains(flat, F.lit("@")) | bare.rlike(r"(?U)^[A-Z]{2,6}-\d+$") | bare.rlike("^Q[1-4]$") | (F.length(F.replace(first, F.lit("."), F.lit(""))) <= 2) | titled
+    return F.contains(flat, F.lit("@")) | bare.rlike(DEPARTMENT_CODE) | bare.rlike(QUARTER) | (F.length(F.replace(first, F.lit("."), F.lit(""))) <= 2) | titled
 
 
 def kept(ner: Column, text: Column) -> Column:
@@ -74,5 +95,5 @@ def kept(ner: Column, text: Column) -> Column:
     ner = F.filter(ner, lambda s: (s["type"] != "PERSON") | (F.size(F.filter(F.split(s["value"], r"(?U)\s+"), lambda t: t != "")) >= PERSON_TOKENS))
     ner = F.filter(ner, lambda s: (s["type"] != "LOCATION") | ~false_location(s["value"]))
     head = lambda s: F.substring(text, F.greatest(s["start"] - 7, F.lit(1)), F.least(s["start"], F.lit(8)))
-    ner = F.filter(ner, lambda s: (s["type"] != "PHONE_NUMBER") | ~head(s).rlike(r"(?U)[A-Z]{2,6}-\s*$"))
+    ner = F.filter(ner, lambda s: (s["type"] != "PHONE_NUMBER") | ~head(s).rlike(CODE_BEFORE))
     return F.transform(ner, lambda s: s.withField("confidence", F.round(s["confidence"], 3)))

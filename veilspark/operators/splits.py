@@ -65,9 +65,9 @@ def stratified_split(df: DataFrame, text_col: str, truth: Column, validation: fl
     """(key, positive, split) of every group of equal texts.
 
     Groups of each stratum (any member positive, or none) are put in the order of a hash and dealt one by one to the
-    split that has least of its share, ties by name. The deal depends on a group's rank alone and repeats with a
-    short period when the shares are fractions of small whole numbers, so ranks are laid out by blocks of the hash
-    and the split is looked up in one period; no stratum is sorted in one task.
+    split that has least of its share, ties by name. The deal depends on a group's rank alone, so ranks are laid
+    out by blocks of the hash and no stratum is sorted in one task. Where the shares are fractions of small whole
+    numbers the split is looked up in one period of the deal, else it is computed from the rank.
     """
     if not (0 < validation < 1 and 0 < test < 1 and validation + test < 1):
         raise ValueError("the shares of validation and test must be in (0, 1) and leave room for training")
@@ -78,14 +78,38 @@ def stratified_split(df: DataFrame, text_col: str, truth: Column, validation: fl
     sizes = sizes.select("positive", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("n0"))
     rank = F.col("n0") + F.row_number().over(Window.partitionBy("positive", "block").orderBy("o", "key")) - 1
     ranked = groups.join(F.broadcast(sizes), ["positive", "block"]).withColumn("rank", rank)
-    deal = deal_order({"train": 1.0 - validation - test, "validation": validation, "test": test})
+    shares = {"train": 1.0 - validation - test, "validation": validation, "test": test}
+    if (deal := deal_order(shares)) is None:
+        return ranked.select("key", "positive", dealt(F.col("rank"), shares).alias("split"))
     period = F.array(*[F.lit(d) for d in deal])
     return ranked.select("key", "positive", F.element_at(period, (F.pmod("rank", F.lit(len(deal))) + 1).cast("int")).alias("split"))
 
 
-def deal_order(shares: dict[str, float], most: int = 2_000) -> list[str]:
-    """One period of dealing cards to whoever has least of their share, ties by name."""
-    period = next((k for k in range(1, most + 1) if all(abs(k * s - round(k * s)) < 1e-9 for s in shares.values())), most)
+def dealt(rank: Column, shares: dict[str, float]) -> Column:
+    """Who gets the card of a rank, whatever the shares.
+
+    The j-th card of a split is dealt when others have fewer cards than j times their share over its own, so its
+    place in the deal is a sum of whole numbers; the split with a card at this place is the answer.
+    """
+    out = None
+    for s, f in shares.items():
+        for d in (-2, -1, 0, 1, 2):
+            j = F.floor(rank * f) + d
+            place = j
+            for other, g in shares.items():
+                if other != s:
+                    due = F.round(j * (g / f), 9)
+                    place = place + F.ceil(due) + (F.when(due == F.ceil(due), 1).otherwise(0) if other < s else F.lit(0))
+            hit = (j >= 0) & (place == rank)
+            out = F.when(hit, s) if out is None else out.when(hit, s)
+    return out
+
+
+def deal_order(shares: dict[str, float], most: int = 2_000) -> list[str] | None:
+    """One period of dealing cards to whoever has least of their share, ties by name; None where it is longer."""
+    period = next((k for k in range(1, most + 1) if all(abs(k * s - round(k * s)) < 1e-9 for s in shares.values())), None)
+    if period is None:
+        return None
     counts, out = dict.fromkeys(shares, 0.0), []
     for _ in range(period):
         chosen = min((round(counts[s] / max(f, 1e-9), 9), s) for s, f in shares.items())[1]

@@ -108,16 +108,16 @@ def person_hints(spark, folder):
 
 @query()
 def sweep_routes(spark, folder):
-    """How many documents the first sweep settles, per route: map-only up to the final count."""
-    return fusion.sweep(_records(spark, folder).select("document_id", "full_text")).groupBy("route", "routing_reason").agg(F.count(F.lit(1)).alias("n"))
+    """How many documents the first sweep settles, per route, recogniser included: map-only up to the final count."""
+    docs = recognise.with_ner(_records(spark, folder).select("document_id", "full_text", "language"), "full_text", "language")
+    return fusion.sweep(docs, ner_col="ner").groupBy("route", "routing_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def sweep_with_recogniser(spark, folder):
     """The first sweep with the default recogniser of names, dates and places."""
     docs = _records(spark, folder).where("document_id is not null").select("document_id", "full_text", "language").dropDuplicates(["document_id"])
-    found = recognise.recognise(docs, "document_id", "full_text", "language")
-    swept = fusion.sweep(docs.join(found.withColumnRenamed("id", "document_id"), "document_id"), ner_col="ner")
+    swept = fusion.sweep(recognise.with_ner(docs, "full_text", "language"), ner_col="ner")
     return swept.select("document_id", "route", F.array_join("detected_categories", "|").alias("categories"), F.size("entities").alias("n_entities"))
 
 
@@ -164,7 +164,7 @@ def final_decisions(spark, folder):
 def _decided(spark: SparkSession, folder: str) -> DataFrame:
     """One first sweep, one scoring of its open documents by a fitted linear scorer, one review, all strategies."""
     docs = _records(spark, folder).where("document_id is not null").dropDuplicates(["document_id"])
-    swept = cut(fusion.sweep(docs).select("document_id", "full_text", "contains_personal_data", "detected_pii", "detected_any_pii", "needs_llm_review", "per_type_conf", "entities"))
+    swept = cut(fusion.sweep(recognise.with_ner(docs.select("document_id", "full_text", "contains_personal_data", "language"), "full_text", "language"), ner_col="ner").select("document_id", "full_text", "contains_personal_data", "detected_pii", "detected_any_pii", "needs_llm_review", "per_type_conf", "entities"))
     weights = scorer.fit(_records(spark, folder), "document_id", "full_text", _truth())
     scored = decide.scored_output(swept, "document_id", "full_text", 0.3, 0.7, scorer=scorer.linear_scorer(weights))
     reviewed = review.run_reviews(swept, "document_id", "full_text", "entities", "needs_llm_review", "stub").select(F.col("id").alias("document_id"), "llm_pii")
