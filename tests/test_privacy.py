@@ -308,3 +308,51 @@ def test_offsets_of_many_matches(spark):
     text = "x" + " ä P12345678" * 400
     got = spark.createDataFrame([(text,), (None,)], "t string").select(detect.spans("t", detect.PATTERNS["PASSPORT"], "PASSPORT").alias("s")).collect()
     assert [text[s["start"] : s["end"]] for s in got[0]["s"]] == ["P12345678"] * 400 and got[1]["s"] == []
+
+
+def test_clients_tell_what_may_be_tried_again():
+    import http.server
+    import json
+    import threading
+    import urllib.error
+
+    from veilspark.operators import clients
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            code = 503 if body["model"] == "busy" else 400 if body["model"] == "bad" else 200
+            out = {"response": "hi", "eval_count": 3} if self.path.endswith("generate") else {"choices": [{"message": {"content": body["messages"][0]["content"].upper()}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2, "cost": 0.5}}
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    chat = clients.ChatClient(url)
+    assert chat("abc", "m") == {"content": "ABC", "prompt_tokens": 5, "completion_tokens": 2, "cost": 0.5}
+    assert clients.LocalClient(url)("abc", "m")["content"] == "hi"
+    with pytest.raises(ConnectionError):
+        chat("abc", "busy")
+    with pytest.raises(urllib.error.HTTPError):
+        chat("abc", "bad")
+    with pytest.raises(ValueError):
+        clients.ChatClient(url, "VEILSPARK_NO_SUCH_KEY")("abc", "m")
+    waits = []
+    assert review.with_retries(chat, (0, 1), waits.append)("abc", "busy")["error"] == "no connection" and waits == [0, 1]
+    server.shutdown()
+    assert not clients.LocalClient(url).healthy()
+
+
+def test_logs_turn_over(tmp_path):
+    from veilspark import logs
+
+    log = logs.configured(str(tmp_path), most_bytes=400, kept=2)
+    for i in range(30):
+        log.info("line %d", i)
+    assert len(list(tmp_path.iterdir())) == 3
+    logs.configured()

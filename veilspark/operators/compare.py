@@ -53,6 +53,11 @@ def tracked(df: DataFrame, params: Sequence[str], metrics: Sequence[str]) -> Dat
     return df.select(F.coalesce(F.col("run_id").cast("string"), F.lit("")).alias("run"), parameters(df, params).alias("params"), numbers(df, metrics).alias("metrics"))
 
 
+def write_tracked(rows: DataFrame, path: str) -> None:
+    """Tracked rows as JSON lines, a folder for each run, for a tracker to pick up."""
+    rows.withColumn("run", F.when(F.col("run") == "", "unnamed").otherwise(F.col("run"))).write.mode("overwrite").partitionBy("run").json(path)
+
+
 SWEEP_COLUMNS = ("entities", "per_type_conf", "detected_categories", "strong_pii_categories", "potential_pii_categories", "detected_pii", "detected_any_pii", "has_person_hint", "route", "routing_reason", "needs_llm_review")
 
 

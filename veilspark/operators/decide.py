@@ -196,6 +196,18 @@ def run_strategies(df: DataFrame, chosen: list[Strategy], run_id: str, threshold
     return rows.select("*", "_s.*").drop("_s").withColumns({"run_id": F.lit(run_id), "predicted_pii": F.col("final_pii")})
 
 
+#: The columns of a scored output, in their order.
+CONTRACT = ("document_id", "contains_personal_data", "per_type_conf", "detected_pii", "detected_any_pii", "needs_llm_review", "needs_bert_review", "pii_probability", "routing_zone", "routed_to_llm", "t_low", "t_high", "predicted_pii")
+
+
+def output_frame(df: DataFrame, routed_count: bool = True) -> DataFrame:
+    """Exactly the columns of CONTRACT; absent ones are null. A routed document counts as predicted where no reviewer
+    has decided yet."""
+    predicted = _flag("detected_pii") | _flag(F.col("routing_zone") == ZONES[2]) | (_flag("routed_to_llm") if routed_count else F.lit(False))
+    df = df.withColumn("predicted_pii", predicted)
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in CONTRACT])
+
+
 def dataset_version(df: DataFrame, column: str = "dataset_version", default: str = "unknown") -> str:
     """The one version a table holds; the default for none; several are an error."""
     if column not in df.columns:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scalars as S
 from veilspark.functions.materialize import ensure_checkpoint_dir
-from veilspark.operators import audit, compare, decide, errors, fusion, metrics, planner, splits, upgrade
+from veilspark.operators import audit, compare, decide, errors, fusion, metrics, planner, rewrite, splits, upgrade
 from veilspark.plans.privacy import _LABELS, _N, _TRUE, _TRUTH, _missed, _records, _scored
-from veilspark.sources import runs
+from veilspark.sources import runs, sheets
 from veilspark.sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,6 +364,30 @@ def sweep_baseline(spark, folder):
     return out.groupBy("document_id", "strategy", "run_id").agg(F.count(F.lit(1)).alias("n"), wrong.alias("_w")).where("_w = 0").drop("_w")
 
 
+@query("SELECT coalesce(run_id, 'unnamed') AS run, count(*) AS n, count(*) FILTER (provider IS NOT NULL) AS providers FROM false_negatives GROUP BY ALL")
+def io_tracked(spark, folder):
+    """Rows for a tracker saved by run and read again."""
+    path = _folder(spark)
+    compare.write_tracked(compare.tracked(_missed(spark, folder), ["strategy", "provider"], ["pii_probability"]), path)
+    df = spark.read.schema("params map<string,string>, metrics map<string,double>, run string").json(path)
+    return df.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.map_contains_key("params", "provider")).alias("providers"))
+
+
+@query(
+    f"""SELECT strategy, routing_zone, detected_pii OR routing_zone IN ('confident_pii', 'routed_to_llm') AS predicted_pii, count(*) AS n, {len(decide.CONTRACT)} AS columns FROM (SELECT strategy, coalesce(detected_pii, false) AS detected_pii, {_ZONE} AS routing_zone FROM false_negatives) GROUP BY ALL"""
+)
+def output_contract(spark, folder):
+    """Scored outputs of each strategy in their fixed columns; routed rows count as predicted."""
+    df = _missed(spark, folder).withColumn("routing_zone", decide.zone("pii_probability", 0.1, 0.25, F.col("needs_bert_review")))
+    df = df.withColumn("routed_to_llm", F.col("routing_zone") == decide.ZONES[1])
+    out = None
+    for r in df.select("strategy").distinct().collect():  # strategies are a few
+        one = decide.output_frame(df.where(F.col("strategy").eqNullSafe(r["strategy"])))
+        one = one.withColumns({"strategy": F.lit(r["strategy"]), "columns": F.lit(len(one.columns))})
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("strategy", "routing_zone", "predicted_pii", "columns").agg(F.count(F.lit(1)).alias("n"))
+
+
 _RUNS = (
     ("a", ("m1", 256), (0.2, 0.99, 1, 0.1, 0.8), ("stratified", 3, 12.5, 4.0, (("train", 70), ("test", 15)), (0.9, 0.8, 0.7, 0.75, 0.85))),
     ("b", ("m2", None), (0.3, None, 2, 0.2, 0.9), ("recommended", None, None, None, None, (None, None, None, None, None))),
@@ -403,6 +427,28 @@ def made_by(spark, folder):
     return table(spark, folder, "manifest").select(m.alias("m")).groupBy("m.generator", "m.prompt_version").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """SELECT document_id, CASE WHEN k = 0 OR k = 3 THEN 'A ' || document_id || ' x' || chr(10) || 'ref 77' ELSE 'A ' || document_id || ' x ref 77' END AS text, k <> 3 AS asked, k NOT IN (0, 3) AS succeeded, count(*) AS n
+    FROM (SELECT document_id, length(coalesce(full_text, '')) % 4 AS k FROM synthetic_records WHERE document_id IS NOT NULL) GROUP BY ALL"""
+)
+def rewritten_documents(spark, folder):
+    """Documents in a model's words where it keeps the values it must; others, and those not asked for, as they were."""
+    k = F.length(F.coalesce("full_text", F.lit(""))) % 4
+    docs = _records(spark, folder).where("document_id is not null").select("document_id", F.concat(F.lit("A "), "document_id", F.lit(" x\nref 77")).alias("t"), F.when(k == 0, F.array(F.lit("gone"))).otherwise(F.array("document_id", F.lit("77"))).alias("need"), (k != 3).alias("flag"))
+    got = rewrite.rewritten(docs, "document_id", "t", "need", "flag", "stub")
+    return got.groupBy(F.col("id").alias("document_id"), "text", "asked", "succeeded").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT category, CAST(target_share AS VARCHAR) AS share, count(*) AS n FROM sample_targets GROUP BY ALL")
+def io_sheet(spark, folder):
+    """A table of targets as a spreadsheet, read again."""
+    rows = table(spark, folder, "sample_targets").select("category", F.col("target_share").cast("string").alias("share")).collect()  # 21 rows by definition
+    data = sheets.write_sheet([["category", "share"], *[[r["category"], r["share"]] for r in rows]])
+    path = _folder(spark)
+    runs.write_bytes(spark, data, f"{path}/targets.xlsx")
+    return sheets.read_sheets(spark, path, ["category", "share"]).groupBy("category", "share").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT document_id, true AS ordered, CAST(count(*) AS BIGINT) AS n FROM synthetic_records WHERE file_created_date IS NOT NULL GROUP BY document_id")
 def passport_order(spark, folder):
     """Dates of birth, issue and expiry in order, whichever of them is fixed: adults, and ten years of 365 days."""

@@ -75,11 +75,16 @@ def latest_run(spark: SparkSession, root: str) -> str:
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """A document of metadata as one file, on any file system Spark can reach."""
+    write_bytes(spark, json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True).encode(), path)
+
+
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """One file, on any file system Spark can reach."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True).encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
 
