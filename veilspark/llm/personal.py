@@ -144,6 +144,28 @@ _INITIAL = re.compile(rf"(?<![\w.&-])[^\W\d_]\.\s{{1,2}}(?:(?:{_PART})\s)?({_SUR
 _KNOWN = re.compile(rf"(?<!\w)(?:(?i:{'|'.join(re.escape(x) for x in sorted(names.LABELS, key=len, reverse=True))})\s*:\s*|(?:{'|'.join(re.escape(x) for x in names.TITLES)})\s)((?:[A-ZÄÖÜ][a-zäöüßéèë]+)(?:\s[A-Z]\.)?(?:\s(?:{_PART}))?\s(?:[A-ZÄÖÜ][a-zäöüß]+)(?:-[A-ZÄÖÜ][a-zäöüß]+)*|(?:[A-ZÄÖÜ][a-zäöüß]+(?:-[A-ZÄÖÜ][a-zäöüß]+)*),\s[A-ZÄÖÜ][a-zäöüßéèë]+)(?!\w)(?!\s(?:{'|'.join(names.COMPANIES)})\b)(?![\s&]+[A-ZÄÖÜ])")
 
 
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x) for x in names.TITLES)})\s")
+_LABELLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x) for x in sorted(names.LABELS, key=len, reverse=True))})\s*$", re.I)
+_LONGEST = max(map(len, names.LABELS))
+_LOCAL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*\s?(?:@|[(\[{<]\s?at\s?[)\]}>])", re.I)
+
+
+def _known(text: str) -> Iterator[re.Match]:
+    """The matches of names after labels and titles, looked for behind colons and titles only."""
+    starts = [m.start() for m in _TITLED.finditer(text)]
+    at = text.find(":")
+    while at >= 0:
+        low = max(0, at - _LONGEST - 8)
+        if (m := _LABELLED.search(text, low, at)) is not None:
+            starts.append(m.start())
+        at = text.find(":", at + 1)
+    done = 0
+    for i in sorted(set(starts)):
+        if i >= done and (m := _KNOWN.match(text, i)) is not None:
+            done = m.end()
+            yield m
+
+
 def _style(word: str) -> str:
     return "l" if word.islower() else "u" if word.isupper() and len(word) > 1 else "t"
 
@@ -183,7 +205,7 @@ def _people(text: str, known: list[tuple[int, int]]) -> Iterator[tuple[int, int]
             label = re.search(rf"(?:{'|'.join(re.escape(x.lower()) for x in names.LABELS)})\s*:?\s*$|(?:frau|ms|dr\.)\s$", text[max(0, m.start() - 30) : m.start()])
             if label:
                 yield m.start(), m.end()
-    for m in _KNOWN.finditer(text):
+    for m in _known(text):
         yield m.span(1)
 
 
@@ -245,9 +267,8 @@ def name_evidence(rows: DataFrame) -> np.ndarray:
 
     def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
         for text in b["text"].to_pylist():
-            told = [_first_and_last(m.group(1)) for m in _KNOWN.finditer(text)] + [m.groups() for m in _BETWEEN.finditer(text)]
-            if _AT.search(text):
-                told += [_first_and_last(text[i:j]) for i, j in _mailed(text, [m.span() for m in EMAIL.finditer(text)])]
+            told = [_first_and_last(m.group(1)) for m in _known(text)] + [m.groups() for m in _BETWEEN.finditer(text)]
+            told += [_first_and_last(text[i:j]) for i, j in _mailed(text, [m.span() for m in _LOCAL.finditer(text)])]
             for first, surname in told:
                 if first.lower() not in _NO_NAMES and surname.split("-")[0].lower() not in _NO_NAMES:
                     at = _bucket(first)
