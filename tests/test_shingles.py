@@ -45,3 +45,26 @@ def test_jaccard_and_minhash():
     assert abs(np.mean(sig[0] == sig[1]) - 5 / 7) < 0.1 and not sig[2].any()
     k1, _ = S.set_keys(h, at)
     assert k1[2] == 0 and len(set(k1.tolist())) == 4
+
+
+def test_packed_vectors_come_back():
+    from veilspark.functions.vectors import pack, unpack
+
+    rng = np.random.default_rng(0)
+    for dtype in ("uint8", "uint32", "int64", "float32"):
+        for n, some in ((1, 0), (1, 1), (100_000, 0), (100_000, 3), (100_000, 5_000), (1_000, 900), (70_000, 1)):
+            v = np.zeros(n, dtype)
+            v[rng.permutation(n)[:some]] = 7
+            assert (unpack(pack(v), dtype) == v).all()
+
+
+def test_totals_by_chunk(spark):
+    from veilspark.functions.vectors import vector_total
+
+    def add(vector, b):
+        x = b["id"].to_numpy()
+        np.add.at(vector, x % 5, 1)
+        np.bitwise_or.at(vector, 8 + x % 3, (1 << (x % 7)).astype(np.uint32))
+
+    got = vector_total(spark.range(0, 1000, 1, 300), 16, "uint32", add, lambda c: "sum" if c == 0 else "or", chunks=2)
+    assert got[:5].tolist() == [200] * 5 and got[8:11].tolist() == [127] * 3 and not got[11:].any()

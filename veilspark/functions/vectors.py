@@ -7,6 +7,7 @@ vector, whose length is a constant of the operator, reaches the driver.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,28 @@ FAN_IN = 128
 _SCHEMA = "salt int, chunk int, data binary"
 
 
+def pack(part: np.ndarray) -> bytes:
+    """A vector in few bytes: where most of it is zero, the gaps between the other values and these; else as it is."""
+    at = np.flatnonzero(part)
+    if 6 * len(at) >= len(part):
+        return b"d" + zlib.compress(part.tobytes(), 1)
+    gaps = np.diff(at, prepend=0)
+    gaps = gaps.astype(np.min_scalar_type(int(gaps.max()) if len(gaps) else 0))
+    places = zlib.compress(gaps.tobytes(), 1)
+    return b"s" + struct.pack("<BQQ", gaps.itemsize, len(part), len(places)) + places + zlib.compress(part[at].tobytes(), 1)
+
+
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    """The vector of :func:`pack`; it may be written to."""
+    if data[:1] == b"d":
+        return np.frombuffer(zlib.decompress(data[1:]), dtype).copy()
+    width, length, size = struct.unpack_from("<BQQ", data, 1)
+    body = data[1 + struct.calcsize("<BQQ") :]
+    out = np.zeros(length, dtype)
+    out[np.cumsum(np.frombuffer(zlib.decompress(body[:size]), f"u{width}"), dtype=np.int64)] = np.frombuffer(zlib.decompress(body[size:]), dtype)
+    return out
+
+
 def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarray, pa.RecordBatch], None], how: str | Callable[[int], str] = "sum", chunks: int = 16) -> np.ndarray:
     """The total of the tasks' vectors; ``add(vector, batch)`` puts a batch into the task's own vector.
 
@@ -32,7 +55,7 @@ def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarr
     def cut(vector: np.ndarray, salt: int) -> pa.RecordBatch:
         parts = [(c, vector[c * step : (c + 1) * step]) for c in range(chunks)]
         parts = [(c, p) for c, p in parts if p.any()]
-        return pa.RecordBatch.from_pydict({"salt": pa.array([salt] * len(parts), pa.int32()), "chunk": pa.array([c for c, _ in parts], pa.int32()), "data": pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())})
+        return pa.RecordBatch.from_pydict({"salt": pa.array([salt] * len(parts), pa.int32()), "chunk": pa.array([c for c, _ in parts], pa.int32()), "data": pa.array([pack(p) for _, p in parts], pa.binary())})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = np.zeros(length, dtype)
@@ -52,9 +75,9 @@ def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarr
         if table.num_rows == 1:
             return pa.table({"salt": pa.array([table["salt"][0].as_py() // FAN_IN], pa.int32()), "chunk": table["chunk"], "data": table["data"]})
         for data in table["data"]:
-            part = np.frombuffer(zlib.decompress(data.as_py()), dtype)
-            total = part.copy() if total is None else both(total, part, chunk)
-        return pa.table({"salt": pa.array([table["salt"][0].as_py() // FAN_IN], pa.int32()), "chunk": table["chunk"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            part = unpack(data.as_py(), dtype)
+            total = part if total is None else both(total, part, chunk)
+        return pa.table({"salt": pa.array([table["salt"][0].as_py() // FAN_IN], pa.int32()), "chunk": table["chunk"][:1], "data": pa.array([pack(total)], pa.binary())})
 
     parts = df.mapInArrow(task, _SCHEMA)
     for _ in range(2):
@@ -62,6 +85,6 @@ def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarr
     parts = parts.groupBy("chunk").applyInArrow(reduce, _SCHEMA)
     out = np.zeros(length, dtype)
     for row in parts.collect():
-        part = np.frombuffer(zlib.decompress(row.data), dtype)
+        part = unpack(bytes(row.data), dtype)
         out[row.chunk * step : row.chunk * step + len(part)] = part
     return out
