@@ -79,18 +79,16 @@ def order_of(rows: DataFrame, k: int, side_bits: int = SIDE_BITS, count_bits: in
         h, at = shingle_sets(b["text"].to_pylist(), k)
         held = np.repeat(b["held"].to_numpy(zero_copy_only=False), np.diff(at))
         for side in (0, 1):
-            bit = np.unique(h[held == side] >> U(64 - side_bits)).astype(np.int64)
+            bit = (h[held == side] >> U(64 - side_bits)).astype(np.int64)
             np.bitwise_or.at(vector, side * half + (bit >> 5), np.uint32(1) << (bit & 31).astype(np.uint32))
-        name, n = np.unique((h & U((1 << count_bits) - 1)).astype(np.int64), return_counts=True)
-        now = vector[2 * half + name]
-        vector[2 * half + name] = now + np.minimum(n.astype(np.uint32), np.iinfo(np.uint32).max - now)
+        np.add.at(vector, 2 * half + (h & U((1 << count_bits) - 1)).astype(np.int64), np.uint32(1))
 
     total = vector_total(rows.select("text", "held"), length, "uint32", add, lambda c: "or" if c * chunk < 2 * half else "cap", chunks=-(-length // chunk))
     return Order([total[:half], total[half : 2 * half]], Order._scale(total[2 * half :].astype(np.float64)), side_bits, count_bits)
 
 
 def _prefixes(texts: list, k: int, threshold: float, order: Order) -> tuple[np.ndarray, ...]:
-    """Keys of the sets, their sizes, and of the prefix entries that may meet the other side: owner, hash, place."""
+    """Sets, their offsets, and of the prefix entries that may meet the other side: owner, hash, place."""
     h, at = shingle_sets(texts, k)
     sizes = np.diff(at)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -98,7 +96,7 @@ def _prefixes(texts: list, k: int, threshold: float, order: Order) -> tuple[np.n
     by = np.argsort(owner * 256 + rank, kind="stable")  # ties stay in order of the hash: sets are sorted by it
     place = np.arange(len(h)) - np.repeat(at[:-1], sizes)
     keep = (place < np.repeat(prefix_length(sizes, threshold), sizes)) & (rank[by] > 0)
-    return *set_keys(h, at), sizes, owner[keep], h[by][keep], place[keep]
+    return h, at, owner[keep], h[by][keep], place[keep]
 
 
 def _parities(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -115,46 +113,38 @@ def _differing(a: str, b: str) -> Column:
     return reduce(Column.__add__, bits)
 
 
-def _classes(rows: DataFrame, k: int) -> DataFrame:
-    """(id, split, held, c1, c2, parity) of the records that have a shingle."""
-
-    def start():
-        def work(b: pa.RecordBatch) -> dict:
-            h, at = shingle_sets(b["text"].to_pylist(), k)
-            c1, c2 = set_keys(h, at)
-            parity = _parities(h, np.repeat(np.arange(b.num_rows), np.diff(at)), b.num_rows)
-            return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": c1, "c2": c2, "some": np.diff(at) > 0, "parity": lists(parity.ravel(), np.arange(b.num_rows + 1) * PARITY_WORDS)}
-
-        return work
-
-    return map_arrow(rows, "id string, split string, held boolean, c1 long, c2 long, some boolean, parity array<long>", start).where("some").drop("some")
+#: Bit of an entry's place that tells that its shingle may be frequent.
+_FLAG = 1 << 30
 
 
-def _entries(rows: DataFrame, k: int, threshold: float, shared) -> DataFrame:
-    """(held, c, at, shingle, often) of all prefix entries; ``at`` holds the set's size and the entry's place.
+def _known(rows: DataFrame, k: int, threshold: float, shared) -> DataFrame:
+    """(id, split, held, c1, c2, size, parity, entries, places) of the records that have a shingle.
 
-    An entry names its class by one of the two keys; should two classes share it, both are verified.
+    Only the first record of a class that a task meets has entries.
     """
 
     def start():
         seen: set = set()
 
         def work(b: pa.RecordBatch) -> dict:
-            held = b["held"].to_numpy(zero_copy_only=False)
-            c1, c2, sizes, owner, entry, place = _prefixes(b["text"].to_pylist(), k, threshold, shared.value)
+            h, at, owner, entry, place = _prefixes(b["text"].to_pylist(), k, threshold, shared.value)
+            sizes, (c1, c2) = np.diff(at), set_keys(h, at)
             new = np.ones(b.num_rows, bool)
             if len(seen) > MOST_SEEN:
                 seen.clear()
-            for i, key in enumerate(zip(held.tolist(), c1.tolist(), c2.tolist())):
+            for i, key in enumerate(zip(b["held"].to_pylist(), c1.tolist(), c2.tolist())):
                 new[i] = key not in seen
                 seen.add(key)
             keep = new[owner]
             owner, entry, place = owner[keep], entry[keep], place[keep]
-            return {"held": held[owner], "c": c1[owner], "at": (sizes[owner] << 32) + place, "shingle": entry.view(np.int64), "often": shared.value.often(entry)}
+            place = place + np.where(shared.value.often(entry), _FLAG, 0)
+            ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            parity = _parities(h, np.repeat(np.arange(b.num_rows), sizes), b.num_rows)
+            return {"id": b["id"], "split": b["split"], "held": b["held"], "c1": c1, "c2": c2, "size": sizes.astype(np.int32), "parity": lists(parity.ravel(), np.arange(b.num_rows + 1) * PARITY_WORDS), "entries": lists(entry.view(np.int64), ends), "places": lists(place.astype(np.int32), ends)}
 
         return work
 
-    return map_arrow(rows.select("held", "text"), "held boolean, c long, at long, shingle long, often boolean", start)
+    return map_arrow(rows, "id string, split string, held boolean, c1 long, c2 long, size int, parity array<long>, entries array<long>, places array<int>", start).where("size > 0")
 
 
 def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("validation", "test"), threshold: float = 0.8, k: int = 5, side_bits: int = SIDE_BITS, count_bits: int = COUNT_BITS) -> tuple[DataFrame, DataFrame]:
@@ -164,9 +154,12 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     """
     rows = text_rows(df, id_col, text_col, split=normal(split_col)).where(F.col("split").isin(*train, *held_out)).withColumn("id", F.col("id").cast("string")).withColumn("held", F.col("split").isin(*held_out))
     shared = df.sparkSession.sparkContext.broadcast(order_of(rows, k, side_bits, count_bits))
-    known = stored(_classes(rows.select("id", "split", "held", "text"), k))
+    known = stored(_known(rows.select("id", "split", "held", "text"), k, threshold, shared))
     members = known.select("id", "split", "held", "c1", "c2").distinct()
-    entries = stored(_entries(rows, k, threshold, shared))
+    # An entry names its class by one of the two keys; should two classes share it, both are verified.
+    each = known.where(F.size("entries") > 0).select("held", F.col("c1").alias("c"), "size", F.explode(F.arrays_zip("entries", "places")).alias("e"))
+    place = F.col("e.places").bitwiseAND(F.lit(_FLAG - 1)).cast("long")
+    entries = each.select("held", "c", F.col("e.entries").alias("shingle"), F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(place).alias("at"), (F.col("e.places") >= _FLAG).alias("often"))
     probe = entries.where("not held").select("shingle", F.col("c").alias("a1"), F.col("at").alias("x"))
     index = entries.where("held").select("shingle", F.col("c").alias("b1"), F.col("at").alias("y"))
     t = threshold
