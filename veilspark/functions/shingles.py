@@ -60,13 +60,16 @@ def hash_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     _, value, up, down = _tables()
     n = len(cps)
     with np.errstate(over="ignore"):
-        at = np.arange(n) & (_STEPS - 1)
-        terms = value[cps] * up[at]
-        jump = U(pow(int(_BASE), _STEPS, 1 << 64))
-        if n > _STEPS:
-            blocks = np.cumprod(np.concatenate([np.ones(1, U), np.full(n // _STEPS, jump)]), dtype=U)
-            terms *= np.repeat(blocks, _STEPS)[:n]
-        prefix = np.concatenate([np.zeros(1, U), np.cumsum(terms, dtype=U)])
+        terms = value[cps]
+        jump, scale = U(pow(int(_BASE), _STEPS, 1 << 64)), U(1)
+        for i in range(0, n, _STEPS):  # a block at a time, so the powers stay in the processor's cache
+            part = terms[i : i + _STEPS]
+            part *= up[: len(part)]
+            part *= scale
+            scale *= jump
+        prefix = np.empty(n + 1, U)
+        prefix[0] = 0
+        np.cumsum(terms, dtype=U, out=prefix[1:])
         h = prefix[ends] - prefix[starts]
         h *= down[starts & (_STEPS - 1)]
         if n > _STEPS:
