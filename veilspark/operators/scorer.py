@@ -16,7 +16,7 @@ from veilspark.functions.columns import hash_fraction
 from veilspark.functions.scalars import ENTITY_LABELS, norm_bool
 from veilspark.functions.shingles import U, word_hashes
 
-BITS, FIT_ROWS, STEPS = 15, 20_000, 80
+BITS, FIT_ROWS, STEPS = 15, 3_000, 50
 
 
 def _features(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
