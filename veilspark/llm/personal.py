@@ -147,7 +147,6 @@ _KNOWN = re.compile(rf"(?<!\w)(?:(?i:{'|'.join(re.escape(x) for x in sorted(name
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x) for x in names.TITLES)})\s")
 _LABELLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x) for x in sorted(names.LABELS, key=len, reverse=True))})\s*$", re.I)
 _LONGEST = max(map(len, names.LABELS))
-_LOCAL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*\s?(?:@|[(\[{<]\s?at\s?[)\]}>])", re.I)
 
 
 def _known(text: str) -> Iterator[re.Match]:
@@ -250,6 +249,27 @@ def _mailed(text: str, mails: list[tuple[int, int]]) -> Iterator[tuple[int, int]
                 yield m.span(1)
 
 
+def _locals(text: str) -> Iterator[tuple[int, int]]:
+    """Where the first parts of possible mail addresses begin, and where the sign of "at" behind them ends."""
+    for sign in _AT.finditer(text):
+        i = sign.start()
+        for _ in range(2):
+            i -= i > 0 and text[i - 1].isspace()
+        while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "_.+-"):
+            i -= 1
+        if text[i].isalnum():
+            yield i, sign.end()
+
+
+def _mails(text: str) -> Iterator[re.Match]:
+    """The matches of EMAIL, looked for before signs of "at" only."""
+    done = 0
+    for i, end in _locals(text):
+        if i >= done and (m := EMAIL.match(text, i)) is not None and m.end() >= end:
+            done = m.end()
+            yield m
+
+
 def _first_and_last(name: str) -> tuple[str, str]:
     parts = name.split(", ")
     return (parts[1], parts[0]) if len(parts) > 1 else (name.split()[0], name.split()[-1])
@@ -267,14 +287,14 @@ def name_evidence(rows: DataFrame) -> np.ndarray:
 
     def add(vector: np.ndarray, b: pa.RecordBatch) -> None:
         for text in b["text"].to_pylist():
-            told = [_first_and_last(m.group(1)) for m in _known(text)] + [m.groups() for m in _BETWEEN.finditer(text)]
-            told += [_first_and_last(text[i:j]) for i, j in _mailed(text, [m.span() for m in _LOCAL.finditer(text)])]
+            told = [_first_and_last(m.group(1)) for m in _known(text)] + _BETWEEN.findall(text)
+            told += [_first_and_last(text[i:j]) for i, j in _mailed(text, list(_locals(text)))]
             for first, surname in told:
                 if first.lower() not in _NO_NAMES and surname.split("-")[0].lower() not in _NO_NAMES:
                     at = _bucket(first)
                     vector[at] |= np.uint32(1 << (xxhash.xxh3_64_intdigest(surname.lower()) & 31))
                     vector[size + at] += 1
-            for w, n in Counter(m.group(1) for m in _PAIR.finditer(text)).items():
+            for w, n in Counter(_PAIR.findall(text)).items():
                 vector[2 * size + _bucket(w)] += n
 
     total = vector_total(rows.select("text"), 3 * size, "uint32", add, lambda c: "or" if c < 4 else "cap", chunks=12)
@@ -325,7 +345,7 @@ def find(text: str | None, learned: Learned | None = None) -> list[tuple[int, in
 
     low = _folded(text)
     streets, labels, people, words = _starts(low)
-    for m in EMAIL.finditer(text) if _AT.search(text) else ():
+    for m in _mails(text):
         put(*m.span(), "EMAIL_ADDRESS")
     at = 0
     for start in labels:
@@ -345,7 +365,9 @@ def find(text: str | None, learned: Learned | None = None) -> list[tuple[int, in
         if dialled and not re.match(r"\d{1,4}[./-]\d\d[./-]\d{2,4}(?!\d)", t) and not _NO_PHONE.search(text, max(0, m.start() - 20), m.start()):
             put(*m.span(), "PHONE_NUMBER")
     if learned is not None:
-        people = sorted({*people, *(m.span(1) for m in _CAPITAL.finditer(text) if m.group(1) in learned)})
+        new = {w for w in set(_CAPITAL.findall(text)) if w in learned and w.lower() not in _FIRST}
+        if new:
+            people = sorted({*people, *(m.span(1) for m in _CAPITAL.finditer(text) if m.group(1) in new)})
     for i, j in sorted({*_people(text, people), *_mailed(text, [(i, j) for i, j, kind in spans if kind == "EMAIL_ADDRESS"])}, key=lambda s: (s[0], -s[1])):
         put(i, j, "PERSON")
     for i, j in _again(text, low, [(i, j) for i, j, kind in spans if kind == "PERSON"]):
