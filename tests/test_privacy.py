@@ -356,3 +356,11 @@ def test_logs_turn_over(tmp_path):
         log.info("line %d", i)
     assert len(list(tmp_path.iterdir())) == 3
     logs.configured()
+
+
+def test_searched_texts_are_those_that_may_match(spark):
+    cases = {"NRP": ["ein SWISS pass", "a \u017fwiss form", "französisch", "FRANZÖSISCH", "Sw\u0130SS", "swede"], "URL": ["HTTP\u017f://x.y", "see https://a.b/c d", "htt p"], "MEDICAL_LICENSE": ["ARZTNUMMER", "med\u0131cal id", "Medical  ID", "medic"], "EMAIL_ADDRESS": ["A@B.DE", "a at b.de"]}
+    for kind, texts in cases.items():
+        df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+        plain = F.coalesce(F.regexp_extract_all("t", F.lit(detect.PATTERNS[kind]), F.lit(0)), F.array().cast("array<string>"))
+        assert df.where(plain != F.transform(detect.spans("t", detect.PATTERNS[kind], kind), lambda s: s["value"])).count() == 0

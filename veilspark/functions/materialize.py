@@ -35,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Estimated bytes of the columns read up to which a table is dealt to all cores before heavy work on its rows.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, as its file may be one row group and so one task; larger ones as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a columnar table into the shared checkpoint folder and return the copy.
 

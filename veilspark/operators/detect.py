@@ -8,6 +8,7 @@ case follow Unicode. Null and blank texts have no spans.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,17 @@ def _span(kind: str, value: Column, start: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit(PATTERN_SOURCE).alias("source"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"))
 
 
+#: Signs that every match of a detector holds, in lower case; texts without them aren't searched.
+MUST_HOLD = {"EMAIL_ADDRESS": ("@",), "URL": ("http",), "MEDICAL_LICENSE": ("approbation", "arztnummer", "heilpraktiker", "medical", "medizinische"), "NRP": tuple(n.lower() for n in NATIONALITIES)}
+
+
+def _may_match(text: Column, kind: str) -> Column:
+    """False only where no match is possible. The few letters that match Latin ones without their lower case being
+    equal are written as these first."""
+    low = F.lower(F.translate(text, "\u017f\u0130\u0131", "sii"))
+    return let(low, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in MUST_HOLD[kind]]))
+
+
 def spans(text: Column | str, pattern: str, kind: str) -> Column:
     """All matches of a pattern that isn't empty, in order, as spans."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -67,7 +79,8 @@ def spans(text: Column | str, pattern: str, kind: str) -> Column:
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), every)).otherwise(empty)
 
-    return F.when(text.rlike(r"(?U)\S"), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(empty)
+    may = _may_match(text, kind) if kind in MUST_HOLD and pattern == PATTERNS[kind] else text.rlike(r"(?U)\S")
+    return F.when(may, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(empty)
 
 
 def like_date(value: Column) -> Column:

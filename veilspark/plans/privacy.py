@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scalars as S
 from veilspark.functions.columns import normal
-from veilspark.functions.materialize import cut
+from veilspark.functions.materialize import cut, spread
 from veilspark.operators import audit, decide, detect, errors, fusion, metrics, planner, recognise, review, scorer, splits, thresholds, upgrade
 from veilspark.sources.tables import table
 
@@ -95,7 +95,7 @@ def detect_phone(spark, folder):
 @query()
 def detect_all_spans(spark, folder):
     """Spans of all detectors with offsets, phones inside IBANs suppressed."""
-    return detect.explode_spans(_records(spark, folder), "document_id", detect.pattern_spans("full_text"))
+    return detect.explode_spans(spread(_records(spark, folder).select("document_id", "full_text")), "document_id", detect.pattern_spans("full_text"))
 
 
 _HINT = detect.PERSON_HINT.removeprefix("(?iuU)")
@@ -109,7 +109,7 @@ def person_hints(spark, folder):
 @query()
 def sweep_routes(spark, folder):
     """How many documents the first sweep settles, per route, recogniser included: map-only up to the final count."""
-    docs = recognise.with_ner(_records(spark, folder).select("document_id", "full_text", "language"), "full_text", "language")
+    docs = recognise.with_ner(spread(_records(spark, folder).select("document_id", "full_text", "language")), "full_text", "language")
     return fusion.sweep(docs, ner_col="ner").groupBy("route", "routing_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -529,12 +529,28 @@ def audit_scenario_by_split(spark, folder):
     return audit.pivot_counts(_records(spark, folder), "scenario_type", "recommended_split", list(splits.SPLITS))
 
 
-@query()
+def _finding(check: str, level: str, sql: str) -> str:
+    return f"""SELECT '{check}' AS "check", CASE WHEN count(*) > 0 THEN '{level}' ELSE 'PASS' END AS level, count(*) AS "count" FROM ({sql})"""
+
+
+_THIN = " UNION ALL ".join(f"SELECT 1 FROM synthetic_records WHERE {_TRUE.format(f'{x}_yes_no')} AND lower(trim(recommended_split)) = '{s}' HAVING count(*) < {audit.PRIORITY_TARGETS[s] if x in audit.PRIORITY else audit.LEAST_EXAMPLES}" for x in S.ENTITY_LABELS for s in splits.SPLITS)
+_FINDINGS = " UNION ALL ".join(
+    [
+        _finding("repeated_ids", "FAIL", _SQL["audit_repeated_ids"]), _finding("repeated_manifest_ids", "FAIL", _SQL["audit_repeated_ids"].replace("synthetic_records", "manifest")), _finding("id_differences", "FAIL", _SQL["audit_id_differences"]),
+        _finding("differing_fields", "FAIL", " UNION ".join(f"SELECT d.document_id, '{f}' AS field, d.{f} AS a, m.{f} AS b FROM synthetic_records d JOIN manifest m USING (document_id) WHERE d.{f} IS DISTINCT FROM m.{f}" for f in _FIELDS[:2])),
+        _finding("identifiers_in_negatives", "WARN", _SQL["audit_leaking_negatives"]), _finding("repeated_texts", "WARN", f"SELECT * FROM ({_SQL['audit_repeated_texts']}) WHERE NOT intended"), _finding("thin_labels", "WARN", _THIN),
+        _finding("unknown_language", "FAIL", _SQL["audit_unknown_languages"]), _finding("unknown_recommended_split", "FAIL", "SELECT recommended_split FROM synthetic_records WHERE recommended_split IS NULL OR recommended_split NOT IN ('train', 'validation', 'test') GROUP BY ALL"),
+        f"""SELECT "check", CASE WHEN "count" > 0 THEN 'FAIL' ELSE 'PASS' END, "count" FROM ({_SQL['audit_row_violations']})""",
+    ]
+)
+
+
+@query(_FINDINGS)
 def audit_findings(spark, folder):
     return audit.audit(_records(spark, folder), table(spark, folder, "manifest"), "document_id", "full_text", {"language": ["en", "de"], "recommended_split": list(splits.SPLITS)}, ["document_id", "full_text", "contains_personal_data"])
 
 
-@query()
+@query(f"SELECT CASE WHEN count(*) FILTER (level = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (level = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS status, count(*) FILTER (level = 'FAIL') AS failures, count(*) FILTER (level = 'WARN') AS warnings FROM ({_FINDINGS})")
 def audit_status(spark, folder):
     return audit.status(audit_findings(spark, folder))
 
@@ -558,7 +574,19 @@ def upgrade_scenario(spark, folder):
     return _records(spark, folder).groupBy(S.infer_scenario(F.lit(""), "document_type", "file_name", "full_text").alias("told"), "scenario_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _cases(text: str, rules, other: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({text}, '{w}')" for w in words) + f" THEN '{value}'" for words, value in rules) + f" ELSE '{other}' END"
+
+
+_TOLD = {
+    "language": f"CASE WHEN {_BLANK.format('language')} THEN {_cases(_LOW, ((S.GERMAN_TERMS, 'de'),), 'en')} ELSE language END",
+    "scenario_type": f"CASE WHEN {_BLANK.format('scenario_type')} THEN {_cases(_ALL, S.SCENARIO_RULES, 'general_document')} ELSE scenario_type END",
+    "challenge_category": f"CASE WHEN NOT {_TRUE.format('edge_case')} THEN 'none' ELSE " + _cases("concat_ws(' ', lower(coalesce(labeling_notes, '')), " + _LOW + ")", S.CHALLENGE_RULES, "other_edge_case") + " END",
+    "primary_pii_type": f"CASE WHEN {_BLANK.format('primary_pii_type')} THEN CASE {_N} WHEN 0 THEN 'NONE' WHEN 1 THEN {_LABELS}[1] ELSE 'MULTIPLE' END ELSE primary_pii_type END",
+}
+
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _TOLD.items())}, count(*) AS n, CAST(sum(CASE WHEN coalesce(pii_count, 0) > 0 THEN pii_count ELSE coalesce(category_count, {_N}) END) AS BIGINT) AS pii_count FROM synthetic_records GROUP BY 1, 2, 3, 4")
 def upgraded_dataset(spark, folder):
     df = upgrade.upgraded(_records(spark, folder).drop("challenge_category"))
     return df.groupBy("language", "scenario_type", "challenge_category", "primary_pii_type").agg(F.count(F.lit(1)).alias("n"), F.sum("pii_count").alias("pii_count"))
