@@ -294,3 +294,41 @@ def test_filler_in_any_order_is_covered_by_passages(spark):
     fine = [("o1", "The et al. citation in dolor was kept."), ("o2", "asdf jklö"), ("o3", "the ex officio member and the ad hoc team in the quorum")]
     df = spark.createDataFrame([*filler, *cases, *fine], "rid string, body string")
     assert {r["id"] for r in residue.residue(df, "rid", "body").where("kind is not null").collect()} == {r[0] for r in cases}
+
+
+def test_first_names_are_learned_from_the_corpus(spark):
+    rnd = random.Random(2)
+    firsts = ["Kwame", "Aiko", "Priya", "Thandiwe", "Bogdan", "Ximena", "Oluwaseun", "Siobhan", "Rajesh", "Yevgenia"]
+    lasts = ["Okafor", "Tanaka", "Ramanathan", "Dlamini", "Petrescu", "Quispe", "Adeyemi", "Gallagher", "Iyer", "Sokolova", "Mbeki", "Saito"]
+    assert not {f.lower() for f in firsts} & set(personal._FIRST)
+    told = ["Contact: {}, room 4.", "Please ask Ms {} for the list.", "{1} Q. {2} signed.", "{} <{3}@mail.example>"]
+    plain = ["The list was sent by {} on Monday.", "{} agreed on the plan.", "Two copies went to {} and to the archive."]
+
+    def line(form, first, last):
+        name = f"{first} {last}"
+        return form.replace("{1}", first).replace("{2}", last).replace("{3}", f"{first}.{last}".lower()).replace("{}", name)
+
+    rows = [(line(rnd.choice(told), f, rnd.choice(lasts)),) for f in firsts for _ in range(8)]
+    cases = [(line(form, f, last), f"{f} {last}") for f in firsts for last in lasts for form in plain]
+    filler = [(f"Contact: Data Platform. The Data Platform team and Field Sales met in Room {i}.",) for i in range(40)]
+    df = spark.createDataFrame([*rows, *[(t,) for t, _ in cases], *filler, (None,), ("",)], "body string")
+    learned = personal._learned(personal.learn(df, "body"))
+    found = sum(name in {t[i:j] for i, j, k in personal.find(t, learned) if k == "PERSON"} for t, name in cases)
+    assert found >= 0.9 * len(cases)
+    assert not sum(name in {t[i:j] for i, j, k in personal.find(t) if k == "PERSON"} for t, name in cases)
+    assert personal.find("The Data Platform team and Field Sales met.", learned) == []
+
+
+def test_names_are_found_at_all_their_places():
+    text = "Contact: Priya Ramanathan, call me. Regards, PRIYA RAMANATHAN. priya ramanathan-x and Priya Ramanathans"
+    assert [text[i:j] for i, j, _ in personal.find(text)] == ["Priya Ramanathan", "PRIYA RAMANATHAN"]
+    for text, want in (("at 12 Rue de la Paix, 75002 Paris", "12 Rue de la Paix"), ("en Calle Mayor 5, Madrid", "Calle Mayor 5"), ("SSN 123-45-6789", "123-45-6789")):
+        assert [text[i:j] for i, j, _ in personal.find(text)] == [want]
+
+
+def test_surrogates_keep_scripts_and_area_codes():
+    draw = personal.Surrogates(b"key")
+    made = {draw.of("PERSON", w, n) for w in ("王伟", "王芳", "李") for n in range(5)}
+    assert all("一" <= c <= "龥" for w in made for c in w) and len(made) > 10
+    assert all(c == " " or "а" <= c.lower() <= "я" for c in draw.of("PERSON", "Анна Иванова"))
+    assert all(draw.of("PHONE_NUMBER", "+1 (415) 555-0187", n)[4] in "23456789" for n in range(20))
