@@ -1,7 +1,7 @@
 """Adding up bounded numeric vectors over all rows of a table.
 
 Each task keeps one vector of fixed length and emits it compressed, cut into chunks; the chunks are reduced in a
-tree, so up to FAN_IN ** 3 tasks (two million) no step reads more than FAN_IN vectors of one chunk, and only the final
+tree, so no step reads more than FAN_IN vectors of one chunk, and only the final
 vector, whose length is a constant of the operator, reaches the driver.
 """
 
@@ -44,6 +44,18 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return out
 
 
+def _levels(df: DataFrame) -> int:
+    """Steps of the tree before the last one: none for up to FAN_IN tasks. The tasks of a plan with a shuffle are only
+    known when it runs, so it gets two, which is enough for FAN_IN ** 3."""
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return 2
+    n, levels = run.toRdd().getNumPartitions(), 0
+    while n > FAN_IN:
+        n, levels = -(-n // FAN_IN), levels + 1
+    return levels
+
+
 def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarray, pa.RecordBatch], None], how: str | Callable[[int], str] = "sum", chunks: int = 16) -> np.ndarray:
     """The total of the tasks' vectors; ``add(vector, batch)`` puts a batch into the task's own vector.
 
@@ -80,7 +92,7 @@ def vector_total(df: DataFrame, length: int, dtype: str, add: Callable[[np.ndarr
         return pa.table({"salt": pa.array([table["salt"][0].as_py() // FAN_IN], pa.int32()), "chunk": table["chunk"][:1], "data": pa.array([pack(total)], pa.binary())})
 
     parts = df.mapInArrow(task, _SCHEMA)
-    for _ in range(2):
+    for _ in range(_levels(df)):
         parts = parts.groupBy("salt", "chunk").applyInArrow(reduce, _SCHEMA)
     parts = parts.groupBy("chunk").applyInArrow(reduce, _SCHEMA)
     out = np.zeros(length, dtype)
