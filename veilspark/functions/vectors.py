@@ -1,8 +1,8 @@
 """Adding up bounded numeric vectors over all rows of a table.
 
 Each task keeps one vector of fixed length and emits it compressed, cut into chunks; the chunks are reduced in a
-tree, so no step reads more than FAN_IN vectors of one chunk, and only the final
-vector, whose length is a constant of the operator, reaches the driver.
+tree, so no step reads more than FAN_IN vectors of one chunk, and only the final vector, whose length is a constant of
+the operator, reaches the driver.
 """
 
 from __future__ import annotations
